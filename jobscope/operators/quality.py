@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from jobscope.session import literal_rows
+
 
 def reasons(rules: dict[str, Column]) -> Column:
     """Names of the rules a record breaks; a rule is the condition of a *bad* record."""
@@ -78,7 +80,7 @@ def schema_diff(spark: SparkSession, actual: StructType, expected: StructType) -
             status = "match" if have[name] == want[name] else "type_changed"
         rows.append((name, want.get(name), have.get(name), status))
     ddl = "column_name string, expected_type string, actual_type string, status string"
-    return spark.createDataFrame(rows, ddl)
+    return literal_rows(spark, rows, ddl)
 
 
 def schema_impact(df: DataFrame, expected: StructType) -> DataFrame:

@@ -101,10 +101,13 @@ def suggest_bounds(df: DataFrame, col: str, partitions: int, slices: int = 128)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     at = [i / slices for i in range(1, slices)]
-    cuts = counts.agg(F.percentile_approx("bound", at, 10 * slices)).scalar()
-    sliced = counts.withColumn("cuts", cuts).select(
-        "bound", "n", F.size(F.filter("cuts", lambda c: c < F.col("bound"))).alias("slice")
-    )
+    # `n > 0` always holds; it keeps n in the aggregate, so that this shuffle is the one reused
+    # by the other two uses of `counts`.
+    cuts = counts.where("n > 0").agg(F.percentile_approx("bound", at, 10 * slices)).scalar()
+    # 1 + the number of cuts below the value.  Never NULL: a nullable slice would make Spark
+    # test it on every row of the scan.
+    place = F.array_position(F.sort_array(F.array_append(cuts, F.col("bound"))), F.col("bound"))
+    sliced = counts.withColumn("slice", F.coalesce(place, F.lit(0)))
     totals = sliced.groupBy("slice").agg(F.sum("n").alias("slice_rows"))
     in_order = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from jobscope.functions.medians import grouped_median
 _MB = 1024 * 1024
 
 
-def task_signals(tasks: DataFrame, stage: tuple[str, str] = ("run_id", "stage_id")) -> DataFrame:
+def task_signals(
+    tasks: DataFrame, stage: Sequence[str] = ("run_id", "stage_id")
+) -> DataFrame:
     """Longest and median task minutes, their integer ratio, spill and active tasks per stage.
 
     Durations are whole milliseconds; a task without a finish time is still active.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions.runtimes import canonical_runtime, is_supported
+from jobscope.session import literal_rows
 from jobscope.vocab import (
     EXPECTED_FINDINGS,
     OUTCOMES,
@@ -28,7 +29,7 @@ def expected_catalog(spark: SparkSession) -> DataFrame:
         (name, outcome, category, None if related is None else list(related), kind, ready)
         for name, outcome, category, related, kind, ready, *_ in EXPECTED_FINDINGS
     ]
-    return spark.createDataFrame(rows, ddl)
+    return literal_rows(spark, rows, ddl)
 
 
 def acceptable(expected: Column, related: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobscope.functions.casts import try_double, try_ts
 from jobscope.operators import quality, udfs
@@ -117,8 +118,8 @@ def cast_audit(spark: SparkSession, folder: str) -> DataFrame:
 )
 def schema_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Expected against actual fields, with the rows each change would lose."""
-    expected = spark.createDataFrame([], "event_id bigint, amount_txt double, country string")
-    return quality.schema_impact(text_events(spark, folder), expected.schema)
+    expected = StructType.fromDDL("event_id bigint, amount_txt double, country string")
+    return quality.schema_impact(text_events(spark, folder), expected)
 
 
 @query(

@@ -1 +1,68 @@
-"""Stub."""
+"""The streaming forms, run over the event files until all of them are read.
+
+A period or run is reported once the watermark has passed it, so the SQL asks for what is
+closed ten minutes before the last event.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobscope.operators.quality import quarantine
+from jobscope.plans.alarm_plans import IDLE_SQL, SUM_SQL, is_error, is_high
+from jobscope.plans.quality_plans import MARKED_SQL, as_text, rules
+from jobscope.plans.registry import query
+from jobscope.plans.run_plans import TEN_DAYS, TERMINAL_SQL, state_history
+from jobscope.session import scratch
+from jobscope.sources.files import stream_folder, stream_parquet
+from jobscope.streaming.alarms import stream_idle_alarm as idle
+from jobscope.streaming.alarms import stream_sum_alarm as total
+from jobscope.streaming.run_tracker import run_slots, terminal_states
+from jobscope.streaming.sink import drain, drain_to
+
+_WATERMARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a stream; a watermark needs an instant, not a local time."""
+    return stream_parquet(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def local_start(df: DataFrame) -> DataFrame:
+    return df.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT * FROM ({SUM_SQL}) WHERE period_start + INTERVAL 5 MINUTE <= {_WATERMARK}")
+def stream_sum_alarm(spark: SparkSession, folder: str) -> DataFrame:
+    metrics = event_stream(spark, folder).select("ts", is_error().alias("errors"))
+    return local_start(drain(spark, total(metrics, "ts", "errors"), "sum-alarm"))
+
+
+@query(f"SELECT * FROM ({IDLE_SQL}) WHERE period_start + INTERVAL 5 MINUTE <= {_WATERMARK}")
+def stream_idle_alarm(spark: SparkSession, folder: str) -> DataFrame:
+    metrics = event_stream(spark, folder).select("ts", is_high().alias("high"))
+    return local_start(drain(spark, idle(metrics, "ts", "high"), "idle-alarm"))
+
+
+@query(MARKED_SQL)
+def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    marked = quarantine(as_text(stream_parquet(spark, folder, "events")), rules())
+    stored = drain(spark, marked, "quarantine", ["is_bad"])
+    return stored.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    f"""
+    SELECT run_id, epoch_ms(submitted_at) AS submitted_ms, epoch_ms(finished_at) AS finished_ms,
+           final_state
+    FROM ({TERMINAL_SQL})
+    WHERE coalesce(finished_at, deadline) <=
+          (SELECT max(time_bucket(INTERVAL '5 minutes', ts)) FROM events
+           WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE <= {_WATERMARK})
+    """
+)
+def stream_terminal_state(spark: SparkSession, folder: str) -> DataFrame:
+    slots = run_slots(state_history(event_stream(spark, folder)))
+    closed = stream_folder(spark, drain_to(slots, scratch(spark, "run-slots")), slots.schema)
+    return drain(spark, terminal_states(closed, TEN_DAYS), "terminal-state")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Settings every job of this library relies on.  All can be changed at run time.
 RUNTIME_CONF = {
@@ -55,3 +59,16 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A small fixed table.
+
+    It goes through Arrow because Spark then knows its size and broadcasts it in joins; a table
+    made from Python tuples counts as unboundedly large.
+    """
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [() for _ in schema]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)

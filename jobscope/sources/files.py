@@ -33,9 +33,15 @@ def read_table(spark: SparkSession, table: str, database: str | None = None) ->
     return spark.table(f"{database}.{table}" if database else table)
 
 
-def read_docs(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """One JSON document per file.  The schema is given: nothing is scanned to infer it."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_docs(
+    spark: SparkSession, path: str, schema: str | StructType, one_per_file: bool = True
+) -> DataFrame:
+    """JSON documents, one per file or one per line.
+
+    The schema is given: nothing is scanned to infer it.  One document per line is the form to
+    store many in, as a whole-file document cannot be split.
+    """
+    return spark.read.schema(schema).option("multiLine", one_per_file).json(path)
 
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -82,7 +88,16 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table's files as a stream, with the schema of the table as it stands now."""
+    """A table's files as a stream, with the schema of the table as it stands now.
+
+    The braces make the path a pattern: only as a pattern may it also name a single file.
+    """
     use_utc(spark)
-    path = f"{folder.rstrip('/')}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    folder = folder.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{table}}}.parquet")
+
+
+def stream_folder(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A folder another stream appends Parquet files to."""
+    return spark.readStream.schema(schema).parquet(path)

@@ -1,4 +1,10 @@
-"""Terminal state per run on a stream: emitted once it is certain, TIMEOUT at the deadline."""
+"""Terminal state per run on a stream: emitted once it is certain, TIMEOUT at the deadline.
+
+Two queries with a table between them.  ``run_slots`` reduces the state history to one row per
+run and slot with built-in windows, which combine on the map side; ``terminal_states`` keeps the
+small per-run state over those rows.  A run that makes up a third of the history therefore
+reaches its state as a few rows, and Python never sees the history itself.
+"""
 
 from __future__ import annotations
 
@@ -17,34 +23,37 @@ _STATE_DDL = "submitted_ms bigint, terminal_ms bigint, terminal_state string, do
 _NEVER = 2**62
 
 
-def stream_terminal_state(
-    history: DataFrame,
-    timeout_s: int = RUN_WAIT_SECONDS,
-    watermark: str = "10 minutes",
-    slot: str = "5 minutes",
+def run_slots(
+    history: DataFrame, watermark: str = "10 minutes", slot: str = "5 minutes"
 ) -> DataFrame:
-    """One row per run as soon as no earlier state can arrive any more.
-
-    Built-in windows first reduce the history to one row per run and slot, before anything is
-    grouped in Python: a run with a third of all rows reaches its state as a few rows.
-    """
+    """Earliest submission and earliest terminal state per run and slot."""
     terminal = is_terminal(canonical_runtime(F.col("runtime")), F.col("state"))
-    ms = F.unix_millis("ts")
-    slots = (
+    ended = F.struct(F.unix_millis("ts").alias("ms"), F.col("state"))
+    return (
         history.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", slot), F.col("run_id").cast("string").alias("run_id"))
+        .groupBy(F.window("ts", slot).alias("slot"), F.col("run_id").cast("string").alias("run_id"))
         .agg(
             F.min(F.unix_millis("submitted_at")).alias("submitted_ms"),
-            F.min(F.when(terminal, F.struct(ms.alias("ms"), F.col("state")))).alias("terminal"),
+            F.min(F.when(terminal, ended)).alias("ended"),
         )
         .select(
-            "window",
+            F.col("slot.start").alias("slot_start"),
             "run_id",
             "submitted_ms",
-            F.col("terminal.ms").alias("terminal_ms"),
-            F.col("terminal.state").alias("terminal_state"),
+            F.col("ended.ms").alias("terminal_ms"),
+            F.col("ended.state").alias("terminal_state"),
         )
     )
+
+
+def terminal_states(
+    slots: DataFrame, timeout_s: int = RUN_WAIT_SECONDS, watermark: str = "0 seconds"
+) -> DataFrame:
+    """One row per run as soon as no earlier state can arrive any more.
+
+    Slots arrive closed and in order, so the latest slot start is a safe watermark.  A finished
+    run leaves a few bytes of state behind, so that rows logged later do not report it again.
+    """
     timeout_ms = timeout_s * 1000
 
     def track(
@@ -52,12 +61,14 @@ def stream_terminal_state(
     ) -> Iterator[pd.DataFrame]:
         submitted, at, final, done = state.get if state.exists else (_NEVER, _NEVER, "", False)
         for batch in batches:
+            if done or batch.empty:  # a time-out comes with an empty batch
+                continue
             submitted = min(submitted, int(batch["submitted_ms"].min()))
             ended = batch.dropna(subset=["terminal_ms"])
             if len(ended):
                 first = ended.sort_values(["terminal_ms", "terminal_state"]).iloc[0]
-                if (int(first["terminal_ms"]), first["terminal_state"]) < (at, final):
-                    at, final = int(first["terminal_ms"]), first["terminal_state"]
+                candidate = (int(first["terminal_ms"]), first["terminal_state"])
+                at, final = min((at, final), candidate)
         if done:
             return
         deadline = submitted + timeout_ms
@@ -77,6 +88,10 @@ def stream_terminal_state(
             }
         )
 
-    return slots.groupBy("run_id").applyInPandasWithState(
-        track, _OUT_DDL, _STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout
+    return (
+        slots.withWatermark("slot_start", watermark)
+        .groupBy("run_id")
+        .applyInPandasWithState(
+            track, _OUT_DDL, _STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout
+        )
     )

@@ -22,14 +22,20 @@ def start_files(
     )
 
 
-def drain(
-    spark: SparkSession, stream: DataFrame, label: str, partition_by: list[str] | None = None
-) -> DataFrame:
-    """Process all input now available and return what was written."""
-    out = scratch(spark, label)
-    query = start_files(stream, f"{out}/data", f"{out}/checkpoint", partition_by)
+def drain_to(stream: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Process all input now available; returns the folder that holds the result."""
+    query = start_files(stream, f"{path}/data", f"{path}/checkpoint", partition_by)
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    return f"{path}/data"
+
+
+def drain(
+    spark: SparkSession, stream: DataFrame, label: str, partition_by: list[str] | None = None
+) -> DataFrame:
+    """``drain_to`` a folder of its own, read back as a table."""
+    return spark.read.schema(stream.schema).parquet(
+        drain_to(stream, scratch(spark, label), partition_by)
+    )
