@@ -54,7 +54,8 @@ def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT run_id, epoch_ms(submitted_at) AS submitted_ms, epoch_ms(finished_at) AS finished_ms,
+    SELECT run_id, epoch_us(submitted_at) // 1000 AS submitted_ms,
+           epoch_us(finished_at) // 1000 AS finished_ms,
            final_state
     FROM ({TERMINAL_SQL})
     WHERE coalesce(finished_at, deadline) <=
