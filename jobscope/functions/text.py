@@ -12,7 +12,8 @@ from jobscope.vocab import APPLICATION_ID_PATTERN, CLIENT_MODE_SCENARIOS
 
 def normalise_uri(uri: Column) -> Column:
     """``s3n://`` and ``s3a://`` become ``s3://``; anything else stays."""
-    return F.regexp_replace(uri, "^s3[na]://", "s3://")
+    legacy = F.startswith(uri, F.lit("s3n://")) | F.startswith(uri, F.lit("s3a://"))
+    return F.when(legacy, F.concat(F.lit("s3://"), F.substr(uri, F.lit(7)))).otherwise(uri)
 
 
 def application_id(line: Column) -> Column:
@@ -23,19 +24,24 @@ def application_id(line: Column) -> Column:
 
 def listing_file(line: Column) -> Column:
     """File name of a listing line: last word, then last path segment; NULL for blank lines."""
-    word = F.element_at(F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "), -1)
-    return F.nullif(F.element_at(F.split(word, "/"), -1), F.lit(""))
+    spaced = F.rtrim(F.translate(line, "\t\n\r\f\v", "     "))
+    word = F.substring_index(spaced, " ", -1)
+    return F.nullif(F.substring_index(word, "/", -1), F.lit(""))
 
 
-def names_log_file(line: Column, names: Sequence[str]) -> Column:
-    """Whether a listing line names a file that starts with one of ``names``."""
-    file = listing_file(line)
+def starts_with_any(file: Column, names: Sequence[str]) -> Column:
+    """Whether a file name starts with one of ``names``; no name does not."""
     hit = F.lit(False)
     for name in names:
         hit = hit | F.startswith(file, F.lit(name))
     return F.coalesce(hit, F.lit(False))
 
 
+def names_log_file(line: Column, names: Sequence[str]) -> Column:
+    """Whether a listing line names a file that starts with one of ``names``."""
+    return starts_with_any(listing_file(line), names)
+
+
 def join_path(root: Column, *parts: Column | str) -> Column:
     """Parts below a root without its trailing slashes, ending in one slash."""
     pieces = [F.lit(p) if isinstance(p, str) else p for p in parts]

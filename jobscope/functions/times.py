@@ -12,12 +12,8 @@ _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 def iso_utc(ts: Column) -> Column:
     """``yyyy-MM-ddTHH:mm:ss[.ffffff]Z`` for a timestamp without time zone."""
-    fraction = F.date_format(ts, "SSSSSS")
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(fraction == "000000", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-        F.lit("Z"),
-    )
+    precise = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.replace(precise, F.lit(".000000Z"), F.lit("Z"))
 
 
 def epoch_ntz(seconds: Column) -> Column:

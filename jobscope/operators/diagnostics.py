@@ -13,7 +13,10 @@ from jobscope.vocab import SYSTEM_SCHEMAS
 def active_queries(
     activity: DataFrame, as_of: Column, database: str, n_chars: int = 1000
 ) -> DataFrame:
-    """Sessions of one database, longest-running query first, idle sessions last."""
+    """Sessions of one database, longest-running query first, idle sessions last.
+
+    The process id breaks ties: without it all idle sessions would sort in one task.
+    """
     return (
         activity.where(F.col("datname") == database)
         .select(
@@ -24,7 +27,7 @@ def active_queries(
             age_seconds(as_of, F.col("query_start")).alias("query_age"),
             excerpt(F.col("query"), n_chars).alias("query_excerpt"),
         )
-        .orderBy(F.desc_nulls_last("query_age"))
+        .orderBy(F.desc_nulls_last("query_age"), "pid")
     )
 
 

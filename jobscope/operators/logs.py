@@ -12,9 +12,10 @@ from jobscope.functions.text import (
     application_id,
     application_log_prefix,
     job_log_prefix,
-    names_log_file,
+    listing_file,
     normalise_uri,
     present,
+    starts_with_any,
     step_log_prefix,
 )
 from jobscope.vocab import (
@@ -67,60 +68,67 @@ def application_ids(lines: DataFrame, key: str = "run_id") -> DataFrame:
     return found.groupBy(key).agg(F.min_by("application_id", "place").alias("application_id"))
 
 
-def listing_flags(listing: DataFrame) -> DataFrame:
-    """Per listed prefix, which kinds of log it holds."""
+def place_flags(listing: DataFrame, streams: DataFrame) -> DataFrame:
+    """Per place, which kinds of log are there: one row per listed prefix or job stream prefix."""
+    prefix = F.regexp_extract("stream", "^(.*applications/[^/]+/jobs/[^/]+)", 1)
+    nowhere = F.lit("")  # never NULL: Spark would test a nullable join key on every entry
+    entries = listing.select(
+        F.coalesce(normalise_uri(F.col("prefix")), nowhere).alias("place"),
+        listing_file(F.col("line")).alias("file"),
+        F.lit(False).alias("streamed"),
+    ).unionByName(
+        streams.select(
+            F.coalesce(stream_place(F.col("log_group"), prefix), nowhere).alias("place"),
+            F.lit(None).cast("string").alias("file"),
+            F.lit(True).alias("streamed"),
+        )
+    )
 
     def any_of(names):
-        return F.bool_or(names_log_file(F.col("line"), names))
+        return F.bool_or(starts_with_any(F.col("file"), names))
 
-    return listing.groupBy(normalise_uri(F.col("prefix")).alias("prefix")).agg(
+    return entries.groupBy("place").agg(
         any_of(STEP_LOG_NAMES).alias("has_step"),
         any_of(APPLICATION_LOG_NAMES).alias("has_application"),
         any_of(SERVERLESS_LOG_NAMES).alias("has_job"),
+        F.bool_or("streamed").alias("has_stream"),
     )
 
 
-def stream_flags(streams: DataFrame) -> DataFrame:
-    """(log_group, job prefix) pairs that have at least one log stream."""
-    prefix = F.regexp_extract("stream", "^(.*applications/[^/]+/jobs/[^/]+)", 1)
-    return (
-        streams.select("log_group", prefix.alias("stream_prefix"))
-        .where("stream_prefix != ''")
-        .distinct()
-        .withColumn("has_stream", F.lit(True))
-    )
+def stream_place(group: Column, prefix: Column) -> Column:
+    return F.concat(group, F.lit("|"), prefix)
 
 
-def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> DataFrame:
-    """``logs``: not_checked, ready or waiting for every run.
+def _is_running() -> Column:
+    return F.coalesce(F.col("expected_outcome") == "running", F.lit(False))
 
-    Listings and streams are reduced to one row per prefix before the joins, so a run with
-    millions of listed files costs no more than any other.
-    """
-    runtime = canonical_runtime(F.col("runtime"))
-    flags = listing_flags(listing)
 
-    def given(*names):
-        return F.array_size(F.array_compact(F.array(*[present(F.col(n)) for n in names]))) == len(
-            names
-        )
+def _given(*names: str) -> Column:
+    every = F.lit(True)
+    for name in names:
+        every = every & present(F.col(name)).isNotNull()
+    return every
 
-    def or_nowhere(place):
-        # Runs without a place to look would all meet on the NULL key; give each its own.
-        return F.coalesce(place, F.concat(F.lit("none:"), F.col("run_id")))
 
-    running = F.coalesce(F.col("expected_outcome") == "running", F.lit(False))
-    ec2 = (runtime == "emr_ec2") & ~running & given("cluster_id", "step_id", "region", "log_uri")
-    serverless = (
-        (runtime == "emr_serverless")
-        & ~running
-        & given("serverless_application_id", "job_run_id", "region")
+def _check_kind() -> Column:
+    """Which check a run gets: ec2, serverless or, as NULL, none."""
+    runtime = canonical_runtime(F.col("runtime"))
+    ec2 = (runtime == "emr_ec2") & _given("cluster_id", "step_id", "region", "log_uri")
+    serverless = (runtime == "emr_serverless") & _given(
+        "serverless_application_id", "job_run_id", "region"
     )
-    needs_app = (F.col("deploy_mode") == "cluster") & (F.col("expected_outcome") == "failed")
-    job_prefix = job_log_prefix(
+    return F.when(_is_running(), None).when(ec2, "ec2").when(serverless, "serverless")
+
+
+def wanted_places(runs: DataFrame) -> DataFrame:
+    """(run_id, what, place): the places a checked run's logs may be in."""
+    ec2, serverless = F.col("kind") == "ec2", F.col("kind") == "serverless"
+    step = step_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("step_id"))
+    app = application_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("application_id"))
+    job = job_log_prefix(
         F.col("log_uri"), F.col("serverless_application_id"), F.col("job_run_id")
     )
-    stream_prefix = F.concat_ws(
+    stream = F.concat_ws(
         "/",
         F.trim(F.col("cloudwatch_log_stream_prefix"), F.lit("/")),
         F.lit("applications"),
@@ -128,56 +136,59 @@ def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> Da
         F.lit("jobs"),
         F.col("job_run_id"),
     )
-    wanted = runs.withColumns(
-        {
-            "_kind": F.when(ec2, "ec2").when(serverless, "serverless"),
-            "_needs_app": F.coalesce(needs_app, F.lit(False)),
-            "_main": or_nowhere(
-                F.when(
-                    ec2, step_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("step_id"))
-                ).when(serverless & present(F.col("log_uri")).isNotNull(), job_prefix)
-            ),
-            "_app": or_nowhere(
-                F.when(
-                    ec2 & present(F.col("application_id")).isNotNull(),
-                    application_log_prefix(
-                        F.col("log_uri"), F.col("cluster_id"), F.col("application_id")
-                    ),
-                )
-            ),
-            "_stream": or_nowhere(
-                F.when(
-                    serverless & given("cloudwatch_log_group", "cloudwatch_log_stream_prefix"),
-                    stream_prefix,
-                )
-            ),
-        }
-    )
-    main = flags.select(
-        F.col("prefix").alias("_main"), F.col("has_step"), F.col("has_job")
+    named = {
+        "step": F.when(ec2, step),
+        "application": F.when(ec2 & _given("application_id"), app),
+        "job": F.when(serverless & _given("log_uri"), job),
+        "stream": F.when(
+            serverless & _given("cloudwatch_log_group", "cloudwatch_log_stream_prefix"),
+            stream_place(F.col("cloudwatch_log_group"), stream),
+        ),
+    }
+    places = F.array(
+        *[F.struct(F.lit(what).alias("what"), p.alias("place")) for what, p in named.items()]
     )
-    app = flags.select(F.col("prefix").alias("_app"), F.col("has_application"))
-    live = stream_flags(streams).select(
-        F.col("log_group").alias("cloudwatch_log_group"),
-        F.col("stream_prefix").alias("_stream"),
-        "has_stream",
+    return (
+        runs.withColumn("kind", _check_kind())
+        .where("kind is not null")
+        .select("run_id", F.inline_outer(places))
+        .where("place is not null")
     )
-    joined = (
-        wanted.join(main, "_main", "left")
-        .join(app, "_app", "left")
-        .join(live, ["cloudwatch_log_group", "_stream"], "left")
+
+
+def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> DataFrame:
+    """``logs``: not_checked, ready or waiting for every run.
+
+    Listings and streams are the big inputs; both are reduced to one row per place in a single
+    pass before anything is joined, so a run with millions of listed files costs no more than
+    any other.
+    """
+    seen = (
+        wanted_places(runs)
+        .join(place_flags(listing, streams), "place")
+        .groupBy("run_id")
+        .agg(
+            *[
+                F.bool_or((F.col("what") == what) & F.col(f"has_{what}")).alias(f"{what}_ready")
+                for what in ("step", "application", "job", "stream")
+            ]
+        )
     )
 
     def yes(name):
         return F.coalesce(F.col(name), F.lit(False))
 
-    ready = F.when(
-        F.col("_kind") == "ec2", yes("has_step") & (~F.col("_needs_app") | yes("has_application"))
-    ).otherwise(yes("has_job") | yes("has_stream"))
-    logs = (
-        F.when(F.col("_kind").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
+    needs_app = (F.col("deploy_mode") == "cluster") & (F.col("expected_outcome") == "failed")
+    on_ec2 = yes("step_ready") & (
+        ~F.coalesce(needs_app, F.lit(False)) | yes("application_ready")
+    )
+    ready = F.when(F.col("kind") == "ec2", on_ec2).otherwise(yes("job_ready") | yes("stream_ready"))
+    logs = F.when(F.col("kind").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
+    return (
+        runs.withColumn("kind", _check_kind())
+        .join(seen, "run_id", "left")
+        .select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
     )
-    return joined.select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
 
 
 def runs_without_logs(runs: DataFrame, lines: DataFrame, key: str) -> DataFrame:

@@ -44,7 +44,7 @@ def strides(lower: int, upper: int, partitions: int) -> Strides:
     if n <= 1:
         return Strides(lower, 1, 1)
     with localcontext() as ctx:
-        ctx.prec = 60
+        ctx.prec = 34  # as in the JVM reader; a half can fall either way beyond it
         step = Decimal("1e-18")
         exact = (Decimal(upper) / n).quantize(step, ROUND_HALF_EVEN) - (
             Decimal(lower) / n

@@ -116,40 +116,47 @@ def latest_run(runs: DataFrame, exported: Column | None = None) -> DataFrame:
     return originals.groupBy("scenario").agg(newest.alias("r")).select("scenario", "r.*")
 
 
-def terminal_state(history: DataFrame, timeout_s: int = RUN_WAIT_SECONDS) -> DataFrame:
-    """First terminal state per run before its deadline, else TIMEOUT.
+def terminal_firsts(at: Column) -> list[Column]:
+    """The earliest ``at`` of each terminal state, one aggregate per state.
 
-    The earliest time of each terminal state is a fixed-width minimum, so the whole history is
-    hash-aggregated on the map side and one row per run and task is shuffled.
+    These minima have a fixed width, so Spark hash-aggregates them; the minimum of a (time,
+    state) pair would sort the whole history first.
     """
-    names = sorted({s for states in TERMINAL_STATES.values() for s in states})
     terminal = is_terminal(canonical_runtime(F.col("runtime")), F.col("state"))
+    return [
+        F.min(F.when(terminal & (F.col("state") == s), at)).alias(s) for s in _terminal_names()
+    ]
+
+
+def earliest_terminal() -> Column:
+    """The earliest of ``terminal_firsts`` as ``struct(at, state)``."""
+    pairs = [
+        F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("at"), F.lit(s).alias("state")))
+        for s in _terminal_names()
+    ]
+    return F.array_min(F.array_compact(F.array(*pairs)))
+
+
+def _terminal_names() -> list[str]:
+    return sorted({s for states in TERMINAL_STATES.values() for s in states})
+
+
+def terminal_state(history: DataFrame, timeout_s: int = RUN_WAIT_SECONDS) -> DataFrame:
+    """First terminal state per run before its deadline, else TIMEOUT."""
     firsts = history.groupBy("run_id").agg(
-        F.min("submitted_at").alias("submitted_at"),
-        *[F.min(F.when(terminal & (F.col("state") == s), F.col("ts"))).alias(s) for s in names],
+        F.min("submitted_at").alias("submitted_at"), *terminal_firsts(F.col("ts"))
     )
-    earliest = F.array_min(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.col(s).isNotNull(),
-                        F.struct(F.col(s).alias("ts"), F.lit(s).alias("state")),
-                    )
-                    for s in names
-                ]
-            )
-        )
-    )
-    deadline = F.col("submitted_at") + F.make_dt_interval(secs=F.lit(timeout_s).cast("decimal(18,6)"))
-    in_time = F.col("first.ts") < F.col("deadline")
-    return (
-        firsts.select("run_id", "submitted_at", deadline.alias("deadline"), earliest.alias("first"))
-        .select(
-            "run_id",
-            "submitted_at",
-            "deadline",
-            F.when(in_time, F.col("first.ts")).alias("finished_at"),
-            F.when(in_time, F.col("first.state")).otherwise("TIMEOUT").alias("final_state"),
-        )
+    wait = F.make_dt_interval(secs=F.lit(timeout_s).cast("decimal(18,6)"))
+    in_time = F.col("first.at") < F.col("deadline")
+    return firsts.select(
+        "run_id",
+        "submitted_at",
+        (F.col("submitted_at") + wait).alias("deadline"),
+        earliest_terminal().alias("first"),
+    ).select(
+        "run_id",
+        "submitted_at",
+        "deadline",
+        F.when(in_time, F.col("first.at")).alias("finished_at"),
+        F.when(in_time, F.col("first.state")).otherwise("TIMEOUT").alias("final_state"),
     )

@@ -65,24 +65,48 @@ def _check(pos: int, name, passed: Column, expected: Column, actual: Column, mes
     )
 
 
-def _category_check() -> Column:
-    want, got = F.col("expected_root_cause_category"), F.col("actual_category")
-    related = F.array_sort(F.array_distinct(F.col("acceptable_related_categories")))
+def _expectations(expected: DataFrame) -> DataFrame:
+    """One row per scenario, with whatever depends on the expectation alone worked out."""
+    want, related = F.col("expected_root_cause_category"), F.col("acceptable_related_categories")
+    names = F.sort_array(F.array_distinct(related))
     alternatives = F.when(
-        F.size(related) > 0, F.concat(F.lit(" (or "), _quoted_list(related), F.lit(")"))
+        F.size(names) > 0, F.concat(F.lit(" (or "), _quoted_list(names), F.lit(")"))
     ).otherwise("")
+    return expected.select(
+        F.coalesce("scenario", F.lit("unknown")).alias("scenario"),
+        "expected_root_cause_category",
+        acceptable(want, related).alias("acceptable"),
+        F.concat(F.lit("Expected "), _quoted(want), alternatives).alias("wanted_text"),
+        "recommendation_type",
+        "pr_ready",
+    )
+
+
+def _verdicts() -> dict[str, Column]:
+    """The three answers, each of which is shown, judged and explained below."""
+    want, got = F.col("expected_root_cause_category"), F.col("actual_category")
+    return {
+        "category_ok": F.when(want.isNull(), got == UNKNOWN).otherwise(
+            F.array_contains("acceptable", got)
+        ),
+        "type_ok": F.exists(
+            "recommendations",
+            lambda r: F.coalesce(r["type"] == F.col("recommendation_type"), F.lit(False)),
+        ),
+        "got_ready": any_ready(F.col("recommendations")),
+    }
+
+
+def _category_check() -> Column:
+    want, got = F.col("expected_root_cause_category"), F.col("actual_category")
     silent = F.concat(
         F.lit("Expected no root cause (UNKNOWN) but the diagnosis returned "), _quoted(got)
     )
-    wrong = F.concat(F.lit("Expected "), _quoted(want), alternatives, F.lit(", got "), _quoted(got))
-    passed = F.when(want.isNull(), got == UNKNOWN).otherwise(
-        F.array_contains(acceptable(want, F.col("acceptable_related_categories")), got)
-    )
-    name = F.when(want.isNull(), "no_false_positive").otherwise("root_cause_category")
+    wrong = F.concat(F.col("wanted_text"), F.lit(", got "), _quoted(got))
     return _check(
         1,
-        name,
-        passed,
+        F.when(want.isNull(), "no_false_positive").otherwise("root_cause_category"),
+        F.col("category_ok"),
         F.coalesce(want, F.lit(UNKNOWN)),
         got,
         F.when(want.isNull(), silent).otherwise(wrong),
@@ -90,27 +114,22 @@ def _category_check() -> Column:
 
 
 def _type_check() -> Column:
-    want, recs = F.col("recommendation_type"), F.col("recommendations")
-    got = _quoted_list(F.transform(recs, lambda r: r["type"]))
+    want = F.col("recommendation_type")
     message = F.concat(
-        F.lit("Expected recommendation type "), _quoted(want), F.lit(", got "), got
+        F.lit("Expected recommendation type "), _quoted(want), F.lit(", got "), F.col("got_types")
     )
-    passed = F.exists(recs, lambda r: F.coalesce(r["type"] == want, F.lit(False)))
-    return F.when(
-        want.isNotNull(), _check(2, "recommendation_type", passed, want, got, message)
+    check = _check(
+        2, "recommendation_type", F.col("type_ok"), want, F.col("got_types"), message
     )
+    return F.when(want.isNotNull(), check)
 
 
 def _ready_check() -> Column:
-    want, got = F.col("pr_ready"), any_ready(F.col("recommendations"))
-    message = F.concat(
-        F.lit("Expected pr_ready="), _title(want), F.lit(", got "), _title(got)
-    )
+    want, got = F.col("pr_ready"), F.col("got_ready")
+    message = F.concat(F.lit("Expected pr_ready="), _title(want), F.lit(", got "), _title(got))
+    check = _check(3, "pr_ready", got == want, want.cast("string"), got.cast("string"), message)
     # False is an expectation like any other; only NULL means "not checked".
-    return F.when(
-        want.isNotNull(),
-        _check(3, "pr_ready", got == want, want.cast("string"), got.cast("string"), message),
-    )
+    return F.when(want.isNotNull(), check)
 
 
 def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -120,13 +139,7 @@ def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
     Spark broadcast the catalogue when it is small and split a hot scenario when it is not;
     scenarios nobody ran are added from the distinct scenario names.
     """
-    wanted = expected.select(
-        F.coalesce("scenario", F.lit("unknown")).alias("scenario"),
-        "expected_root_cause_category",
-        "acceptable_related_categories",
-        "recommendation_type",
-        "pr_ready",
-    )
+    wanted = _expectations(expected)
     runs = actual.select(
         "scenario",
         "run_id",
@@ -146,9 +159,22 @@ def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.lit(None).cast(types["root_cause"]).alias("root_cause"),
         F.expr("array()").cast(types["recommendations"]).alias("recommendations"),
     )
-    paired = runs.join(wanted, "scenario").unionByName(not_run)
+    judged = (
+        runs.join(wanted, "scenario")
+        .unionByName(not_run)
+        .withColumns(_verdicts())
+        .withColumn(
+            "got_types",
+            F.when(
+                F.col("recommendation_type").isNotNull(),
+                _quoted_list(F.transform("recommendations", lambda r: r["type"])),
+            ),
+        )
+    )
     checks = F.array_compact(F.array(_category_check(), _type_check(), _ready_check()))
-    return paired.withColumn("checks", checks)
+    return judged.withColumn("checks", checks).drop(
+        "acceptable", "wanted_text", "category_ok", "type_ok", "got_ready", "got_types"
+    )
 
 
 def unexpected_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -158,8 +184,9 @@ def unexpected_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def compare(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row per (run, check)."""
+    # Every run has a check; the outer form keeps Spark from testing that on each row.
     return evaluate(expected, actual).select(
-        "scenario", "run_id", "investigation_id", F.inline("checks")
+        "scenario", "run_id", "investigation_id", F.inline_outer("checks")
     )
 
 

@@ -129,10 +129,10 @@ def synth_skewed_counts(spark: SparkSession, folder: str) -> DataFrame:
     """
     WITH b AS (
       SELECT 'poor' AS bounds, CAST(0 AS BIGINT) AS partition_id, o_custkey AS v FROM orders
-      WHERE o_custkey < 250001
-      UNION ALL SELECT 'poor', 1, o_custkey FROM orders WHERE o_custkey >= 250001 AND o_custkey < 500001
-      UNION ALL SELECT 'poor', 2, o_custkey FROM orders WHERE o_custkey >= 500001 AND o_custkey < 750001
-      UNION ALL SELECT 'poor', 3, o_custkey FROM orders WHERE o_custkey >= 750001
+      WHERE o_custkey < 250002
+      UNION ALL SELECT 'poor', 1, o_custkey FROM orders WHERE o_custkey >= 250002 AND o_custkey < 500001
+      UNION ALL SELECT 'poor', 2, o_custkey FROM orders WHERE o_custkey >= 500001 AND o_custkey < 750000
+      UNION ALL SELECT 'poor', 3, o_custkey FROM orders WHERE o_custkey >= 750000
       UNION ALL SELECT 'fair', 0, o_custkey FROM orders WHERE o_custkey < 377
       UNION ALL SELECT 'fair', 1, o_custkey FROM orders WHERE o_custkey >= 377 AND o_custkey < 751
       UNION ALL SELECT 'fair', 2, o_custkey FROM orders WHERE o_custkey >= 751 AND o_custkey < 1125

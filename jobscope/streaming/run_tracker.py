@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from jobscope.functions.runtimes import canonical_runtime, is_terminal
+from jobscope.operators.runs import earliest_terminal, terminal_firsts
 from jobscope.vocab import RUN_WAIT_SECONDS
 
 _OUT_DDL = "run_id string, submitted_ms bigint, finished_ms bigint, final_state string"
 _STATE_DDL = "submitted_ms bigint, terminal_ms bigint, terminal_state string, done boolean"
+_SLOT_COLUMNS = ["submitted_ms", "terminal_ms", "terminal_state"]
 _NEVER = 2**62
 
 
@@ -27,21 +28,20 @@ def run_slots(
     history: DataFrame, watermark: str = "10 minutes", slot: str = "5 minutes"
 ) -> DataFrame:
     """Earliest submission and earliest terminal state per run and slot."""
-    terminal = is_terminal(canonical_runtime(F.col("runtime")), F.col("state"))
-    ended = F.struct(F.unix_millis("ts").alias("ms"), F.col("state"))
     return (
         history.withWatermark("ts", watermark)
         .groupBy(F.window("ts", slot).alias("slot"), F.col("run_id").cast("string").alias("run_id"))
         .agg(
             F.min(F.unix_millis("submitted_at")).alias("submitted_ms"),
-            F.min(F.when(terminal, ended)).alias("ended"),
+            *terminal_firsts(F.unix_millis("ts")),
         )
+        .withColumn("first", earliest_terminal())
         .select(
             F.col("slot.start").alias("slot_start"),
             "run_id",
             "submitted_ms",
-            F.col("ended.ms").alias("terminal_ms"),
-            F.col("ended.state").alias("terminal_state"),
+            F.col("first.at").alias("terminal_ms"),
+            F.col("first.state").alias("terminal_state"),
         )
     )
 
@@ -60,15 +60,11 @@ def terminal_states(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         submitted, at, final, done = state.get if state.exists else (_NEVER, _NEVER, "", False)
-        for batch in batches:
-            if done or batch.empty:  # a time-out comes with an empty batch
-                continue
-            submitted = min(submitted, int(batch["submitted_ms"].min()))
-            ended = batch.dropna(subset=["terminal_ms"])
-            if len(ended):
-                first = ended.sort_values(["terminal_ms", "terminal_state"]).iloc[0]
-                candidate = (int(first["terminal_ms"]), first["terminal_state"])
-                at, final = min((at, final), candidate)
+        for batch in batches:  # a time-out comes with an empty batch
+            for sent, ended, name in zip(*(batch[c].tolist() for c in _SLOT_COLUMNS)):
+                submitted = min(submitted, sent)
+                if name is not None and (ended, name) < (at, final):
+                    at, final = int(ended), name
         if done:
             return
         deadline = submitted + timeout_ms

@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from jobscope.operators import ranges
+from jobscope.sources.generators import synth_range
+from tests.conftest import rows
+
+
+@pytest.mark.parametrize(
+    "lower, upper, n, cuts",
+    [
+        (1, 100, 4, [27, 51, 75]),
+        (1, 1500, 4, [377, 751, 1125]),
+        (1, 1_000_000, 4, [250002, 500001, 750000]),
+        (1, 1_000_000, 1, []),
+        (5, 5, 4, []),
+        (0, 2, 10, [1]),
+    ],
+)
+def test_cuts(lower, upper, n, cuts):
+    assert ranges.strides(lower, upper, n).cuts == cuts
+
+
+def reader_cuts(spark, lower, upper, n):
+    """Cuts from the predicates Spark itself plans for such a read; nothing is connected to."""
+    jvm = spark._jvm
+    options = jvm.java.util.HashMap()
+    for key, value in {
+        "url": "jdbc:none",
+        "dbtable": "t",
+        "driver": "java.lang.String",
+        "partitionColumn": "v",
+        "lowerBound": str(lower),
+        "upperBound": str(upper),
+        "numPartitions": str(n),
+    }.items():
+        options.put(key, value)
+    package = jvm.org.apache.spark.sql.execution.datasources.jdbc
+    state = spark._jsparkSession.sessionState()
+    parts = package.JDBCRelation.columnPartition(
+        spark.createDataFrame([], "v bigint")._jdf.schema(),
+        state.conf().resolver(),
+        "UTC",
+        package.JDBCOptions(jvm.PythonUtils.toScalaMap(options)),
+    )
+    return [int(c) for c in re.findall(r">= (-?[0-9]+)", " ".join(p.toString() for p in parts))]
+
+
+def test_cuts_are_those_of_the_reader(spark):
+    rng = random.Random(7)
+    cases = [(1, 100, 4), (1, 1500, 4), (0, 3, 3), (-10, 10, 7), (0, 2**62, 1000), (0, 2, 10)]
+    for _ in range(60):
+        lower = rng.randint(-(10**6), 10**6)
+        cases.append((lower, lower + rng.randint(2, 10 ** rng.randint(1, 15)), rng.randint(2, 300)))
+    for lower, upper, n in cases:
+        assert ranges.strides(lower, upper, n).cuts == reader_cuts(spark, lower, upper, n)
+
+
+def test_bad_bounds():
+    with pytest.raises(ValueError):
+        ranges.strides(2, 1, 4)
+
+
+def test_rows_outside_the_bounds_stay(spark):
+    got = rows(ranges.partition_histogram(synth_range(spark, 1000, "id AS v"), "v", 1, 100, 4))
+    assert [(r[0], r[1]) for r in got] == [(0, 27), (1, 24), (2, 24), (3, 925)]
+    assert [r[3] for r in got] == [False, False, False, True]
+
+
+def test_null_and_extreme_values(spark):
+    df = spark.createDataFrame([(None,), (-(2**63),), (2**63 - 1,), (50,)], "v bigint")
+    got = {r[0]: r[1] for r in rows(ranges.partition_histogram(df, "v", 1, 100, 4))}
+    assert got == {0: 2, 1: 1, 2: 0, 3: 1}  # 50 is below the cut at 51
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "v bigint")
+    got = rows(ranges.partition_histogram(df, "v", 1, 100, 2))
+    assert got == [(0, 0, None, False), (1, 0, None, False)]
+
+
+def test_case_bucket(spark):
+    df = synth_range(spark, 250_000, "id AS row_id").select(
+        ranges.case_bucket(F.col("row_id"), 240_000).alias("b")
+    )
+    counts = df.groupBy("b").count()
+    assert counts.count() == 10_001
+    assert counts.agg(F.max("count")).first()[0] == 240_000
+
+
+def brute_force(values, n):
+    ordered = sorted(values)
+    return [(k, ordered[math.ceil(k * len(ordered) / n) - 1]) for k in range(1, n)]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.integers(-50, 50), min_size=1, max_size=80),
+    st.integers(2, 9),
+    st.integers(2, 6),
+)
+def test_suggested_bounds_are_exact(spark, values, n, slices):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint")
+    got = sorted(tuple(r) for r in ranges.suggest_bounds(df, "v", n, slices).collect())
+    assert got == brute_force(values, n)
+
+
+def test_suggested_bounds_with_a_hot_value(spark):
+    df = synth_range(spark, 9_000, "IF(id % 3 = 0, 7, id) AS v")
+    values = [r[0] for r in df.collect()]
+    got = sorted(tuple(r) for r in ranges.suggest_bounds(df, "v", 10).collect())
+    assert got == brute_force(values, 10)

@@ -1,0 +1,222 @@
+"""Comparison of actual with expected findings, case by case."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from jobscope.operators import validation
+from jobscope.vocab import EXPECTED_FINDINGS
+from tests.conftest import rows
+
+EXPECTED_DDL = (
+    "scenario string, expected_root_cause_category string, "
+    "acceptable_related_categories array<string>, recommendation_type string, pr_ready boolean"
+)
+ACTUAL_DDL = (
+    "scenario string, run_id string, investigation_id string, root_cause struct<category:string>, "
+    "recommendations array<struct<type:string,pr_ready:boolean>>"
+)
+
+
+def evaluate(spark, expected, actual):
+    """Checks by name and (outcome, summary) for one expectation and one finding."""
+    want = {
+        "expected_root_cause_category": None,
+        "acceptable_related_categories": None,
+        "recommendation_type": None,
+        "pr_ready": None,
+        **expected,
+    }
+    exp = spark.createDataFrame([("s", *want.values())], EXPECTED_DDL)
+    runs = [] if actual is None else [("s", "r1", "inv-1", *actual)]
+    out = validation.summarise(
+        validation.evaluate(exp, spark.createDataFrame(runs, ACTUAL_DDL))
+    ).collect()
+    assert len(out) == 1
+    return {c["name"]: c for c in out[0]["checks"]}, out[0]
+
+
+def test_category_equal(spark):
+    checks, row = evaluate(
+        spark, {"expected_root_cause_category": "EXECUTOR_OOM"}, (("EXECUTOR_OOM",), [])
+    )
+    assert checks["root_cause_category"]["passed"]
+    assert checks["root_cause_category"]["message"] == ""
+    assert row["summary"] == "PASS: all 1 check(s) passed"
+    assert row["investigation_id"] == "inv-1"
+
+
+@pytest.mark.parametrize("got, passed", [("EXECUTOR_LOST", True), ("DATA_SKEW", False)])
+def test_related_category(spark, got, passed):
+    checks, _ = evaluate(
+        spark,
+        {
+            "expected_root_cause_category": "EXECUTOR_OOM",
+            "acceptable_related_categories": ["MEMORY_OVERHEAD", "EXECUTOR_LOST"],
+        },
+        ((got,), []),
+    )
+    check = checks["root_cause_category"]
+    assert check["passed"] is passed
+    if not passed:
+        assert check["message"] == (
+            "Expected 'EXECUTOR_OOM' (or ['EXECUTOR_LOST', 'MEMORY_OVERHEAD']), got 'DATA_SKEW'"
+        )
+
+
+def test_wrong_category_is_named(spark):
+    checks, _ = evaluate(
+        spark, {"expected_root_cause_category": "EXECUTOR_OOM"}, (("DRIVER_OOM",), None)
+    )
+    assert checks["root_cause_category"]["message"] == "Expected 'EXECUTOR_OOM', got 'DRIVER_OOM'"
+
+
+@pytest.mark.parametrize("got, passed", [("UNKNOWN", True), (None, True), ("EXECUTOR_OOM", False)])
+def test_nothing_expected(spark, got, passed):
+    checks, _ = evaluate(spark, {}, ((got,), []))
+    assert set(checks) == {"no_false_positive"}
+    assert checks["no_false_positive"]["passed"] is passed
+    assert checks["no_false_positive"]["expected"] == "UNKNOWN"
+
+
+@pytest.mark.parametrize(
+    "recs, passed, message",
+    [
+        ([("SPARK_CONFIG", True)], True, ""),
+        ([("RUNBOOK", None)], False, "got ['RUNBOOK']"),
+        ([("A", None), (None, None)], False, "got ['A', None]"),
+        ([None], False, "got []"),
+        ([], False, "got []"),
+        (None, False, "got []"),
+    ],
+)
+def test_recommendation_type(spark, recs, passed, message):
+    checks, _ = evaluate(
+        spark,
+        {"expected_root_cause_category": "X", "recommendation_type": "SPARK_CONFIG"},
+        (("X",), recs),
+    )
+    assert checks["recommendation_type"]["passed"] is passed
+    assert checks["recommendation_type"]["message"].endswith(message)
+
+
+@pytest.mark.parametrize(
+    "want, recs, passed",
+    [
+        (True, [("A", False), ("B", True)], True),
+        (True, [("A", False), ("B", None)], False),
+        (False, [("A", False)], True),
+        (False, [], True),
+        (False, [("A", True)], False),
+    ],
+)
+def test_pr_ready(spark, want, recs, passed):
+    checks, _ = evaluate(
+        spark, {"expected_root_cause_category": "X", "pr_ready": want}, (("X",), recs)
+    )
+    assert checks["pr_ready"]["passed"] is passed
+    if not passed:
+        assert checks["pr_ready"]["message"] == f"Expected pr_ready={want}, got {not want}"
+
+
+def test_absent_keys_are_not_checked(spark):
+    checks, _ = evaluate(spark, {"expected_root_cause_category": "X"}, (("X",), []))
+    assert set(checks) == {"root_cause_category"}
+
+
+def test_summary_lists_failures_in_check_order(spark):
+    _, row = evaluate(
+        spark,
+        {"expected_root_cause_category": "X", "recommendation_type": "DB", "pr_ready": True},
+        (("X",), [("CODE", False)]),
+    )
+    assert row["outcome"] == "fail"
+    assert row["summary"] == "FAIL: 2 of 3 check(s) failed: recommendation_type, pr_ready"
+
+
+def test_empty_or_missing_finding_fails_without_error(spark):
+    for actual in ((None, None), None):
+        checks, row = evaluate(spark, {"expected_root_cause_category": "X"}, actual)
+        assert row["outcome"] == "fail"
+        assert checks["root_cause_category"]["actual"] == "UNKNOWN"
+    assert row["investigation_id"] == "" and row["run_id"] is None
+
+
+def test_many_runs_of_one_scenario_and_unknown_scenarios(spark):
+    exp = spark.createDataFrame([("s", "X", None, None, None)], EXPECTED_DDL)
+    act = spark.createDataFrame(
+        [("s", str(i), None, ("X",), None) for i in range(5)] + [("t", "9", None, ("X",), None)],
+        ACTUAL_DDL,
+    )
+    assert validation.compare(exp, act).count() == 5
+    assert [r["run_id"] for r in validation.unexpected_runs(exp, act).collect()] == ["9"]
+
+
+def test_suite_summary_is_zero_filled(spark):
+    results = spark.createDataFrame(
+        [("pass", "b"), ("pass", "a"), ("pass", "a")], "outcome string, scenario string"
+    )
+    assert rows(validation.suite_summary(results)) == [
+        ("fail", 0, "", 0),
+        ("pass", 3, "a b", 0),
+        ("skip", 0, "", 0),
+    ]
+    failed = results.union(spark.createDataFrame([("fail", "c")], results.schema))
+    assert {r["overall"] for r in validation.suite_summary(failed).collect()} == {1}
+
+
+def test_built_in_catalogue(spark):
+    catalog = validation.expected_catalog(spark)
+    assert catalog.count() == catalog.select("scenario").distinct().count() == 28
+    full = spark.createDataFrame(
+        [
+            (s, o, c, ["e"] * n_ev, ["r"] * n_rec)
+            for s, o, c, _, _, _, n_ev, n_rec in EXPECTED_FINDINGS
+        ],
+        "scenario string, expected_outcome string, expected_root_cause_category string, "
+        "expected_evidence array<string>, expected_recommendations array<string>",
+    )
+    configs = spark.createDataFrame(
+        [
+            ("happy_path", "jobs/happy_path.py", "UNKNOWN"),
+            ("data_skew", "jobs/data_skew.py", "SHUFFLE_SPILL"),
+            ("no_such", "jobs/other.py", None),
+        ],
+        "scenario string, job string, expected_root_cause_category string",
+    )
+    jobs = spark.createDataFrame([("jobs/happy_path.py",), ("jobs/data_skew.py",)], "job string")
+    lint = validation.lint_catalog(full, configs, jobs).where(F.size("violations") > 0)
+    assert rows(lint) == [
+        ("data_skew", ["category_mismatch"]),
+        ("no_such", ["no_finding", "unknown_job"]),
+    ]
+
+
+def test_support_matrix(spark):
+    runs = spark.createDataFrame(
+        [
+            ("ec2", "data_skew"),
+            ("eks", "data_skew"),
+            ("emr_eks", "image_pull_failure"),
+            (None, "driver_oom"),
+            ("local", "happy_path"),
+            ("serverless", None),
+        ],
+        "runtime string, scenario string",
+    )
+    assert rows(validation.unsupported(runs)) == [
+        ("eks", "data_skew", "scenario not offered"),
+        ("local", "happy_path", "unknown runtime"),
+        ("serverless", None, "scenario not offered"),
+    ]
+
+
+def test_scorecard_leaves_unscored_cells_empty(spark):
+    scores = spark.createDataFrame(
+        [("c", "native", "emr_ec2", 1), ("c", "native", "emr_ec2", 2), ("c", "assisted", "emr_eks", 3)],
+        "criterion string, lane string, runtime string, score int",
+    )
+    row = validation.scorecard(scores).first()
+    assert row["native_emr_ec2"] == 1.5 and row["assisted_emr_eks"] == 3.0
+    assert row["native_emr_serverless"] is None
