@@ -30,13 +30,18 @@ from jobscope.vocab import (
 def matching_rules(line: Column, rules: Sequence[tuple[str, str]] = SIGNAL_RULES) -> Column:
     """The (category, phrase) rules whose phrase a line holds, whatever its case."""
     table = F.array(
-        *[F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase")) for c, p in rules]
+        *[
+            F.struct(
+                F.lit(c).alias("category"), F.lit(p).alias("phrase"), F.lit(p.lower()).alias("low")
+            )
+            for c, p in rules
+        ]
     )
     # The line is lowered once and bound as `low`, not once per phrase.
     return F.flatten(
         F.transform(
             F.array(F.lower(line)),
-            lambda low: F.filter(table, lambda r: F.contains(low, F.lower(r["phrase"]))),
+            lambda low: F.filter(table, lambda r: F.contains(low, r["low"])),
         )
     )
 
@@ -49,7 +54,7 @@ def scan_signals(
     The rules are part of the expression, so lines are neither joined nor shuffled, and a line
     without a match leaves at once.
     """
-    return lines.select("*", F.inline(matching_rules(F.col(text), rules)))
+    return lines.select("*", F.inline(matching_rules(F.col(text), rules))).drop("low")
 
 
 def file_rank(file_name: Column) -> Column:
