@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 LARGE_ROWS = 100_000
 
@@ -48,22 +50,21 @@ def plan_nodes(plans: DataFrame, key: str = "plan_id", document: str = "document
     A tree of unknown depth has no fixed-size expression, so each document is walked in an
     Arrow batch where it is read; nothing is shuffled.
     """
-    key_type = plans.schema[key].dataType.simpleString()
-    names = [key] + [c.split()[0] for c in _NODE_DDL.split(", ")]
+    schema = StructType.fromDDL(f"{key} {plans.schema[key].dataType.simpleString()}, {_NODE_DDL}")
+    arrow = to_arrow_schema(schema)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (plan, *node)
-                for plan, text in zip(batch[key], batch[document])
+                for plan, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 for node in _nodes(text)
             ]
-            frame = pd.DataFrame(rows, columns=names)
-            for column in ("plan_rows", "max_child_rows"):
-                frame[column] = frame[column].astype("Int64")
-            yield frame
+            columns = zip(*rows) if rows else [()] * len(arrow)
+            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return plans.select(key, document).mapInPandas(walk, f"{key} {key_type}, {_NODE_DDL}")
+    return plans.select(key, document).mapInArrow(walk, schema)
 
 
 def flag_nodes(nodes: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:

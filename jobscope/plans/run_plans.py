@@ -87,8 +87,8 @@ def run_records(spark: SparkSession, folder: str) -> DataFrame:
 
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 _CREATED = """CASE event_id % 5
-  WHEN 0 THEN strftime(to_timestamp(1704067200 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')
-  WHEN 1 THEN strftime(to_timestamp(1704067200 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S')
+  WHEN 0 THEN strftime(make_timestamp((1704067200 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+  WHEN 1 THEN strftime(make_timestamp((1704067200 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S')
               || '.250000Z' END"""
 CONTEXT_SQL = f"""
 SELECT event_id AS run_id, runtime, scenario, expected_outcome, deploy_mode, job_state,

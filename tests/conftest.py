@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
