@@ -22,20 +22,27 @@ from jobscope.sources.generators import synth_range, synth_skewed
 def summarise_events(
     spark: SparkSession, source: str, output: str, run_id: str, files: int | None = None
 ) -> DataFrame:
-    """Event CSV to ``daily_country`` and ``event_type_summary``; returns the run metrics."""
+    """Event CSV to ``daily_country`` and ``event_type_summary``; returns the run metrics.
+
+    The CSV is parsed once: both summaries are computed together and staged, and the outputs
+    and counts are taken from there.
+    """
     events = rollups.with_event_date(sources.read_events_csv(spark, source))
+    staged = sinks.child_path(output, "_staging")
+    sinks.write_parquet(rollups.both(events), staged)
+    summaries = sources.read_parquet(spark, staged)
+    now = F.current_timestamp()
     daily_path = sinks.child_path(output, "daily_country")
     type_path = sinks.child_path(output, "event_type_summary")
-    now = F.current_timestamp()
-    daily = rollups.stamp(rollups.daily(events), run_id, now)
+    daily = rollups.stamp(rollups.daily_part(summaries), run_id, now)
     sinks.write_partitioned(daily, daily_path, "event_date", files)
-    by_type = rollups.stamp(rollups.by_type(events), run_id, now)
-    sinks.write_parquet(by_type, type_path)
+    sinks.write_parquet(rollups.stamp(rollups.type_part(summaries), run_id, now), type_path)
     stored = {
         "daily_country": sources.read_parquet(spark, daily_path),
         "event_type": sources.read_parquet(spark, type_path),
     }
-    return sinks.run_metrics(spark, run_id, events, stored)
+    total = F.sum("event_count")
+    return sinks.run_metrics(spark, run_id, stored["daily_country"], stored, total)
 
 
 def quarantine_events(spark: SparkSession, source: str, output: str) -> DataFrame:

@@ -24,6 +24,16 @@ def stamp(df: DataFrame, run_id: str, processed_at: Column | None = None) -> Dat
     return stamped if processed_at is None else stamped.withColumn("processed_at", processed_at)
 
 
+def _measures(customer: str, amount: str, approximate: bool = False) -> list[Column]:
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    return [
+        F.count(F.lit(1)).alias("event_count"),
+        distinct(F.col(customer)).alias("unique_customers"),
+        money_sum(F.col(amount)).alias("net_amount"),
+        money_avg(F.col(amount)).alias("average_amount"),
+    ]
+
+
 def daily(
     events: DataFrame,
     dims: Sequence[str] = ("country",),
@@ -37,15 +47,32 @@ def daily(
     The exact customer count shuffles on (group, customer) before it shuffles on the group,
     so one huge group is counted by many tasks.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return events.groupBy("event_date", *dims).agg(
-        F.count(F.lit(1)).alias("event_count"),
-        distinct(F.col(customer)).alias("unique_customers"),
-        money_sum(F.col(amount)).alias("net_amount"),
-        money_avg(F.col(amount)).alias("average_amount"),
+    return events.groupBy("event_date", *dims).agg(*_measures(customer, amount, approximate))
+
+
+def both(
+    events: DataFrame, dim: str = "country", *, customer: str = "customer_id", amount: str = "amount"
+) -> DataFrame:
+    """``daily`` and ``by_type`` in one table and one pass, told apart by ``summary``.
+
+    Reading and parsing the events is the dear part; grouping sets do it once for both.
+    """
+    keys = ["event_date", dim]
+    grouped = events.groupingSets([keys, ["event_type"]], *keys, "event_type")
+    return grouped.agg(
+        *_measures(customer, amount),
+        F.when(F.grouping("event_type") == 1, "daily").otherwise("type").alias("summary"),
     )
 
 
+def daily_part(summaries: DataFrame) -> DataFrame:
+    return summaries.where("summary = 'daily'").drop("summary", "event_type")
+
+
+def type_part(summaries: DataFrame) -> DataFrame:
+    return summaries.where("summary = 'type'").select("event_type", "event_count", "net_amount")
+
+
 def by_type(events: DataFrame, *, amount: str = "amount") -> DataFrame:
     return events.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("event_count"),

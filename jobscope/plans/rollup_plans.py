@@ -56,6 +56,26 @@ def type_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.by_type(dated_events(spark, folder))
 
 
+@query(
+    f"""
+    SELECT 'daily' AS summary, event_date, event_type AS category, NULL AS event_type, event_count,
+           unique_customers, net_amount, average_amount
+    FROM ({DAILY_SQL})
+    UNION ALL
+    SELECT 'type', NULL, NULL, t.event_type, t.event_count,
+           (SELECT count(DISTINCT user_id) FROM events e WHERE e.event_type = t.event_type),
+           net_amount,
+           (SELECT CAST((2 * CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) + count(*))
+                        // (2 * count(*)) AS DOUBLE) / 100
+            FROM events e WHERE e.event_type = t.event_type)
+    FROM ({TYPE_SQL}) t
+    """
+)
+def one_pass_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    events = dated_events(spark, folder).withColumn("category", F.col("event_type"))
+    return rollups.both(events, "category")
+
+
 @query(f"SELECT *, 'run-0001' AS run_id FROM ({TYPE_SQL})")
 def stamped_rounded(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.stamp(rollups.by_type(dated_events(spark, folder)), "run-0001")

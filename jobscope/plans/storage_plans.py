@@ -117,7 +117,7 @@ def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     for name, df in outputs.items():
         sinks.write_parquet(df, sinks.child_path(path, name))
     stored = {n: sources.read_parquet(spark, sinks.child_path(path, n)) for n in outputs}
-    return sinks.run_metrics(spark, "r1", load(spark, folder, "events"), stored)
+    return sinks.run_metrics(spark, "r1", stored["daily"], stored, F.sum("event_count"))
 
 
 @query("SELECT o_orderstatus, count(*) AS row_count FROM orders GROUP BY o_orderstatus")

@@ -23,10 +23,10 @@ def write_partitioned(df: DataFrame, path: str, by: str, files: int | None = Non
     """Overwrite a Parquet folder with one sub-folder per value of ``by``.
 
     Rows are first rebalanced by the partition column: small values share few files and a value
-    with much of the data is split over several tasks.  ``files`` is for small results only, as
-    it limits the number of writing tasks.
+    with much of the data is split over several tasks.  ``files`` sets the number of writing
+    tasks instead and is for small results only.
     """
-    laid_out = df.coalesce(files) if files else df.hint("rebalance", by)
+    laid_out = df.repartition(files) if files else df.hint("rebalance", by)
     laid_out.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
@@ -90,18 +90,28 @@ def stage_and_validate(
 
 
 def run_metrics(
-    spark: SparkSession, run_id: str, inputs: DataFrame, outputs: dict[str, DataFrame]
+    spark: SparkSession,
+    run_id: str,
+    inputs: DataFrame,
+    outputs: dict[str, DataFrame],
+    input_count: Column | None = None,
 ) -> DataFrame:
     """One row: input rows, rows of every output, and the same as JSON with sorted keys.
 
     Pass outputs as read back from where they were written: their counts then come from file
-    metadata and the plans that made them do not run again.  Counting what was stored is also
-    exact when a lost executor makes tasks run twice.
+    metadata and the plans that made them do not run again.  Where an output holds counts of the
+    input, pass it as ``inputs`` with their sum as ``input_count``, and the input is not read
+    again either.  Counting what was stored is also exact when a lost executor makes tasks run
+    twice.
     """
-    counts = {"input_rows": inputs, **{f"{n}_rows": d for n, d in outputs.items()}}
+
+    def cell(df: DataFrame, count: Column) -> Column:
+        return F.coalesce(df.agg(count.alias("n")).scalar(), F.lit(0))
+
+    rows = F.count(F.lit(1))
     cells = {
-        name: F.coalesce(df.agg(F.count(F.lit(1))).scalar(), F.lit(0))
-        for name, df in counts.items()
+        "input_rows": cell(inputs, rows if input_count is None else input_count),
+        **{f"{name}_rows": cell(df, rows) for name, df in outputs.items()},
     }
     row = spark.range(1).select(
         F.lit(run_id).alias("run_id"), *[c.alias(n) for n, c in cells.items()]
