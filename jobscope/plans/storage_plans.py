@@ -211,7 +211,8 @@ def event_log_signals(spark: SparkSession, folder: str) -> DataFrame:
         F.to_json(
             F.expr(
                 """named_struct('Event', 'SparkListenerTaskEnd', 'Stage ID', l_linenumber,
-                   'Task Info', named_struct('Task ID', l_orderkey, 'Launch Time', 1000L,
+                   'Task Info', named_struct('Task ID', xxhash64(l_orderkey, l_linenumber,
+                     l_partkey, l_suppkey, l_shipdate, l_extendedprice), 'Launch Time', 1000L,
                      'Finish Time', 1000 + cast(l_quantity * 60000 AS BIGINT)),
                    'Task Metrics', named_struct(
                      'Memory Bytes Spilled', cast(l_quantity AS BIGINT) * 1048576,

@@ -62,7 +62,7 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-_TASK_END = (
+_TASK_EVENTS = (
     "Event string, `Stage ID` bigint, "
     "`Task Info` struct<`Task ID`: bigint, `Launch Time`: bigint, `Finish Time`: bigint>, "
     "`Task Metrics` struct<`Memory Bytes Spilled`: bigint, `Disk Bytes Spilled`: bigint, "
@@ -71,19 +71,31 @@ _TASK_END = (
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Finished tasks from Spark event logs; the run id is the log's file name."""
-    events = spark.read.schema(_TASK_END).json(path)
+    """Tasks from Spark event logs, single files or rolled ones.
+
+    A task's start and end are separate events, possibly in separate files of a rolled log; a
+    task that has only started has no finish time.  The run id is the application's, taken from
+    the file name: ``<id>`` or ``events_<n>_<id>``.
+    """
+    events = spark.read.schema(_TASK_EVENTS).option("recursiveFileLookup", True).json(path)
+    file_name = F.col("_metadata.file_name")
     info, metrics = F.col("Task Info"), F.col("Task Metrics")
     finish = info["Finish Time"]
-    return events.where(F.col("Event") == "SparkListenerTaskEnd").select(
-        F.col("_metadata.file_name").alias("run_id"),
-        F.col("Stage ID").alias("stage_id"),
-        info["Task ID"].alias("task_id"),
-        info["Launch Time"].alias("launch_ms"),
-        F.when(finish > 0, finish).alias("finish_ms"),
-        F.coalesce(metrics["Memory Bytes Spilled"], F.lit(0)).alias("memory_spilled"),
-        F.coalesce(metrics["Disk Bytes Spilled"], F.lit(0)).alias("disk_spilled"),
-        metrics["Input Metrics"]["Bytes Read"].alias("input_bytes"),
+    return (
+        events.where(F.col("Event").isin("SparkListenerTaskStart", "SparkListenerTaskEnd"))
+        .where(info["Task ID"].isNotNull())
+        .groupBy(
+            F.regexp_replace(file_name, r"^events_\d+_|\.inprogress$", "").alias("run_id"),
+            F.col("Stage ID").alias("stage_id"),
+            info["Task ID"].alias("task_id"),
+        )
+        .agg(
+            F.min(info["Launch Time"]).alias("launch_ms"),
+            F.max(F.when(finish > 0, finish)).alias("finish_ms"),
+            F.coalesce(F.max(metrics["Memory Bytes Spilled"]), F.lit(0)).alias("memory_spilled"),
+            F.coalesce(F.max(metrics["Disk Bytes Spilled"]), F.lit(0)).alias("disk_spilled"),
+            F.max(metrics["Input Metrics"]["Bytes Read"]).alias("input_bytes"),
+        )
     )
 
 

@@ -174,8 +174,13 @@ def test_event_log(spark, tmp_path):
     mb = 2**20
     log = [{"Event": "SparkListenerLogStart"}, {"Event": "SparkListenerTaskEnd", "Stage ID": 9}]
     log += [task(0, 1, 0, 60_000, mb), task(0, 2, 0, 120_000, mb), task(0, 3, 0, 720_000, 2 * mb)]
-    log += [task(1, 4, 5, 0, 0)]
-    (tmp_path / "app-1").write_text("\n".join(map(json.dumps, log)))
+    started = {**task(1, 4, 5, 0, None), "Event": "SparkListenerTaskStart"}
+    begun = {**task(0, 3, 0, 0, None), "Event": "SparkListenerTaskStart"}
+    # A rolled log: the start of task 3 is in another file than its end.
+    (tmp_path / "eventlog_v2_app-1").mkdir()
+    for n, part in enumerate([[begun, *log[:3]], [*log[3:], started]], 1):
+        path = tmp_path / "eventlog_v2_app-1" / f"events_{n}_app-1"
+        path.write_text("\n".join(map(json.dumps, part)))
     got = {
         r["stage_id"]: r for r in task_metrics.task_signals(files.read_event_log(spark, str(tmp_path))).collect()
     }
