@@ -127,7 +127,7 @@ def _check_kind() -> Column:
 
 def wanted_places(runs: DataFrame) -> DataFrame:
     """(run_id, what, place): the places a checked run's logs may be in."""
-    ec2, serverless = F.col("kind") == "ec2", F.col("kind") == "serverless"
+    ec2, serverless = F.col("_check") == "ec2", F.col("_check") == "serverless"
     step = step_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("step_id"))
     app = application_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("application_id"))
     job = job_log_prefix(
@@ -154,8 +154,8 @@ def wanted_places(runs: DataFrame) -> DataFrame:
         *[F.struct(F.lit(what).alias("what"), p.alias("place")) for what, p in named.items()]
     )
     return (
-        runs.withColumn("kind", _check_kind())
-        .where("kind is not null")
+        runs.withColumn("_check", _check_kind())
+        .where("_check is not null")
         .select("run_id", F.inline_outer(places))
         .where("place is not null")
     )
@@ -187,10 +187,10 @@ def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> Da
     on_ec2 = yes("step_ready") & (
         ~F.coalesce(needs_app, F.lit(False)) | yes("application_ready")
     )
-    ready = F.when(F.col("kind") == "ec2", on_ec2).otherwise(yes("job_ready") | yes("stream_ready"))
-    logs = F.when(F.col("kind").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
+    ready = F.when(F.col("_check") == "ec2", on_ec2).otherwise(yes("job_ready") | yes("stream_ready"))
+    logs = F.when(F.col("_check").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
     return (
-        runs.withColumn("kind", _check_kind())
+        runs.withColumn("_check", _check_kind())
         .join(seen, "run_id", "left")
         .select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jobscope.operators import alarms
@@ -68,6 +70,24 @@ def test_other_periods(spark):
     assert idle_minutes(got) == [("a", 1)]
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(st.sampled_from("ab"), st.integers(0, 59), st.sampled_from([0.0, 1.0, 2.0])),
+        min_size=1,
+        max_size=60,
+    )
+)
+def test_idle_alarm_against_brute_force(spark, points):
+    df = metrics(spark, [(k, at(m), v) for k, m, v in points])
+    periods = {}
+    for k, m, v in points:
+        periods.setdefault((k, m // 5), []).append(v)
+    hot = {p for p, vs in periods.items() if sum(vs) / len(vs) >= 1}
+    want = sorted((k, 5 * p) for k, p in hot if {(k, p - 1), (k, p - 2)} <= hot)
+    assert idle_minutes(alarms.idle_alarm(df, "ts", "v", ["k"])) == want
+
+
 class Feed:
     """A folder of Parquet files a stream reads, one batch of files per drain."""
 

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import statistics
+from collections import Counter
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jobscope.operators import skew
@@ -65,6 +70,34 @@ def test_salted_join_equals_plain_join(spark, how):
     assert rows(salted) == rows(plain)
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=40),
+    st.lists(st.one_of(st.none(), st.integers(0, 6)), max_size=15),
+    st.sampled_from(["inner", "left"]),
+    st.sampled_from([0.05, 0.3, 1.0]),
+)
+def test_salted_join_for_any_keys(spark, lefts, rights, how, share):
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(lefts)], "k int, l int")
+    right = spark.createDataFrame([(k, i) for i, k in enumerate(rights)], "k int, r int")
+    salted = skew.salted_join(left, right, "k", ["l"], salts=3, min_share=share, how=how)
+    assert rows(salted) == rows(left.join(right, "k", how))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=80))
+def test_report_against_brute_force(spark, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "k int")
+    counts = Counter(keys)
+    sizes = sorted(set(counts.values()), reverse=True)
+    median = statistics.median(counts.values())
+    want = [
+        (k, n, n / len(keys), n / median, sizes.index(n) + 1, n / median >= 2)
+        for k, n in counts.items()
+    ]
+    assert rows(skew.report(df, "k", 2)) == sorted(want, key=lambda r: tuple(map(str, r)))
+
+
 def test_salted_join_spreads_only_hot_keys(spark):
     left = synth_range(spark, 3000, "IF(id % 3 = 0, 1, id) AS k", "id AS l")
     right = synth_range(spark, 3000, "id AS k")
