@@ -114,5 +114,8 @@ def window_label(start: Column, end: Column) -> Column:
 
 
 def padded_id(prefix: str, number: Column, width: int) -> Column:
-    """``prefix`` and the number with leading zeros; wider numbers keep all their digits."""
-    return F.concat(F.lit(prefix), F.format_string(f"%0{width}d", number))
+    """``prefix`` and an id with leading zeros; wider ids keep all their digits."""
+    digits = number.cast("string")
+    return F.concat(
+        F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+    )

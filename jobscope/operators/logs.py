@@ -170,7 +170,9 @@ def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> Da
     """
     seen = (
         wanted_places(runs)
-        .join(place_flags(listing, streams), "place")
+        # Paths are long texts built from short columns, so file sizes say little about the size
+        # of this side: never broadcast it.
+        .join(place_flags(listing, streams).hint("merge"), "place")
         .groupBy("run_id")
         .agg(
             *[
@@ -191,7 +193,7 @@ def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> Da
     logs = F.when(F.col("_check").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
     return (
         runs.withColumn("_check", _check_kind())
-        .join(seen, "run_id", "left")
+        .join(seen.hint("merge"), "run_id", "left")
         .select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
     )
 

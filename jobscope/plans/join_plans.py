@@ -81,11 +81,9 @@ def missing_indexes(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("t"), "l_suppkey").alias("tablename"),
         F.concat(F.lit("C"), "l_linenumber").alias("column_name"),
     )
-    column = F.col("o_orderkey") % 6
-    indexes = load(spark, folder, "orders").select(
-        F.concat(F.lit("t"), "o_custkey").alias("tablename"),
-        F.format_string(
-            "CREATE INDEX i%d ON t%d USING btree ( c%d, c99)", "o_orderkey", "o_custkey", column
-        ).alias("indexdef"),
+    indexes = load(spark, folder, "orders").selectExpr(
+        "concat('t', o_custkey) AS tablename",
+        "concat('CREATE INDEX i', o_orderkey, ' ON t', o_custkey, ' USING btree ( c', "
+        "o_orderkey % 6, ', c99)') AS indexdef",
     )
     return joins.missing_indexes(keys, indexes)

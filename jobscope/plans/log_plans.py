@@ -78,10 +78,10 @@ def ready_runs(spark: SparkSession, folder: str) -> DataFrame:
         "if(o_orderkey % 2 = 0, 'cluster', 'client') AS deploy_mode",
         "if(o_orderkey % 31 = 0, '', 's3n://logs/') AS log_uri",
         "'us-east-1' AS region",
-        "concat('j-', o_custkey) AS cluster_id",
+        "concat('j-', o_orderkey % 97) AS cluster_id",
         "concat('s-', o_orderkey) AS step_id",
         "if(o_orderkey % 5 = 0, NULL, concat('a-', o_orderkey)) AS application_id",
-        "concat('sa-', o_custkey) AS serverless_application_id",
+        "concat('sa-', o_orderkey % 89) AS serverless_application_id",
         "concat('jr-', o_orderkey) AS job_run_id",
         "if(o_custkey % 2 = 0, 'lg', NULL) AS cloudwatch_log_group",
         "'/pre/' AS cloudwatch_log_stream_prefix",
@@ -113,17 +113,13 @@ def ready_runs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def log_readiness(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as listed files and log streams of their order."""
-    files = (
-        load(spark, folder, "lineitem")
-        .join(
-            load(spark, folder, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey"),
-            "l_orderkey",
-        )
-    )
+    files = load(spark, folder, "lineitem")
     listing = files.selectExpr(
-        "elt(l_linenumber % 3 + 1, concat('s3://logs/j-', o_custkey, '/steps/s-', l_orderkey, '/'), "
-        "concat('s3a://logs/j-', o_custkey, '/containers/a-', l_orderkey, '/'), "
-        "concat('s3://logs/applications/sa-', o_custkey, '/jobs/jr-', l_orderkey, '/')) AS prefix",
+        "elt(l_linenumber % 3 + 1, concat('s3://logs/j-', l_orderkey % 97, '/steps/s-', "
+        "l_orderkey, '/'), "
+        "concat('s3a://logs/j-', l_orderkey % 97, '/containers/a-', l_orderkey, '/'), "
+        "concat('s3://logs/applications/sa-', l_orderkey % 89, '/jobs/jr-', l_orderkey, '/')) "
+        "AS prefix",
         "concat('2026-01-01 00:00:00  99 x/', elt(l_linenumber % 3 + 1, "
         "CASE l_returnflag WHEN 'N' THEN 'note' ELSE 'controller.gz' END, "
         "CASE l_returnflag WHEN 'A' THEN 'stdout' WHEN 'N' THEN 'controller' ELSE 'n' END, "
@@ -132,7 +128,7 @@ def log_readiness(spark: SparkSession, folder: str) -> DataFrame:
     streams = files.selectExpr(
         "'lg' AS log_group",
         "concat(if(l_linenumber % 2 = 0 AND l_suppkey % 2 = 0, 'pre', 'other'), "
-        "'/applications/sa-', o_custkey, '/jobs/jr-', l_orderkey, '/driver/', l_linenumber) "
+        "'/applications/sa-', l_orderkey % 89, '/jobs/jr-', l_orderkey, '/driver/', l_linenumber) "
         "AS stream",
     )
     return logs.log_readiness(ready_runs(spark, folder), listing, streams).select("run_id", "logs")
