@@ -51,7 +51,11 @@ def daily(
 
 
 def both(
-    events: DataFrame, dim: str = "country", *, customer: str = "customer_id", amount: str = "amount"
+    events: DataFrame,
+    dim: str = "country",
+    *,
+    customer: str = "customer_id",
+    amount: str = "amount",
 ) -> DataFrame:
     """``daily`` and ``by_type`` in one table and one pass, told apart by ``summary``.
 
