@@ -1,0 +1,100 @@
+"""p-stable hashing against all cosines."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from jobscope.llm import embedding_dedup
+from jobscope.llm.queries import ORACLES, QUERIES
+from tests.conftest import DATA
+from tests.oracle import connect, difference
+
+SCHEMA = "vec_id long, embedding array<float>, label int, links string"
+
+
+def plain(rows, threshold=0.93):
+    n = len(rows)
+    links, group = [0] * n, list(range(n))
+    unit = []
+    for _, v, label, *_ in rows:
+        fit = v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v or [])
+        x = np.array(v, np.float64) if fit else None
+        unit.append(None if x is None else x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()))
+    for a in range(n):
+        for b in range(a):
+            if unit[a] is None or unit[b] is None or rows[a][2] != rows[b][2] or len(unit[a]) != len(unit[b]):
+                continue
+            if unit[a] @ unit[b] >= threshold:
+                links[a] += 1
+                links[b] += 1
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    out = []
+    for i in range(n):
+        ids = [rows[j][0] for j in range(n) if group[j] == group[i] and rows[j][0] is not None]
+        least = min(ids, default=None)
+        out.append((rows[i][0], links[i], least, rows[i][0] == least))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted(map(tuple, df.select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+
+
+def test_sql(spark):
+    con = connect(f"{DATA}/sf0.01")
+    got = QUERIES["op4_embedding_near_dedup"](spark, f"{DATA}/sf0.01")
+    assert difference(got, con, ORACLES["op4_embedding_near_dedup"]) is None
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 8])
+def test_groups_copies_and_blocks(spark, bucket_rows):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(8):
+        centre = rng.standard_normal(12)
+        for _ in range(30):
+            rows.append((len(rows), (centre + 0.08 * rng.standard_normal(12)).tolist(), g % 2, "x"))
+    rows += [(1000 + i, rows[3][1], rows[3][2], "x") for i in range(100)]
+    rows = [(i, np.float32(v).tolist(), g, x) for i, v, g, x in rows]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), tables=60, bucket_rows=bucket_rows)
+    assert found(got) == plain(rows)
+
+
+def test_odd_rows(spark):
+    nan = float("nan")
+    rows = [
+        (1, [1.0, 0.0], 0), (2, [1.0, 0.0], None), (3, [2.0, 0.0], 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, None, 0),
+        (7, [None, 1.0], 0), (8, [], 0), (9, [1.0], 0), (10, [1.0, 0.0], 1), (1, [1.0, 0.0], 0), (None, [3e38, 1.0], 0),
+        (None, [0.0, 1.0], 0), (11, [-0.0, 1.0], 0), (12, [0.0, -1.0], 0),
+    ]
+    rows = [(*r, None) for r in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # a row without id is kept when its group has no id at all: None == None
+    assert found(embedding_dedup.near_duplicates(df)) == plain(rows)
+    assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_recall_of_the_index():
+    """Pairs just above the threshold meet as often as the tables were chosen for."""
+    rng = np.random.default_rng(5)
+    x = embedding_dedup._unit(rng.standard_normal((3000, 64)))
+    side = rng.standard_normal((3000, 64))
+    side = embedding_dedup._unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    y = 0.9301 * x + math.sqrt(1 - 0.9301**2) * side
+    tables = embedding_dedup.tables_needed()
+    met = (embedding_dedup._hashes(x, tables, 7) == embedding_dedup._hashes(y, tables, 7)).any(axis=1)
+    assert met.mean() > 0.95
+
+
+def test_recall_on_the_given_vectors():
+    t = pq.read_table(f"{DATA}/sf0.1/embeddings.parquet")
+    unit = embedding_dedup._unit(np.array(t["embedding"].to_pylist(), np.float64))
+    label = np.array(t["label"].to_pylist())
+    buckets = embedding_dedup._hashes(unit, embedding_dedup.tables_needed(), embedding_dedup.SEED)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1) & (label[:, None] == label))
+    assert len(a) > 100 and (buckets[a] == buckets[b]).any(axis=1).mean() >= 0.99
