@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import bounded_batches, held_out
+from jobscope.llm.common import bounded_batches, held_out, stored
 
 # The classifier is fitted on at most this many labelled documents of each class.
 SAMPLE_PER_CLASS = 2_000
@@ -18,10 +18,13 @@ GRAMS = (3, 4, 5)
 # Hashed features: 2 ** BITS.
 BITS = 18
 SMOOTHING = 0.1
-# Features whose log-count ratio is closer to zero say nothing and are left out.
+# Only features that speak for toxicity count: their log-count ratio is at least this, and so many
+# documents of the sample have them.  What harmless words stand around an insult must not outweigh
+# it, and what a few clean documents happen to share is no evidence for others.
 LEAST_RATIO = 0.7
-STEPS = 60
-PENALTY = 1e-6
+LEAST_DOCUMENTS = 3
+STEPS = 100
+PENALTY = 1e-5
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CHARS = 1 << 17  # characters of a text hashed at once
@@ -85,33 +88,57 @@ def _constant(share: float) -> Model:
     return Model(np.zeros(1 << BITS, np.float32), 60.0 if share > 0.5 else -60.0)
 
 
-def _train(rows: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray, bits: int) -> Model:
-    """Logistic regression on the scaled features of rows (row, index, value triples)."""
-    size = 1 << bits
-    of_toxic = toxic[rows] > 0
-    p = np.bincount(index[of_toxic], value[of_toxic], size)
-    q = np.bincount(index[~of_toxic], value[~of_toxic], size)
-    unit = SMOOTHING / size
+def _ratios(p: np.ndarray, q: np.ndarray, held: np.ndarray, toxic: int) -> np.ndarray:
+    """Log-count ratios per feature; 0 for features that are left out.
+
+    ``p`` and ``q`` are the features' sums over toxic and over clean documents, ``held`` how many
+    documents have them.
+    """
+    unit = SMOOTHING / len(p)
     ratio = np.log((p / max(p.sum(), 1e-12) + unit) / (q / max(q.sum(), 1e-12) + unit))
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
-    telling = ratio[index] != 0
-    rows, index, value = rows[telling], index[telling], value[telling]
+    ratio[(ratio < LEAST_RATIO) | (held < min(LEAST_DOCUMENTS, toxic))] = 0.0
+    return ratio
+
+
+def _train(rows: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray, ratio: np.ndarray) -> Model:
+    """Logistic regression on (row, index, value) triples, each value scaled by its feature's ratio."""
+    size = len(ratio)
     # features of equal scale: the mean square over rows is one
     x = value * ratio[index]
     scale = 1 / max(float(np.sqrt(np.bincount(rows, x * x, len(toxic)).mean())), 1e-12)
     x = x * scale
-    weights, bias = np.ones(size), 0.0
+    weights, bias = np.zeros(size), 0.0
     sign = np.where(toxic > 0, 1.0, -1.0)
+    share = np.where(toxic > 0, 0.5 / (toxic > 0).sum(), 0.5 / (toxic <= 0).sum())  # both classes weigh alike
     speed, memory = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):  # Adam over all rows
         margin = np.bincount(rows, x * weights[index], len(toxic)) + bias
-        pull = -sign / (1 + np.exp(np.clip(sign * margin, -60, 60))) / len(toxic)
+        pull = -sign / (1 + np.exp(np.clip(sign * margin, -60, 60))) * share
         slope = np.append(np.bincount(index, x * pull[rows], size) + PENALTY * weights, pull.sum())
         speed = 0.9 * speed + 0.1 * slope
         memory = 0.99 * memory + 0.01 * slope * slope
         move = 0.1 * (speed / (1 - 0.9**step)) / (np.sqrt(memory / (1 - 0.99**step)) + 1e-9)
         weights, bias = weights - move[:-1], bias - move[-1]
-    return Model((weights * ratio * scale).astype(np.float32), float(bias), GRAMS, bits)
+    return Model((weights * ratio * scale).astype(np.float32), float(bias))
+
+
+def _sums(sample: DataFrame) -> DataFrame:
+    """``feature`` with its sums ``p`` over toxic and ``q`` over clean texts, and texts that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 << BITS))
+        held = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                index, value = _features(text.as_py(), GRAMS, BITS)
+                sums[toxic, index] += value
+                held[index] += 1
+        found = np.flatnonzero(held)
+        columns = [found, sums[1, found], sums[0, found], held[found]]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["feature", "p", "q", "held"])
+
+    summed = sample.mapInArrow(run, "feature bigint, p double, q double, held bigint")
+    return summed.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("held").alias("held"))
 
 
 def fit(
@@ -124,10 +151,11 @@ def fit(
 ) -> Model:
     """A model of the labelled documents that are not held out.
 
-    Of each class it sees the ``sample_per_class`` documents whose ids have the lowest hashes,
-    so what reaches the driver is bounded: their features.  An id with several labels has the
-    highest; rows with a NULL id or label are left out.  With one class only, or none, the model
-    is constant.
+    Of each class it sees the ``sample_per_class`` documents whose ids have the lowest hashes.
+    Features are summed where the texts are; what reaches the driver are at most ``2 ** BITS``
+    sums, and of the sample's texts the features that are kept.  An id with several labels has
+    the highest; rows with a NULL id or label are left out.  With one class only, none, or no
+    feature that tells them apart, the model is constant.
     """
     bounded_batches(documents.sparkSession)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & ~held_out(F.col(id_column)))
@@ -138,10 +166,24 @@ def fit(
     read = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     # one text per id, so that a repeated id doesn't grow the sample
     sample = read.join(wanted, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    sample = stored(sample.select("toxic", "text"), "toxicity-sample")
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if positive in (0, n):
+        return _constant(positive / n if n else 0.0)
+    p, q, held = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
+    summed = _sums(sample).toArrow()
+    at = summed.column("feature").to_numpy()
+    for column, name in ((p, "p"), (q, "q"), (held, "held")):
+        column[at] = summed.column(name).to_numpy()
+    del summed
+    ratio = _ratios(p, q, held, positive)
+    if not ratio.any():
+        return _constant(positive / n)
+    active = ratio != 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_features(t.as_py(), GRAMS, BITS) for t in batch.column(1)]
+            found = [_features(t.as_py(), GRAMS, BITS, active) for t in batch.column(1)]
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -151,15 +193,11 @@ def fit(
                 names=["toxic", "index", "value"],
             )
 
-    read = sample.select("toxic", "text").mapInArrow(run, "toxic int, index binary, value binary").toArrow()
-    toxic = read.column("toxic").to_numpy()
-    if len(set(toxic.tolist())) < 2:
-        return _constant(float(toxic.mean()) if len(toxic) else 0.0)
+    read = sample.mapInArrow(run, "toxic int, index binary, value binary").toArrow()
     index = [np.frombuffer(b, "<i4") for b in read.column("index").to_pylist()]
     value = [np.frombuffer(b, "<f4") for b in read.column("value").to_pylist()]
-    del read
     rows = np.repeat(np.arange(len(index), dtype=np.int32), [len(i) for i in index])
-    return _train(rows, np.concatenate(index), np.concatenate(value), toxic, BITS)
+    return _train(rows, np.concatenate(index), np.concatenate(value), read.column("toxic").to_numpy(), ratio)
 
 
 def score(documents: DataFrame, model: Model, text_column: str = "text", to: str = "score") -> DataFrame:

@@ -113,11 +113,11 @@ def test_language_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, language int")
     profiles = language.fit(df)
     assert profiles.names == ["de", "en"]
-    got = {r["doc_id"]: r for r in language.identify(df, profiles).collect()}
+    got = {r["doc_id"]: r["language"] for r in language.identify(df, profiles).collect()}
     assert (got[0]["lang_pred"], got[101]["lang_pred"], got[None]["lang_pred"], got[204]["lang_pred"]) == ("de", "en", "en", "en")
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (201, 202, 203))
     bare = language.fit(df.limit(0))
-    assert {r["lang_pred"] for r in language.identify(df, bare).collect()} == {"und"}
+    assert {r["language"]["lang_pred"] for r in language.identify(df, bare).collect()} == {"und"}
     assert language.identify(df.limit(0), profiles).collect() == []
 
 
@@ -125,4 +125,7 @@ def test_sample_bounds_hold(spark):
     rows = [(i, f"aa{'b' * (i % 3)} ", "de") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language.fit(df, sample_per_language=20).names == ["de"]
-    assert toxicity.fit(df, df.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"), sample_per_class=10).weights.any()
+    labels = df.selectExpr("doc_id", "CAST(doc_id % 3 = 2 AS INT) AS toxic")
+    assert toxicity.fit(df, labels, sample_per_class=10).weights.any()
+    same = df.selectExpr("doc_id", "'equal' AS text")
+    assert toxicity.fit(same, labels).scores(["equal", ""]) == [0.0, 0.0] or not toxicity.fit(same, labels).weights.any()
