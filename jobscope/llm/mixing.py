@@ -23,7 +23,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 # Documents that go through one flight together.
-FLIGHT_ROWS = 20_000
+FLIGHT_ROWS = 2_000
 _TINY = 1e-9
 
 
@@ -159,7 +159,8 @@ def mix(
         word_count(text_column).alias("size"),
     )
     sized = stored(sized.groupBy(*sized.columns).agg(F.count("*").alias("rows")), "sizes")
-    wanted = targets(sized, weights, share, most)
+    words = (F.col("size") * F.col("rows")).alias("size")
+    wanted = targets(sized.select("source", words), weights, share, most)
     often = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sized.join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     expected = often * F.col("rows")
@@ -209,8 +210,10 @@ def repeat(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in documents.columns]
     chosen = mixed.where("copies > 0").select(F.col("key").alias("_key"), "rows", F.col("copies").alias("_copies"))
     keyed = documents.select(_row_key(documents).alias("_key"), F.struct(*columns).alias("_row"))
-    once = keyed.join(chosen.where("rows = 1").drop("rows"), "_key")
-    several = keyed.join(chosen.where("rows > 1").drop("rows"), "_key")
-    several = several.groupBy("_key", "_copies").agg(F.first("_row").alias("_row"))
-    taken = once.unionByName(several).withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
-    return taken.select("_row.*")
+    # The numbers grow with the documents, so both sides are moved by their key at every size.
+    taken = keyed.join(chosen.where("rows = 1").drop("rows").hint("merge"), "_key")
+    repeated = chosen.where("rows > 1").drop("rows")
+    if not repeated.isEmpty():
+        several = keyed.join(repeated, "_key")
+        taken = taken.unionByName(several.groupBy("_key", "_copies").agg(F.first("_row").alias("_row")))
+    return taken.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
