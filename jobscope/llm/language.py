@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import bounded_batches, cached, held_out
+from jobscope.llm.common import bounded_batches, cached, held_out, stored
 
 UNDETERMINED = "und"
 # N-grams of one to three characters; three code points fit one 64-bit number.
@@ -138,6 +138,8 @@ def fit(
     few = named.distinct().join(sizes, "language").where(low).select("language", "id")
     number = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("id"), "id"))
     few = few.withColumn("number", number).where(F.col("number") <= sample_per_language).drop("number")
+    # as a stored table Spark knows its size, and need not move the texts to find it small
+    few = stored(few, "language-sample")
     read = use.select(
         F.col(language_column).alias("language"), F.col(id_column).alias("id"), F.col(text_column).alias("text")
     )
@@ -168,8 +170,13 @@ def fit(
     return Profiles({name: np.array(g, np.int64).view(np.uint64) for name, g in languages.items()}, ranks)
 
 
-def identify(documents: DataFrame, profiles: Profiles, text_column: str = "text") -> DataFrame:
-    """The documents with ``lang_pred`` and ``score`` (0 to 1) of their whole text; nothing is shuffled."""
+def identify(
+    documents: DataFrame, profiles: Profiles, text_column: str = "text", to: str = "language"
+) -> DataFrame:
+    """The documents with ``struct(lang_pred, score)`` of their whole text in column ``to``.
+
+    A column of that name is replaced.  Nothing is shuffled.
+    """
     bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
 
@@ -181,4 +188,4 @@ def identify(documents: DataFrame, profiles: Profiles, text_column: str = "text"
             names=["lang_pred", "score"],
         )
 
-    return documents.withColumn("_language", run(F.col(text_column))).select("*", "_language.*").drop("_language")
+    return documents.withColumn(to, run(F.col(text_column)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.llm import chat, embedding_dedup, html_text, language, mixing, packing, simhash, topk, toxicity, warc
-from jobscope.llm.common import held_out, stored
+from jobscope.llm.common import held_out
 from jobscope.session import load
 
 QUERIES: dict = {}
@@ -44,7 +44,7 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(load(spark, folder, "documents"), *vocabulary())
     # only the digest of the ids goes on; the ids themselves are not moved
     kept = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(stored(kept, "pieces"), order=("doc_id", "piece", "ids_crc32"))
+    return packing.pack(kept)
 
 
 @_query(
@@ -174,4 +174,4 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = load(spark, folder, "documents")
     profiles = language.fit(documents)
     found = language.identify(documents.select("doc_id", "text"), profiles)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
