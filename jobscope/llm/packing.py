@@ -142,20 +142,23 @@ def _place(runs: list[Run], length: Column, rank: Column) -> Column:
 def pack(cut: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Every piece with ``sequence_id`` and ``offset``: as few sequences as the method finds.
 
-    ``cut`` has a ``length`` and is read several times, so it should be a stored table.  Pieces
-    of one length are interchangeable and take their places by rank.  Ranks are counted in slices
-    of about ``ROWS_PER_TASK`` pieces, so a length that a third of all pieces have is no task's
-    burden; rows that repeat in all columns share a slice's order arbitrarily but evenly.
+    ``cut`` has a ``length``; it is written once, with a number for each row, and read from there.
+    Pieces of one length are interchangeable and take their places by rank.  Ranks are counted in
+    slices of about ``ROWS_PER_TASK`` pieces, so neither a length nor a row that a third of all
+    pieces share is one task's burden.
     """
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
+    salt = F.xxhash64(*order, F.monotonically_increasing_id())
+    salted = stored(cut.withColumn("_salt", salt), "pieces")
+    counted = salted.groupBy("length").agg(F.count("*").alias("n"))
+    histogram = {r["length"]: r["n"] for r in counted.toLocalIterator()}
     runs = pack_histogram(histogram, capacity)
     slices = [1 + histogram.get(i, 0) // ROWS_PER_TASK for i in range(capacity + 1)]
     many = F.element_at(F.array(*map(F.lit, slices)), (F.col("length") + 1).cast("int"))
-    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64(*order), many))
+    sliced = salted.withColumn("_slice", F.pmod("_salt", many))
     counts = sliced.groupBy("length", "_slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*order))
+    within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*order, "_salt"))
     ranked = sliced.withColumn("_rank", within - 1).join(bases, ["length", "_slice"])
     placed = ranked.withColumn("_place", _place(runs, F.col("length"), F.col("_base") + F.col("_rank")))
     return placed.select(*cut.columns, "_place.sequence_id", "_place.offset")

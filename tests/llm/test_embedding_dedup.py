@@ -92,7 +92,7 @@ def test_recall_of_the_index():
 
 
 def test_recall_on_the_given_vectors():
-    t = pq.read_table(f"{DATA}/sf0.1/embeddings.parquet")
+    t = pq.read_table(f"{DATA}/check_s/embeddings.parquet")
     unit = embedding_dedup._unit(np.array(t["embedding"].to_pylist(), np.float64))
     label = np.array(t["label"].to_pylist())
     buckets = embedding_dedup._hashes(unit, embedding_dedup.tables_needed(), embedding_dedup.SEED)
