@@ -4,34 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from jobscope.operators.slices import running_counts
+
+
+def covers_median(n: str) -> Column:
+    """Marks the one or two values the median lies on, among rows of ``running_counts``."""
+    lower, upper = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
+    upto = F.col("before") + F.col(n)
+    return ((F.col("before") < lower) & (upto >= lower)) | ((F.col("before") < upper) & (upto >= upper))
 
 
 def grouped_median(df: DataFrame, groups: Sequence[str], value: str, alias: str) -> DataFrame:
     """Exact median of ``value`` per group.
 
-    Equal values are counted before any group comes together, spread over (group, value); the
-    running count then walks the distinct values of a group in a sort that can spill.
+    Equal values are counted before anything meets, and a large group is walked in slices.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    group = Window.partitionBy(*groups)
-    upto = F.sum("_n").over(
-        group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counts.select(
-        *groups, value, "_n", upto.alias("_hi"), F.sum("_n").over(group).alias("_total")
-    )
-    lower, upper = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
-    before = F.col("_hi") - F.col("_n")
-    covers_lower = (before < lower) & (F.col("_hi") >= lower)
-    covers_upper = (before < upper) & (F.col("_hi") >= upper)
-    middle = ranked.where(covers_lower | covers_upper)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    middle = running_counts(counts, value, "_n", groups).where(covers_median("_n"))
     return middle.groupBy(*groups).agg(
         ((F.min(value) + F.max(value)) / 2).cast("double").alias(alias)
     )

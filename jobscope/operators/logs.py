@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobscope.functions.runtimes import canonical_runtime
 from jobscope.functions.text import (
@@ -28,20 +29,16 @@ from jobscope.vocab import (
 
 
 def matching_rules(line: Column, rules: Sequence[tuple[str, str]] = SIGNAL_RULES) -> Column:
-    """The (category, phrase) rules whose phrase a line holds, whatever its case."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("category"), F.lit(p).alias("phrase"), F.lit(p.lower()).alias("low")
-            )
-            for c, p in rules
-        ]
-    )
-    # The line is lowered once and bound as `low`, not once per phrase.
-    return F.flatten(
-        F.transform(
-            F.array(F.lower(line)),
-            lambda low: F.filter(table, lambda r: F.contains(low, r["low"])),
+    """The (category, phrase) rules whose phrase a lower-cased line holds."""
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.contains(line, F.lit(p.lower())),
+                    F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase")),
+                )
+                for c, p in rules
+            ]
         )
     )
 
@@ -49,12 +46,17 @@ def matching_rules(line: Column, rules: Sequence[tuple[str, str]] = SIGNAL_RULES
 def scan_signals(
     lines: DataFrame, rules: Sequence[tuple[str, str]] = SIGNAL_RULES, text: str = "line"
 ) -> DataFrame:
-    """Lines that hold a known phrase, one row per phrase found.
+    """Lines that hold a known phrase, whatever its case, one row per phrase found.
 
-    The rules are part of the expression, so lines are neither joined nor shuffled, and a line
-    without a match leaves at once.
+    The rules are part of compiled expressions, so lines are neither joined nor shuffled; a line
+    is lowered once, and one without any phrase is filtered out before rules are listed.
     """
-    return lines.select("*", F.inline(matching_rules(F.col(text), rules))).drop("low")
+    lowered = lines.withColumn("_low", F.lower(F.col(text)))
+    phrases = sorted({p.lower() for _, p in rules})
+    some = F.lit(False)
+    for p in phrases:
+        some = some | F.contains(F.col("_low"), F.lit(p))
+    return lowered.where(some).select("*", F.inline(matching_rules(F.col("_low"), rules))).drop("_low")
 
 
 def file_rank(file_name: Column) -> Column:
@@ -63,14 +65,42 @@ def file_rank(file_name: Column) -> Column:
     return F.nullif(rank, F.lit(0))
 
 
+def _line_place(lines: DataFrame) -> Column:
+    """``line_no`` as one number in the same order."""
+    if not isinstance(lines.schema["line_no"].dataType, StructType):
+        return F.col("line_no").cast("decimal(38,0)")
+    shift = F.lit(str(2**63)).cast("decimal(19,0)")
+    split = F.col("line_no.split_start").cast("decimal(19,0)") * shift
+    return (split + F.col("line_no.row_in_split")).cast("decimal(38,0)")
+
+
 def application_ids(lines: DataFrame, key: str = "run_id") -> DataFrame:
-    """Per run the first application id, by file order and then line order."""
+    """Per run the first application id: by file order, then file path, then line order.
+
+    The first line of each file is a minimum of numbers, found by a hash aggregate where the
+    lines are read; only files are ranked, and only their first lines looked up again.
+    """
+    path = "file_path" if "file_path" in lines.columns else "file_name"
     found = lines.select(
-        key,
+        F.col(key),
+        F.col(path).alias("_path"),
+        file_rank(F.col("file_name")).alias("_rank"),
+        _line_place(lines).alias("_line"),
         application_id(F.col("line")).alias("application_id"),
-        F.struct(file_rank(F.col("file_name")).alias("rank"), F.col("line_no")).alias("place"),
-    ).where("application_id is not null and place.rank is not null")
-    return found.groupBy(key).agg(F.min_by("application_id", "place").alias("application_id"))
+    ).where("application_id IS NOT NULL AND _rank IS NOT NULL")
+    files = found.groupBy(F.col(key).alias("_key"), F.col("_path").alias("_file"), "_rank").agg(
+        F.min("_line").alias("_first")
+    )
+    order = Window.partitionBy("_key").orderBy("_rank", "_file")
+    first = files.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    same = (
+        F.col(key).eqNullSafe(F.col("_key"))
+        & (F.col("_path") == F.col("_file"))
+        & (F.col("_line") == F.col("_first"))
+    )
+    return found.join(first.select("_key", "_file", "_first"), same, "left_semi").select(
+        key, "application_id"
+    )
 
 
 def place_flags(listing: DataFrame, streams: DataFrame) -> DataFrame:
@@ -125,8 +155,12 @@ def _check_kind() -> Column:
     return F.when(_is_running(), None).when(ec2, "ec2").when(serverless, "serverless")
 
 
-def wanted_places(runs: DataFrame) -> DataFrame:
-    """(run_id, what, place): the places a checked run's logs may be in."""
+def with_places(runs: DataFrame) -> DataFrame:
+    """Runs with ``_check`` and the two places a checked run's logs may be in.
+
+    ``_main`` is where its own log lies (step log or job log), ``_other`` where else it may or must
+    be (application log or log stream).
+    """
     ec2, serverless = F.col("_check") == "ec2", F.col("_check") == "serverless"
     step = step_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("step_id"))
     app = application_log_prefix(F.col("log_uri"), F.col("cluster_id"), F.col("application_id"))
@@ -141,23 +175,16 @@ def wanted_places(runs: DataFrame) -> DataFrame:
         F.lit("jobs"),
         F.col("job_run_id"),
     )
-    named = {
-        "step": F.when(ec2, step),
-        "application": F.when(ec2 & _given("application_id"), app),
-        "job": F.when(serverless & _given("log_uri"), job),
-        "stream": F.when(
-            serverless & _given("cloudwatch_log_group", "cloudwatch_log_stream_prefix"),
-            stream_place(F.col("cloudwatch_log_group"), stream),
-        ),
-    }
-    places = F.array(
-        *[F.struct(F.lit(what).alias("what"), p.alias("place")) for what, p in named.items()]
+    # A run without a place meets nothing, and such runs don't all meet in one task.
+    nowhere = F.concat(F.lit("\0"), F.xxhash64("run_id").cast("string"))
+    main = F.when(ec2, step).when(serverless & _given("log_uri"), job)
+    other = F.when(ec2 & _given("application_id"), app).when(
+        serverless & _given("cloudwatch_log_group", "cloudwatch_log_stream_prefix"),
+        stream_place(F.col("cloudwatch_log_group"), stream),
     )
-    return (
-        runs.withColumn("_check", _check_kind())
-        .where("_check is not null")
-        .select("run_id", F.inline_outer(places))
-        .where("place is not null")
+    checked = runs.withColumn("_check", _check_kind())
+    return checked.withColumns(
+        {"_main": F.coalesce(main, nowhere), "_other": F.coalesce(other, nowhere)}
     )
 
 
@@ -166,36 +193,23 @@ def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> Da
 
     Listings and streams are the big inputs; both are reduced to one row per place in a single
     pass before anything is joined, so a run with millions of listed files costs no more than
-    any other.
+    any other.  Runs are read once, and each looks at its two places.
     """
-    seen = (
-        wanted_places(runs)
-        # Paths are long texts built from short columns, so file sizes say little about the size
-        # of this side: never broadcast it.
-        .join(place_flags(listing, streams).hint("merge"), "place")
-        .groupBy("run_id")
-        .agg(
-            *[
-                F.bool_or((F.col("what") == what) & F.col(f"has_{what}")).alias(f"{what}_ready")
-                for what in ("step", "application", "job", "stream")
-            ]
-        )
-    )
-
-    def yes(name):
+    flags = place_flags(listing, streams)
+    # Paths are long texts built from short columns, so file sizes say little about the size of
+    # these sides: the first join is never a broadcast.  Spark plans the second.
+    mine = flags.select(F.col("place").alias("_main"), "has_step", "has_job").hint("merge")
+    elsewhere = flags.select(F.col("place").alias("_other"), "has_application", "has_stream")
+    met = with_places(runs).join(mine, "_main", "left").join(elsewhere, "_other", "left")
+
+    def yes(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
     needs_app = (F.col("deploy_mode") == "cluster") & (F.col("expected_outcome") == "failed")
-    on_ec2 = yes("step_ready") & (
-        ~F.coalesce(needs_app, F.lit(False)) | yes("application_ready")
-    )
-    ready = F.when(F.col("_check") == "ec2", on_ec2).otherwise(yes("job_ready") | yes("stream_ready"))
+    on_ec2 = yes("has_step") & (~F.coalesce(needs_app, F.lit(False)) | yes("has_application"))
+    ready = F.when(F.col("_check") == "ec2", on_ec2).otherwise(yes("has_job") | yes("has_stream"))
     logs = F.when(F.col("_check").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
-    return (
-        runs.withColumn("_check", _check_kind())
-        .join(seen.hint("merge"), "run_id", "left")
-        .select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
-    )
+    return met.select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
 
 
 def runs_without_logs(runs: DataFrame, lines: DataFrame, key: str) -> DataFrame:

@@ -80,13 +80,15 @@ def pod_signals(pods: DataFrame) -> DataFrame:
 
 
 def run_signals(pods: DataFrame, key: str = "run_id") -> DataFrame:
-    """Per run, whether any of its pods shows either signal, and its pod count."""
-    return (
-        pod_signals(pods.where(mentions_run(F.col("metadata"), F.col(key))))
-        .groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("pod_count"),
-            F.bool_or("pending").alias("any_pending"),
-            F.bool_or("image_pull").alias("any_image_pull"),
-        )
+    """Per run, whether any of its pods shows either signal, and its pod count.
+
+    A run none of whose pods mentions it stays, with a count of 0.
+    """
+    own = mentions_run(F.col("metadata"), F.col(key))
+
+    def any_own(signal: str) -> Column:
+        return F.bool_or(F.coalesce(own & F.col(signal), F.lit(False))).alias(f"any_{signal}")
+
+    return pod_signals(pods).groupBy(key).agg(
+        F.count_if(own).alias("pod_count"), any_own("pending"), any_own("image_pull")
     )

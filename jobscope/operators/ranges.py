@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobscope.operators.slices import running_counts
+
 
 @dataclass(frozen=True)
 class Strides:
@@ -87,43 +89,21 @@ def case_bucket(col: Column, pivot: int) -> Column:
     return F.when(col < pivot, F.lit(1).cast("bigint")).otherwise(col.cast("bigint"))
 
 
-def suggest_bounds(df: DataFrame, col: str, partitions: int, slices: int = 128) -> DataFrame:
+def suggest_bounds(df: DataFrame, col: str, partitions: int) -> DataFrame:
     """Upper bounds that split the rows evenly: the k/n discrete quantiles, exactly.
 
-    Values are counted first.  Their running count needs an order over all values, which one
-    window could only do in one task; here approximate cuts slice the value range, the slice
-    totals (at most ``slices`` + 1 rows) give each slice its offset, and the running count is
-    taken inside the slices in parallel.  The cuts decide balance, not the answer.
+    Values are counted first; their running count is taken in slices, as many as the number of
+    distinct values asks for.
     """
     counts = (
         df.where(F.col(col).isNotNull())
         .groupBy(F.col(col).alias("bound"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    at = [i / slices for i in range(1, slices)]
-    # `n > 0` always holds; it keeps n in the aggregate, so that this shuffle is the one reused
-    # by the other two uses of `counts`.
-    cuts = counts.where("n > 0").agg(F.percentile_approx("bound", at, 10 * slices)).scalar()
-    # 1 + the number of cuts below the value.  Never NULL: a nullable slice would make Spark
-    # test it on every row of the scan.
-    place = F.array_position(F.sort_array(F.array_append(cuts, F.col("bound"))), F.col("bound"))
-    sliced = counts.withColumn("slice", F.coalesce(place, F.lit(0)))
-    totals = sliced.groupBy("slice").agg(F.sum("n").alias("slice_rows"))
-    in_order = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "slice",
-        F.coalesce(F.sum("slice_rows").over(in_order), F.lit(0)).alias("before"),
-        F.sum("slice_rows").over(Window.partitionBy()).alias("total"),
-    )
-    upto = F.col("before") + F.sum("n").over(
-        Window.partitionBy("slice").orderBy("bound").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = sliced.join(F.broadcast(offsets), "slice").select(
-        "bound", "total", (upto - F.col("n")).alias("lo"), upto.alias("hi")
-    )
+    ranked = running_counts(counts, "bound", "n")
     # The k-th bound is the value that covers row ceil(k * total / partitions).
-    first = F.expr(f"lo * {partitions} div total + 1")
-    last = F.least(F.expr(f"hi * {partitions} div total"), F.lit(partitions - 1))
+    first = F.expr(f"before * {partitions} div total + 1")
+    last = F.least(F.expr(f"(before + n) * {partitions} div total"), F.lit(partitions - 1))
     return (
         ranked.select("bound", first.alias("first_k"), last.alias("last_k"))
         .where("first_k <= last_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.runtimes import canonical_runtime, is_terminal, known_signals, run_state
@@ -104,16 +104,41 @@ def accepted_signals(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("field").isin(*SIGNAL_FIELDS))
 
 
+def _text_rank(text: Column, start: Column) -> Column:
+    """The fifteen bytes from ``start`` on as one number that sorts like them."""
+
+    def number(at: Column, width: int) -> Column:
+        part = F.substr(text.cast("binary"), at.cast("int"), F.lit(width))
+        return F.conv(F.rpad(F.hex(part), 2 * width, "0"), 16, 10).cast("decimal(20,0)")
+
+    shift = F.lit(str(2**64)).cast("decimal(20,0)")
+    return (number(start, 7).cast("decimal(17,0)") * shift + number(start + 7, 8)).cast("decimal(38,0)")
+
+
 def latest_run(runs: DataFrame, exported: Column | None = None) -> DataFrame:
     """The newest record per scenario by run id, exported copies left out.
 
-    An aggregate, not a ranking window: each task keeps one record per scenario, so a scenario
-    with most of the runs is still reduced where it is read.
+    Ids that start with the scenario's name are told apart by what follows it.  The largest
+    beginning per scenario is a number, so Spark finds it with a hash aggregate where the runs
+    are read; only the records that share it are ranked by their whole id.
     """
     originals = runs if exported is None else runs.where(~exported)
-    others = [c for c in runs.columns if c != "scenario"]
-    newest = F.max_by(F.struct(*others), F.col("run_id"))
-    return originals.groupBy("scenario").agg(newest.alias("r")).select("scenario", "r.*")
+    scenario, run_id = F.col("scenario"), F.col("run_id").cast("string")
+    prefixed = F.coalesce(F.startswith(run_id, scenario), F.lit(False))
+    start = F.when(prefixed, F.octet_length(scenario) + 1).otherwise(1)
+    rank = F.coalesce(_text_rank(run_id, start), F.lit(-1).cast("decimal(38,0)"))
+    marked = originals.withColumns({"_prefixed": prefixed, "_rank": rank})
+    top = marked.groupBy(F.col("scenario").alias("_scenario"), F.col("_prefixed").alias("_kind")).agg(
+        F.max("_rank").alias("_top")
+    )
+    same = (
+        scenario.eqNullSafe(F.col("_scenario"))
+        & (F.col("_prefixed") == F.col("_kind"))
+        & (F.col("_rank") == F.col("_top"))
+    )
+    newest = Window.partitionBy("scenario").orderBy(F.desc_nulls_last("run_id"))
+    candidates = marked.join(top, same, "left_semi").withColumn("_place", F.row_number().over(newest))
+    return candidates.where("_place = 1").select("scenario", *[c for c in runs.columns if c != "scenario"])
 
 
 def terminal_firsts(at: Column) -> list[Column]:
@@ -142,12 +167,16 @@ def _terminal_names() -> list[str]:
 
 
 def terminal_state(history: DataFrame, timeout_s: int = RUN_WAIT_SECONDS) -> DataFrame:
-    """First terminal state per run before its deadline, else TIMEOUT."""
+    """First terminal state per run before its deadline, else TIMEOUT.
+
+    A run without submission time has no deadline: whatever state it ends in is in time, and
+    until then it is UNKNOWN.
+    """
     firsts = history.groupBy("run_id").agg(
         F.min("submitted_at").alias("submitted_at"), *terminal_firsts(F.col("ts"))
     )
     wait = F.make_dt_interval(secs=F.lit(timeout_s).cast("decimal(18,6)"))
-    in_time = F.col("first.at") < F.col("deadline")
+    in_time = F.col("first").isNotNull() & F.coalesce(F.col("first.at") < F.col("deadline"), F.lit(True))
     return firsts.select(
         "run_id",
         "submitted_at",
@@ -158,5 +187,8 @@ def terminal_state(history: DataFrame, timeout_s: int = RUN_WAIT_SECONDS) -> Dat
         "submitted_at",
         "deadline",
         F.when(in_time, F.col("first.at")).alias("finished_at"),
-        F.when(in_time, F.col("first.state")).otherwise("TIMEOUT").alias("final_state"),
+        F.when(in_time, F.col("first.state"))
+        .when(F.col("deadline").isNull(), "UNKNOWN")
+        .otherwise("TIMEOUT")
+        .alias("final_state"),
     )

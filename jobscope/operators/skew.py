@@ -6,7 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from jobscope.functions.medians import covers_median
+from jobscope.operators.slices import running_counts
+
+# Rows of a hot key that one task of a join takes.
+ROWS_PER_TASK = 1_000_000
+_NULL_SALTS = 4096
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -24,26 +30,26 @@ def skew_ratio(counts: DataFrame, n: str = "row_count") -> DataFrame:
 def report(df: DataFrame, key: str, hot_ratio: float = 10.0) -> DataFrame:
     """Every key with its rows, share, ratio to the median key, rank and a hot flag.
 
-    Rank and median are worked out on the table of *distinct* row counts.  N rows allow at
-    most sqrt(2N) distinct counts (1 + 2 + 3 + ... <= N), about 1.4 million for 10^12 rows,
-    so its one-task window and its broadcast stay small while the keys themselves do not move.
+    Rank and median are worked out on the table of *distinct* row counts, in slices: N rows allow
+    at most sqrt(2N) distinct counts (1 + 2 + 3 + ... <= N).  The keys themselves are counted and
+    then meet that table by their count.
     """
     counts = key_counts(df, key)
-    everything = Window.partitionBy()
-    sizes = counts.groupBy("row_count").agg(F.count(F.lit(1)).alias("keys"))
-    ranked = sizes.select(
-        F.col("row_count").alias("size"),
-        F.sum(F.col("row_count") * F.col("keys")).over(everything).alias("total_rows"),
-        F.percentile("row_count", 0.5, F.col("keys")).over(everything).alias("median_rows"),
-        F.dense_rank().over(Window.orderBy(F.desc("row_count"))).cast("bigint").alias("key_rank"),
-    )
-    return counts.join(F.broadcast(ranked), F.col("row_count") == F.col("size")).select(
+    sizes = counts.groupBy(F.col("row_count").alias("size")).agg(F.count(F.lit(1)).alias("keys"))
+    ranked = running_counts(sizes, "size", "keys")
+    rank = (F.col("values") - F.col("values_before")).cast("bigint")
+    middle = ranked.where(covers_median("keys"))
+    # one row each: sums and the one or two middle sizes
+    total = sizes.agg(F.sum(F.col("size") * F.col("keys"))).scalar()
+    median = middle.agg((F.min("size") + F.max("size")) / 2).scalar()
+    ranks = ranked.select("size", rank.alias("key_rank"))
+    return counts.join(ranks, F.col("row_count") == F.col("size")).select(
         key,
         "row_count",
-        (F.col("row_count") / F.col("total_rows")).alias("share"),
-        (F.col("row_count") / F.col("median_rows")).alias("ratio_to_median"),
+        (F.col("row_count") / total).alias("share"),
+        (F.col("row_count") / median).alias("ratio_to_median"),
         "key_rank",
-        (F.col("row_count") / F.col("median_rows") >= hot_ratio).alias("is_hot"),
+        (F.col("row_count") / median >= hot_ratio).alias("is_hot"),
     )
 
 
@@ -56,54 +62,62 @@ def hot_keys(df: DataFrame, key: str, min_share: float = 0.01) -> DataFrame:
     return counts.where(F.col("row_count") >= F.lit(min_share) * total)
 
 
-def _salt(spread: Sequence[str], salts: int) -> Column:
+def _salt(spread: Sequence[str], salts: Column | int) -> Column:
     # A hash of row values, not a random number: a recomputed task must salt the same way.
-    return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*spread), F.lit(salts) if isinstance(salts, int) else salts).cast("int")
 
 
 def salted_count(df: DataFrame, key: str, spread: Sequence[str], salts: int = 16) -> DataFrame:
-    """``key_counts`` in two phases, with each key spread over ``salts`` reducers first."""
+    """``key_counts`` in two phases, with each key spread over ``salts`` reducers first.
+
+    A count is combined before it moves anyway, so ``key_counts`` is the better plan for it; the
+    two phases are the pattern for aggregates that Spark does not combine.
+    """
     partial = df.groupBy(key, _salt(spread, salts).alias("salt")).agg(
         F.count(F.lit(1)).alias("part")
     )
     return partial.groupBy(key).agg(F.sum("part").alias("row_count"))
 
 
+def key_salts(
+    df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, min_share: float = 0.01
+) -> DataFrame:
+    """``hot_keys`` with ``salts``: over how many tasks a key's rows are spread."""
+    salts = F.ceil(F.col("row_count") / F.lit(rows_per_task)).cast("int")
+    return hot_keys(df, key, min_share).withColumn("salts", salts)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     spread: Sequence[str],
-    salts: int = 16,
+    rows_per_task: int = ROWS_PER_TASK,
     min_share: float = 0.01,
     how: str = "inner",
 ) -> DataFrame:
-    """Join in which the left side's hot keys are spread over ``salts`` reducers.
+    """Join in which the left side's hot keys are spread over tasks of ``rows_per_task`` rows.
 
-    Only the keys found hot are salted, so only their right-hand rows are copied; every other
-    row joins as usual.  The hot list is broadcast: it cannot exceed 1 / min_share keys.
+    Only the keys found hot are salted, each by its own number of rows, so only their right-hand
+    rows are copied; every other row joins as usual.  The hot list is broadcast: it cannot
+    exceed 1 / min_share keys.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    hot = F.broadcast(
-        hot_keys(left.where(F.col(key).isNotNull()), key, min_share).select(
-            F.col(key).alias("_hot_key")
-        )
-    )
-    # NULL keys match nothing; in a left join they are salted so they do not pile up either.
-    is_spread = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    found = key_salts(left.where(F.col(key).isNotNull()), key, rows_per_task, min_share)
+    hot = F.broadcast(found.select(F.col(key).alias("_hot_key"), F.col("salts").alias("_salts")))
+    # NULL keys match nothing; in a left join they are spread so they do not pile up either.
+    salts = F.when(F.col(key).isNull(), F.lit(_NULL_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
     salted_left = (
         left.join(hot, F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_salt", F.when(is_spread, _salt(spread, salts)).otherwise(0))
-        .drop("_hot_key")
+        .withColumn("_salt", _salt(spread, salts))
+        .drop("_hot_key", "_salts")
     )
-    copies = F.when(
-        F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_right = (
         right.join(hot, F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_salt", F.explode(copies))
-        .drop("_hot_key")
+        .drop("_hot_key", "_salts")
     )
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 

@@ -135,6 +135,8 @@ def _ready_check() -> Column:
 def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row per run (and per expectation without a run) with its array of checks.
 
+    ``ran`` tells the two apart: what nobody ran can neither pass nor fail.
+
     ``expected`` holds one row per scenario.  The runs are inner-joined to it, which lets
     Spark broadcast the catalogue when it is small and split a hot scenario when it is not;
     scenarios nobody ran are added from the distinct scenario names.
@@ -149,6 +151,7 @@ def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.coalesce(
             F.filter("recommendations", lambda r: r.isNotNull()), F.expr("array()")
         ).alias("recommendations"),
+        F.lit(True).alias("ran"),
     )
     types = dict((f.name, f.dataType) for f in runs.schema)
     not_run = wanted.join(runs.select("scenario").distinct(), "scenario", "left_anti").select(
@@ -158,6 +161,7 @@ def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.lit(UNKNOWN).alias("actual_category"),
         F.lit(None).cast(types["root_cause"]).alias("root_cause"),
         F.expr("array()").cast(types["recommendations"]).alias("recommendations"),
+        F.lit(False).alias("ran"),
     )
     judged = (
         runs.join(wanted, "scenario")
@@ -191,17 +195,25 @@ def compare(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def summarise(evaluated: DataFrame) -> DataFrame:
-    """Outcome and one-line summary per run.  The checks sit in the row, so nothing moves."""
+    """Outcome and one-line summary per run; an expectation without a run is skipped.
+
+    The checks sit in the row, so nothing moves.
+    """
     failed = F.filter("checks", lambda c: ~c["passed"])
     total = F.size("checks").cast("string")
     return evaluated.withColumn(
-        "outcome", F.when(F.forall("checks", lambda c: c["passed"]), "pass").otherwise("fail")
+        "outcome",
+        F.when(~F.col("ran"), "skip")
+        .when(F.forall("checks", lambda c: c["passed"]), "pass")
+        .otherwise("fail"),
     ).withColumn(
         "summary",
         F.when(
             F.col("outcome") == "pass",
             F.concat(F.lit("PASS: all "), total, F.lit(" check(s) passed")),
-        ).otherwise(
+        )
+        .when(F.col("outcome") == "skip", "SKIP: not run")
+        .otherwise(
             F.concat(
                 F.lit("FAIL: "),
                 F.size(failed).cast("string"),
@@ -215,32 +227,37 @@ def summarise(evaluated: DataFrame) -> DataFrame:
 
 
 def suite_summary(results: DataFrame) -> DataFrame:
-    """Runs and scenario names per outcome, zero-filled, with the suite's exit code.
+    """Runs per outcome and scenario, with the outcome's total and the suite's exit code.
 
-    Runs are counted per (outcome, scenario) first; what is listed afterwards are the distinct
-    names of the catalogue, not the runs.
+    An outcome nothing has gets one row with a NULL scenario and 0 runs.  Runs are counted where
+    they are read; names stay in rows of their own, however many scenarios there are.  Only a
+    failure sets ``overall``.
     """
-    per_scenario = results.groupBy("outcome", "scenario").agg(F.count(F.lit(1)).alias("n"))
-    aggs = []
-    for outcome in SUITE_OUTCOMES:
-        mine = F.col("outcome") == outcome
-        names = F.array_sort(F.collect_set(F.when(mine, F.col("scenario"))))
-        aggs += [
-            F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"{outcome}_runs"),
-            F.array_join(names, " ").alias(f"{outcome}_names"),
-        ]
-    rows = F.array(
+    per_scenario = results.groupBy("outcome", "scenario").agg(F.count(F.lit(1)).alias("run_count"))
+    totals = per_scenario.agg(
         *[
-            F.struct(
-                F.lit(o).alias("outcome"),
-                F.col(f"{o}_runs").alias("run_count"),
-                F.col(f"{o}_names").alias("scenarios"),
-                F.when(F.col("fail_runs") > 0, 1).otherwise(0).alias("overall"),
-            )
+            F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("run_count"))), F.lit(0)).alias(o)
             for o in SUITE_OUTCOMES
         ]
     )
-    return per_scenario.agg(*aggs).select(F.inline(rows))
+    by_outcome = totals.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(o).alias("outcome"),
+                        F.col(o).alias("outcome_runs"),
+                        F.when(F.col("fail") > 0, 1).otherwise(0).alias("overall"),
+                    )
+                    for o in SUITE_OUTCOMES
+                ]
+            )
+        )
+    )  # three rows
+    empty = by_outcome.where("outcome_runs = 0").select(
+        "outcome", F.lit(None).cast("string").alias("scenario"), F.lit(0).cast("bigint").alias("run_count")
+    )
+    return per_scenario.unionByName(empty).join(F.broadcast(by_outcome), "outcome")
 
 
 def confusion(evaluated: DataFrame) -> DataFrame:

@@ -109,8 +109,9 @@ checks AS (
   FROM paired WHERE ready IS NOT NULL),
 outcomes AS (
   SELECT scenario, run_id, investigation_id,
-         CASE WHEN bool_and(passed) THEN 'pass' ELSE 'fail' END AS outcome,
-         CASE WHEN bool_and(passed) THEN 'PASS: all ' || count(*) || ' check(s) passed'
+         CASE WHEN run_id IS NULL THEN 'skip' WHEN bool_and(passed) THEN 'pass' ELSE 'fail' END
+           AS outcome,
+         CASE WHEN run_id IS NULL THEN 'SKIP: not run' WHEN bool_and(passed) THEN 'PASS: all ' || count(*) || ' check(s) passed'
               ELSE 'FAIL: ' || count(*) FILTER (NOT passed) || ' of ' || count(*) ||
                    ' check(s) failed: ' ||
                    string_agg(name, ', ' ORDER BY pos) FILTER (NOT passed) END AS summary
@@ -143,12 +144,12 @@ def finding_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""
     WITH {FINDINGS_CTE}
-    SELECT o AS outcome, count(run_key) AS run_count,
-           coalesce(string_agg(DISTINCT scenario, ' ' ORDER BY scenario), '') AS scenarios,
+    SELECT o AS outcome, scenario, count(run_key) AS run_count,
+           CAST(sum(count(run_key)) OVER (PARTITION BY o) AS BIGINT) AS outcome_runs,
            (SELECT CAST(count(*) FILTER (outcome = 'fail') > 0 AS INTEGER) FROM outcomes) AS overall
     FROM (VALUES ('pass'), ('fail'), ('skip')) s(o)
     LEFT JOIN (SELECT *, 1 AS run_key FROM outcomes) r ON r.outcome = o
-    GROUP BY o
+    GROUP BY o, scenario
     """
 )
 def suite_summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -58,22 +58,21 @@ def type_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT 'daily' AS summary, event_date, event_type AS category, NULL AS event_type, event_count,
-           unique_customers, net_amount, average_amount
+    SELECT 'daily' AS summary, event_date, event_type AS name, event_count, unique_customers,
+           net_amount, average_amount
     FROM ({DAILY_SQL})
     UNION ALL
-    SELECT 'type', NULL, NULL, t.event_type, t.event_count,
-           (SELECT count(DISTINCT user_id) FROM events e WHERE e.event_type = t.event_type),
-           net_amount,
-           (SELECT CAST((2 * CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) + count(*))
-                        // (2 * count(*)) AS DOUBLE) / 100
-            FROM events e WHERE e.event_type = t.event_type)
-    FROM ({TYPE_SQL}) t
+    SELECT 'type', NULL, event_type, event_count, NULL, net_amount, NULL FROM ({TYPE_SQL})
     """
 )
 def one_pass_summaries(spark: SparkSession, folder: str) -> DataFrame:
     events = dated_events(spark, folder).withColumn("category", F.col("event_type"))
-    return rollups.both(events, "category")
+    combined = rollups.both(events, "category")
+    daily = rollups.daily_part(combined, "category").withColumnRenamed("category", "name")
+    types = rollups.type_part(combined).withColumnRenamed("event_type", "name")
+    return daily.withColumn("summary", F.lit("daily")).unionByName(
+        types.withColumn("summary", F.lit("type")), allowMissingColumns=True
+    )
 
 
 @query(f"SELECT *, 'run-0001' AS run_id FROM ({TYPE_SQL})")
@@ -103,7 +102,8 @@ d AS (
          CAST('0x' || substr(m, 6, 6) AS BIGINT) AS a,
          CAST('0x' || substr(m, 12, 5) AS BIGINT) % 20161 AS t,
          CAST('0x' || substr(m, 17, 4) AS BIGINT) % 5 AS c,
-         CAST('0x' || substr(m, 21, 12) AS BIGINT) % 125 + 1 AS u
+         CAST('0x' || substr(m, 21, 12) AS BIGINT)
+           % greatest(20, (SELECT count(*) FROM events) // 8) + 1 AS u
   FROM h)
 SELECT 'evt-' || lpad(CAST(id AS VARCHAR), 8, '0') AS event_id,
        'cust-' || lpad(CAST(u AS VARCHAR), 6, '0') AS customer_id,
@@ -120,7 +120,7 @@ FROM d
 
 def generated(spark: SparkSession, folder: str) -> DataFrame:
     ids = load(spark, folder, "events").select(F.col("event_id").alias("id"))
-    return synth_events(ids, rows=1000)
+    return synth_events(ids, ids.agg(F.count(F.lit(1))).scalar())
 
 
 @query(SYNTH_SQL)

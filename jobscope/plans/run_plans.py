@@ -384,38 +384,58 @@ def index_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """An order as a plan: a join over a scan of the order and, for odd orders, a deeper side."""
-    return load(spark, folder, "orders").selectExpr(
-        "o_orderkey AS plan_id",
+    """An order as a plan: a join over a scan of the order and, for odd orders, a deeper side.
+
+    Some documents are lists of two plans, some are no JSON, some have text for a number.
+    """
+    plans = load(spark, folder, "orders").selectExpr(
+        "o_orderkey",
         """concat('{"Plan":{"Node Type":"', if(o_orderkey % 3 = 0, 'Nested Loop', 'Hash Join'),
            '","Plans":[{"Node Type":"Seq Scan","Relation Name":"orders","Plan Rows":',
-           o_custkey * 1000, '},',
+           if(o_orderkey % 11 = 2, '"many"', cast(o_custkey * 1000 AS STRING)), '},',
            if(o_orderkey % 2 = 1,
               concat('{"Node Type":"Sort","Plan Rows":7,"Plans":[{"Node Type":"Index Scan",',
                      '"Relation Name":"customer","Plan Rows":', o_orderkey, '}]}'),
               '{"Node Type":"Seq Scan","Relation Name":"nation","Plan Rows":25}'),
            ']}}') AS document""",
     )
+    return plans.selectExpr(
+        "o_orderkey AS plan_id",
+        """CASE o_orderkey % 11
+             WHEN 0 THEN concat('EXPLAIN ', document)
+             WHEN 1 THEN concat('[', document, ', {"Plan": {"Node Type": "Result"}}, 5]')
+             ELSE document END AS document""",
+    )
 
 
 @query(
     """
-    WITH n AS (
-      SELECT o_orderkey AS plan_id, 0::BIGINT AS node_no, 0::BIGINT AS depth,
+    WITH o AS (SELECT *, CASE WHEN o_orderkey % 11 <> 2 THEN o_custkey * 1000 END AS scanned
+               FROM orders WHERE o_orderkey % 11 <> 0),
+    n AS (
+      SELECT o_orderkey AS plan_id, 0::BIGINT AS plan_no, 0::BIGINT AS node_no, 0::BIGINT AS depth,
              CASE WHEN o_orderkey % 3 = 0 THEN 'Nested Loop' ELSE 'Hash Join' END AS node_type,
              NULL AS relation, NULL::BIGINT AS plan_rows,
-             greatest(o_custkey * 1000, CASE WHEN o_orderkey % 2 = 1 THEN 7 ELSE 25 END)
-               AS max_child_rows
-      FROM orders
-      UNION ALL SELECT o_orderkey, 1, 1, 'Seq Scan', 'orders', o_custkey * 1000, NULL FROM orders
-      UNION ALL SELECT o_orderkey, 2, 1, 'Sort', NULL, 7, o_orderkey FROM orders
+             greatest(scanned, CASE WHEN o_orderkey % 2 = 1 THEN 7 ELSE 25 END)
+               AS max_child_rows, NULL AS problem
+      FROM o
+      UNION ALL SELECT o_orderkey, 0, 1, 1, 'Seq Scan', 'orders', scanned, NULL,
+                       CASE WHEN scanned IS NULL THEN 'Plan Rows is not a number' END FROM o
+      UNION ALL SELECT o_orderkey, 0, 2, 1, 'Sort', NULL, 7, o_orderkey, NULL FROM o
                 WHERE o_orderkey % 2 = 1
-      UNION ALL SELECT o_orderkey, 3, 2, 'Index Scan', 'customer', o_orderkey, NULL FROM orders
+      UNION ALL SELECT o_orderkey, 0, 3, 2, 'Index Scan', 'customer', o_orderkey, NULL, NULL FROM o
                 WHERE o_orderkey % 2 = 1
-      UNION ALL SELECT o_orderkey, 2, 1, 'Seq Scan', 'nation', 25, NULL FROM orders
-                WHERE o_orderkey % 2 = 0)
-    SELECT *, node_type = 'Seq Scan' AND plan_rows >= 100000 AS large_seq_scan,
-           node_type = 'Nested Loop' AND max_child_rows >= 100000 AS large_nested_loop
+      UNION ALL SELECT o_orderkey, 0, 2, 1, 'Seq Scan', 'nation', 25, NULL, NULL FROM o
+                WHERE o_orderkey % 2 = 0
+      UNION ALL SELECT o_orderkey, 1, 0, 0, 'Result', NULL, NULL, NULL, NULL FROM o
+                WHERE o_orderkey % 11 = 1
+      UNION ALL SELECT o_orderkey, 2, NULL, NULL, NULL, NULL, NULL, NULL, 'no plan' FROM o
+                WHERE o_orderkey % 11 = 1
+      UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not JSON' FROM orders
+                WHERE o_orderkey % 11 = 0)
+    SELECT *, coalesce(node_type = 'Seq Scan' AND plan_rows >= 100000, false) AS large_seq_scan,
+           coalesce(node_type = 'Nested Loop' AND max_child_rows >= 100000, false)
+             AS large_nested_loop
     FROM n
     """
 )
@@ -465,10 +485,10 @@ def pod_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """
-    SELECT 'jr-' || user_id AS run_id, count(*) AS pod_count,
-           bool_or(event_id % 4 = 0 OR event_id % 10 = 0) AS any_pending,
-           bool_or(event_id % 7 = 0 AND event_id % 3 < 2) AS any_image_pull
-    FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0 GROUP BY user_id
+    SELECT 'jr-' || user_id AS run_id, count(*) FILTER (own) AS pod_count,
+           bool_or(own AND (event_id % 4 = 0 OR event_id % 10 = 0)) AS any_pending,
+           bool_or(own AND event_id % 7 = 0 AND event_id % 3 < 2) AS any_image_pull
+    FROM (SELECT *, event_id % 2 = 0 OR event_id % 3 = 0 AS own FROM events) GROUP BY user_id
     """
 )
 def pod_run_signals(spark: SparkSession, folder: str) -> DataFrame:
@@ -502,15 +522,20 @@ def pod_summary(spark: SparkSession, folder: str) -> DataFrame:
     WITH t AS (
       SELECT l_orderkey % 20 AS run_id, l_linenumber AS stage_id,
              CASE WHEN l_orderkey % 50 <> 0 THEN CAST(l_quantity * 60000 AS BIGINT) END AS ms,
-             CAST(l_quantity AS BIGINT) * 1048576 * 2 AS spilled
+             CAST(l_quantity AS BIGINT) * 1048576 * 2 AS spilled, l_extendedprice, l_tax, l_suppkey
       FROM lineitem),
     s AS (SELECT run_id, stage_id, max(ms) AS max_ms, median(ms) AS med,
-                 CAST(sum(spilled) AS BIGINT) AS spilled, count(*) FILTER (ms IS NULL) AS active
+                 CAST(sum(spilled) AS BIGINT) AS spilled, count(*) FILTER (ms IS NULL) AS active,
+                 CAST(sum(CAST(floor(l_extendedprice) AS BIGINT) * 1048576) AS BIGINT) AS read,
+                 max(coalesce(ms, 0) + l_suppkey) - min(l_suppkey) AS elapsed,
+                 count(*) FILTER (l_tax > 0.07) AS lost
           FROM t GROUP BY ALL)
     SELECT run_id, stage_id, round(max_ms / 60000, 2) AS max_task_runtime_minutes,
            round(med / 60000, 2) AS median_task_runtime_minutes,
            CAST(greatest(1, floor(max_ms / greatest(med, 1))) AS BIGINT) AS skew_ratio,
-           spilled // 1048576 AS shuffle_spill_mb, active AS active_task_count
+           spilled // 1048576 AS shuffle_spill_mb, active AS active_task_count,
+           round(read / 1073741824, 2) AS input_gb, round(elapsed / 60000, 2) AS elapsed_minutes,
+           CAST(active > 0 AS BIGINT) AS active_stage_count, lost AS executor_failures
     FROM s
     """
 )
@@ -519,8 +544,11 @@ def task_signals(spark: SparkSession, folder: str) -> DataFrame:
     tasks = load(spark, folder, "lineitem").selectExpr(
         "l_orderkey % 20 AS run_id",
         "l_linenumber AS stage_id",
-        "cast(0 AS BIGINT) AS launch_ms",
-        "CASE WHEN l_orderkey % 50 <> 0 THEN cast(l_quantity * 60000 AS BIGINT) END AS finish_ms",
+        "l_suppkey AS launch_ms",
+        "CASE WHEN l_orderkey % 50 <> 0 THEN l_suppkey + cast(l_quantity * 60000 AS BIGINT) END "
+        "AS finish_ms",
+        "cast(l_extendedprice AS BIGINT) * 1048576 AS input_bytes",
+        "l_tax > 0.07 AS executor_lost",
         "cast(l_quantity AS BIGINT) * 1048576 AS memory_spilled",
         "cast(l_quantity AS BIGINT) * 1048576 AS disk_spilled",
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.operators import logs, quality, rollups, runs, task_metrics, validation
@@ -14,6 +16,7 @@ from jobscope.plans.rollup_plans import DAILY_SQL, TYPE_SQL, dated_events
 from jobscope.session import load, scratch
 from jobscope.sinks import files as sinks
 from jobscope.sources import files as sources
+from jobscope.vocab import LOG_FILE_ORDER
 
 
 @query(
@@ -122,8 +125,9 @@ def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS row_count FROM orders GROUP BY o_orderstatus")
 def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
-    load(spark, folder, "orders").createOrReplaceTempView("jobscope_orders")
-    orders = sources.read_table(spark, "jobscope_orders")
+    view = f"jobscope_orders_{uuid.uuid4().hex}"  # callers that share a session don't meet
+    load(spark, folder, "orders").createOrReplaceTempView(view)
+    orders = sources.read_table(spark, view)
     return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -153,6 +157,40 @@ def log_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy(run.alias("run_id"), "category").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(
+    f"""
+    WITH l AS (
+      SELECT event_id, event_type, ['stdout', 'stderr', 'notes.txt'][event_id % 3 + 1] AS file,
+             event_id % 2 AS part FROM events WHERE event_id % 5 <> 0)
+    SELECT event_type AS run_id,
+           arg_min('application_' || event_id || '_1',
+                   list_position([{", ".join(f"'{n}'" for n in LOG_FILE_ORDER)}], file) * 10000000000000
+                   + part * 1000000000000 + event_id) AS application_id
+    FROM l WHERE file <> 'notes.txt' GROUP BY event_type
+    """
+)
+def first_application_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Log files on disk: files of one name in two folders of a run, read in path order."""
+    path = scratch(spark, "run-logs")
+    lines = load(spark, folder, "events").selectExpr(
+        "event_id",
+        "event_type AS run",
+        "event_id % 2 AS part",
+        "elt(event_id % 3 + 1, 'stdout', 'stderr', 'notes.txt') AS file",
+        "if(event_id % 5 = 0, 'no id', concat('at application_', event_id, '_1')) AS value",
+    )
+    folders = ["run", "part", "file"]
+    ordered = lines.repartition(*folders).sortWithinPartitions(*folders, "event_id").drop("event_id")
+    ordered.write.partitionBy(*folders).text(path)
+
+    def in_path(name: str) -> Column:
+        return F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1)
+
+    read = sources.read_logs(spark, path)
+    named = read.withColumns({"run_id": in_path("run"), "file_name": in_path("file")})
+    return logs.application_ids(named)
+
+
 @query(
     f"""
     WITH {FINDINGS_CTE}
@@ -194,13 +232,17 @@ def sorted_json(spark: SparkSession, folder: str) -> DataFrame:
     """
     WITH t AS (
       SELECT l_linenumber AS stage_id, CAST(l_quantity * 60000 AS BIGINT) AS ms,
-             CAST(l_quantity AS BIGINT) * 1048576 AS spilled
+             CAST(l_quantity AS BIGINT) * 1048576 AS spilled,
+             CAST(floor(l_extendedprice) AS BIGINT) * 1048576 AS read, l_tax > 0.07 AS lost
       FROM lineitem)
     SELECT stage_id::BIGINT AS stage_id, round(max(ms) / 60000, 2) AS max_task_runtime_minutes,
            round(median(ms) / 60000, 2) AS median_task_runtime_minutes,
            CAST(greatest(1, floor(max(ms) / greatest(median(ms), 1))) AS BIGINT) AS skew_ratio,
            CAST(sum(spilled) // 1048576 AS BIGINT) AS shuffle_spill_mb,
-           count(*) FILTER (ms IS NULL) AS active_task_count
+           count(*) FILTER (ms IS NULL) AS active_task_count,
+           round(CAST(sum(read) AS BIGINT) / 1073741824, 2) AS input_gb,
+           round(max(ms) / 60000, 2) AS elapsed_minutes, 0::BIGINT AS active_stage_count,
+           count(*) FILTER (lost) AS executor_failures
     FROM t GROUP BY stage_id
     """
 )
@@ -214,9 +256,12 @@ def event_log_signals(spark: SparkSession, folder: str) -> DataFrame:
                    'Task Info', named_struct('Task ID', xxhash64(l_orderkey, l_linenumber,
                      l_partkey, l_suppkey, l_shipdate, l_extendedprice), 'Launch Time', 1000L,
                      'Finish Time', 1000 + cast(l_quantity * 60000 AS BIGINT)),
+                   'Task End Reason', named_struct('Reason',
+                     if(l_tax > 0.07, 'ExecutorLostFailure', 'Success')),
                    'Task Metrics', named_struct(
                      'Memory Bytes Spilled', cast(l_quantity AS BIGINT) * 1048576,
-                     'Input Metrics', named_struct('Bytes Read', 1L)))"""
+                     'Input Metrics', named_struct('Bytes Read',
+                       cast(l_extendedprice AS BIGINT) * 1048576)))"""
             )
         ).alias("value")
     ).union(

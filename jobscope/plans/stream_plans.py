@@ -54,13 +54,13 @@ def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""
+    WITH runs AS MATERIALIZED ({TERMINAL_SQL}),
+    slots AS MATERIALIZED (SELECT DISTINCT time_bucket(INTERVAL '5 minutes', ts) AS slot FROM events),
+    closed AS MATERIALIZED (SELECT max(slot) AS slot FROM slots WHERE slot + INTERVAL 5 MINUTE <= {_WATERMARK})
     SELECT run_id, epoch_us(submitted_at) // 1000 AS submitted_ms,
            epoch_us(finished_at) // 1000 AS finished_ms,
            final_state
-    FROM ({TERMINAL_SQL})
-    WHERE coalesce(finished_at, deadline) <=
-          (SELECT max(time_bucket(INTERVAL '5 minutes', ts)) FROM events
-           WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE <= {_WATERMARK})
+    FROM runs, closed WHERE coalesce(finished_at, deadline) <= closed.slot
     """
 )
 def stream_terminal_state(spark: SparkSession, folder: str) -> DataFrame:

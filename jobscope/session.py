@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +43,12 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+# Scratch folders by their parent; a context may set a parent of its own.
+_LOCAL: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
+_SPACE: ContextVar[str | None] = ContextVar("scratch_space", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
@@ -51,13 +60,49 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobscope-"))
-    return spark.sparkContext.getCheckpointDir()
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="jobscope-")
+        atexit.register(delete_folder, spark, _LOCAL[application])
+    return _LOCAL[application]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies; nothing happens when the session is gone."""
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses.
+
+    It lies in the caller's ``scratch_space`` if there is one, else in a folder of this process
+    that is deleted when the process ends: results may be read from it until then.
+    """
+    root = _SPACE.get()
+    if root is None:
+        shared = shared_folder(spark)
+        if shared not in _ROOTS:
+            _ROOTS[shared] = f"{shared}/scratch-{uuid.uuid4().hex}"
+            atexit.register(delete_folder, spark, _ROOTS[shared])
+        root = _ROOTS[shared]
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[str]:
+    """A folder for all scratch of the calls inside; it is deleted on leaving.
+
+    A result that reads from scratch has to be used up before.
+    """
+    path = f"{shared_folder(spark)}/space-{uuid.uuid4().hex}"
+    token = _SPACE.set(path)
+    try:
+        yield path
+    finally:
+        _SPACE.reset(token)
+        delete_folder(spark, path)
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:

@@ -34,9 +34,9 @@ def read_table(spark: SparkSession, table: str, database: str | None = None) ->
 
 
 def read_docs(
-    spark: SparkSession, path: str, schema: str | StructType, one_per_file: bool = True
+    spark: SparkSession, path: str, schema: str | StructType, one_per_file: bool = False
 ) -> DataFrame:
-    """JSON documents, one per file or one per line.
+    """JSON documents, one per line or one per file.
 
     The schema is given: nothing is scanned to infer it.  One document per line is the form to
     store many in, as a whole-file document cannot be split.
@@ -63,7 +63,7 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
 
 
 _TASK_EVENTS = (
-    "Event string, `Stage ID` bigint, "
+    "Event string, `Stage ID` bigint, `Task End Reason` struct<`Reason`: string>, "
     "`Task Info` struct<`Task ID`: bigint, `Launch Time`: bigint, `Finish Time`: bigint>, "
     "`Task Metrics` struct<`Memory Bytes Spilled`: bigint, `Disk Bytes Spilled`: bigint, "
     "`Input Metrics`: struct<`Bytes Read`: bigint>>"
@@ -95,6 +95,8 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
             F.coalesce(F.max(metrics["Memory Bytes Spilled"]), F.lit(0)).alias("memory_spilled"),
             F.coalesce(F.max(metrics["Disk Bytes Spilled"]), F.lit(0)).alias("disk_spilled"),
             F.max(metrics["Input Metrics"]["Bytes Read"]).alias("input_bytes"),
+            F.bool_or(F.coalesce(F.col("Task End Reason.Reason") == "ExecutorLostFailure", F.lit(False)))
+            .alias("executor_lost"),
         )
     )
 

@@ -36,11 +36,14 @@ def _weighted(percent: Column) -> Column:
     return pick
 
 
-def synth_events(ids: DataFrame, rows: int, seed: int = DEFAULT_SEED) -> DataFrame:
+def synth_events(ids: DataFrame, rows: int | Column, seed: int = DEFAULT_SEED) -> DataFrame:
     """Events for a table of ids: weighted types, amounts by type, two weeks, five countries.
 
-    One hash per row feeds all five draws from different digits of it.
+    One hash per row feeds all five draws from different digits of it.  ``rows`` sets the number of
+    customers, one in eight rows and at least 20; it may be a scalar subquery.
     """
+    count = F.lit(rows) if isinstance(rows, int) else rows
+    customers = F.greatest(F.lit(20), F.floor(count / 8))
     hashed = ids.select("id", F.md5(F.concat_ws(":", F.lit(seed), F.col("id"))).alias("_hash"))
     kind, amount, minute = _digits(1, 5) % 100, _digits(6, 6), _digits(12, 5)
     country, customer = _digits(17, 4), _digits(21, 12)
@@ -50,7 +53,7 @@ def synth_events(ids: DataFrame, rows: int, seed: int = DEFAULT_SEED) -> DataFra
         amount.alias("draw"),
         (minute % (_MINUTES + 1)).alias("minute"),
         (country % len(COUNTRIES)).alias("country_no"),
-        (customer % max(20, rows // 8) + 1).alias("customer_no"),
+        (customer % customers + 1).alias("customer_no"),
     )
     kind = F.col("event_type")
     cents = (

@@ -23,6 +23,9 @@ _STATE_DDL = "submitted_ms bigint, terminal_ms bigint, terminal_state string, do
 _SLOT_COLUMNS = ["submitted_ms", "terminal_ms", "terminal_state"]
 _NEVER = 2**62
 
+# How long after its end a reported run is remembered, so that rows logged later don't report it again.
+RETENTION_SECONDS = 7 * 86_400
+
 
 def run_slots(
     history: DataFrame, watermark: str = "10 minutes", slot: str = "5 minutes"
@@ -47,38 +50,46 @@ def run_slots(
 
 
 def terminal_states(
-    slots: DataFrame, timeout_s: int = RUN_WAIT_SECONDS, watermark: str = "0 seconds"
+    slots: DataFrame,
+    timeout_s: int = RUN_WAIT_SECONDS,
+    watermark: str = "0 seconds",
+    retention_s: int = RETENTION_SECONDS,
 ) -> DataFrame:
     """One row per run as soon as no earlier state can arrive any more.
 
-    Slots arrive closed and in order, so the latest slot start is a safe watermark.  A finished
-    run leaves a few bytes of state behind, so that rows logged later do not report it again.
+    Slots arrive closed and in order, so the latest slot start is a safe watermark.  A run without
+    submission time has no deadline: whatever state it ends in is in time.  A reported run
+    leaves a few bytes of state behind until ``retention_s`` after its end; a row that comes even
+    later starts a new run of that name.
     """
-    timeout_ms = timeout_s * 1000
+    timeout_ms, retention_ms = timeout_s * 1000, retention_s * 1000
 
     def track(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         submitted, at, final, done = state.get if state.exists else (_NEVER, _NEVER, "", False)
+        if done and state.hasTimedOut:
+            state.remove()
+            return
         for batch in batches:  # a time-out comes with an empty batch
             for sent, ended, name in zip(*(batch[c].tolist() for c in _SLOT_COLUMNS)):
-                submitted = min(submitted, sent)
-                if name is not None and (ended, name) < (at, final):
+                if not done and not pd.isna(sent):
+                    submitted = min(submitted, int(sent))
+                if not done and name is not None and (ended, name) < (at, final):
                     at, final = int(ended), name
-        if done:
-            return
-        deadline = submitted + timeout_ms
+        deadline = _NEVER if submitted == _NEVER else submitted + timeout_ms
         certain = min(at, deadline)
-        done = certain <= state.getCurrentWatermarkMs()
-        state.update((submitted, at, final, done))
-        if not done:
-            state.setTimeoutTimestamp(certain)
+        now = state.getCurrentWatermarkMs()
+        reports = not done and certain <= now
+        state.update((submitted, at, final, done or reports))
+        state.setTimeoutTimestamp(max(now + 1, certain + (retention_ms if done or reports else 0)))
+        if not reports:
             return
         in_time = at < deadline
         yield pd.DataFrame(
             {
                 "run_id": [key[0]],
-                "submitted_ms": [submitted],
+                "submitted_ms": pd.Series([None if submitted == _NEVER else submitted], dtype="Int64"),
                 "finished_ms": pd.Series([at if in_time else None], dtype="Int64"),
                 "final_state": [final if in_time else "TIMEOUT"],
             }

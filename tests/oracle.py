@@ -25,10 +25,11 @@ _SPARK = {
 }
 
 
-def connect(folder: str) -> duckdb.DuckDBPyConnection:
+def connect(folder: str, kind: str = "VIEW") -> duckdb.DuckDBPyConnection:
+    """The given tables as views, or loaded as tables: some SQL binds on one of them only."""
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+        con.execute(f"CREATE {kind} {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     return con
 
 

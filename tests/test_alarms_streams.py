@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from jobscope.operators import alarms
 from jobscope.operators.quality import quarantine
+from jobscope.operators.runs import terminal_state
 from jobscope.sources.files import stream_folder, stream_parquet
 from jobscope.streaming.alarms import stream_idle_alarm, stream_sum_alarm
 from jobscope.streaming.quarantine import stream_quarantine
 from jobscope.streaming.run_tracker import run_slots, terminal_states
-from jobscope.streaming.sink import drain_to
+from jobscope.streaming.sink import drain_to, start_files
 from tests.conftest import rows
 
 T0 = dt.datetime(2026, 1, 1, 12, 0)
@@ -199,6 +200,38 @@ def test_run_tracker(spark, tmp_path):
     }
 
 
+def test_reported_runs_leave_no_state_after_the_retention(spark, tmp_path):
+    feed = Feed(spark, str(tmp_path), HISTORY)
+    held = []
+    for minute in (0, 30, 60 * 24 * 8, 60 * 24 * 8 + 60):
+        names = ("a", "b", "c") if minute == 0 else (f"clock{minute}",)
+        feed.add([(n, "emr_ec2", "COMPLETED", T0, at(minute)) for n in names])
+        slots = run_slots(feed.stream(), watermark="0 seconds")
+        closed = stream_folder(spark, drain_to(slots, f"{tmp_path}/slots"), slots.schema)
+        query = start_files(terminal_states(closed, timeout_s=600), f"{tmp_path}/out", f"{tmp_path}/c")
+        query.awaitTermination()
+        held.append(max((p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:]), default=0))
+    assert max(held) >= 3 and held[-1] <= 2
+
+
+def test_no_submission_time_means_no_deadline(spark, tmp_path):
+    rows = [
+        ("ends", "emr_ec2", "COMPLETED", None, at(500)),
+        ("runs", "emr_ec2", "RUNNING", None, at(1)),
+        ("clock", "emr_ec2", "RUNNING", at(900), at(900)),
+        ("later", "emr_ec2", "RUNNING", at(960), at(960)),
+    ]
+    feed = Feed(spark, str(tmp_path), HISTORY)
+    feed.add(rows)
+    assert track(spark, tmp_path, feed) == {}
+    feed.add([("later", "emr_ec2", "RUNNING", at(960), at(990))])
+    assert track(spark, tmp_path, feed)["ends"] == "COMPLETED"
+    batch = terminal_state(spark.createDataFrame(rows, HISTORY), timeout_s=600)
+    got = {r["run_id"]: (r["final_state"], r["deadline"]) for r in batch.collect()}
+    assert got["ends"] == ("COMPLETED", None) and got["runs"] == ("UNKNOWN", None)
+    assert got["clock"][0] == "TIMEOUT"
+
+
 def test_single_file_and_folder_tables_stream(spark):
     stream = stream_parquet(spark, "/root/testdata/sf0.001", "events")
     assert stream.isStreaming and "event_id" in stream.columns

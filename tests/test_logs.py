@@ -132,6 +132,19 @@ def test_line_order_across_splits_of_one_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_files_of_one_name_go_by_path(spark, tmp_path):
+    for folder, number in (("z", 1), ("a", 2), ("m", 3)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "stderr").write_text(f"x\nup application_1_{number}\n")
+    for parts in ("1m", "1"):
+        spark.conf.set("spark.sql.files.openCostInBytes", parts)
+        try:
+            lines = read_logs(spark, str(tmp_path)).selectExpr("*", "'r' AS run_id")
+            assert rows(logs.application_ids(lines)) == [("r", "application_1_2")]
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_runs_without_logs(spark):
     runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
     lines = spark.createDataFrame([("a",), ("a",)], "run_id string")

@@ -24,7 +24,7 @@ def totals(spark, values):
         ([1.0, None], 1.0, 1.0),
         ([None], None, None),
         ([], None, None),
-        ([0.125, 0.125], 0.25, 0.13),  # three decimals: plain double sum
+        ([0.125, 0.125], 0.25, 0.13),  # three decimals
         ([5.0, -5.0], 0.0, 0.0),
     ],
 )
@@ -32,10 +32,40 @@ def test_cases(spark, values, total, mean):
     assert totals(spark, values) == (total, mean)
 
 
-def test_values_cents_cannot_hold(spark):
-    assert math.isnan(totals(spark, [1.0, float("nan")])[0])
-    assert totals(spark, [1.0, float("inf")])[0] == math.inf
-    assert totals(spark, [1e300, 1.0])[0] == 1e300
+@pytest.mark.parametrize(
+    "values, total",
+    [
+        ([1.0, math.nan], math.nan),
+        ([1.0, math.inf], math.inf),
+        ([-math.inf, 1.0], -math.inf),
+        ([math.inf, -math.inf, 1.0], math.nan),
+        ([1e300, 1.0], math.inf),  # 10^20 and more count as infinite
+        ([9.9e19, 0.01], 9.9e19),
+        ([-1e20, None], -math.inf),
+        ([0.0000004, 0.0000004], 0.0),  # six places are kept
+    ],
+)
+def test_values_a_sum_cannot_hold(spark, values, total):
+    for got in totals(spark, values)[: 1 if math.isfinite(total) else 2]:
+        assert got == total or (math.isnan(got) and math.isnan(total))
+
+
+AMOUNTS = [0.1, 0.2, 1e16, -1e16, 0.125, 2.345, 1e-7, 9e13, -3.0, 1e20, math.nan]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(AMOUNTS), min_size=1, max_size=12), st.randoms())
+def test_order_of_rows_does_not_matter(spark, values, draw):
+    """Decimal places, sizes and NaN side by side: one answer for every order and partitioning."""
+    shuffled = values[:]
+    draw.shuffle(shuffled)
+    assert repr(totals(spark, values)) == repr(totals(spark, shuffled))
+    if not any(math.isnan(v) or abs(v) >= 1e20 for v in values):
+        places = Decimal("0.000001")
+        exact = sum(Decimal(repr(v)).quantize(places, ROUND_HALF_UP) for v in values)
+        assert totals(spark, values)[0] == float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP))
+        mean = (exact * 100 / len(values)).quantize(Decimal(1), ROUND_HALF_UP)
+        assert totals(spark, values)[1] == pytest.approx(float(mean) / 100, rel=1e-15)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))

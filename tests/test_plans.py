@@ -15,6 +15,7 @@ ROOT = pathlib.Path(__file__).resolve().parents[1]
 # A window or aggregate over everything, and why its input is small.
 BOUNDED_SINGLE_TASK = {
     "cast_audit": "one row of partial counts per task",
+    "country_rollup": "one partial count per task",
     "hot_keys": "one partial sum per task",
     "range_histogram": "one row per partition of the read",
     "raw_csv_audit": "one row of partial counts per task",
@@ -22,10 +23,11 @@ BOUNDED_SINGLE_TASK = {
     "salted_join": "one partial sum per task",
     "schema_diff": "one row of partial counts per task",
     "skew_ratio": "one partial minimum and maximum per task",
-    "skew_report": "distinct row counts, at most sqrt(2N)",
+    "skew_report": "one sketch and one partial sum per task; slice totals",
     "staged_validation": "one row of partial counts per task",
-    "suggest_bounds": "one sketch per task; 129 slice totals",
-    "suite_summary": "one row per outcome and scenario",
+    "suggest_bounds": "one sketch per task; at most 1024 slice totals",
+    "suite_summary": "one row of partial counts per task",
+    "synth_event_rows": "one partial count per task",
     "synth_events_profile": "one row of partial counts per task",
     "value_profile": "one row of partial counts per task",
 }
@@ -46,7 +48,11 @@ def test_no_cross_product_and_no_unbounded_single_task(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["daily_rollup", "key_counts", "terminal_state", "sum_alarm", "payload_budget"]
+    "name",
+    [
+        "daily_rollup", "key_counts", "terminal_state", "sum_alarm", "payload_budget", "latest_run",
+        "application_id", "first_application_id", "task_signals",
+    ],
 )
 def test_counts_are_combined_before_the_shuffle(spark, name):
     text = plan(spark, name)
@@ -60,6 +66,15 @@ def test_scans_read_only_what_is_used(spark):
     assert "repeat" not in shuffled and "ReadSchema: struct<event_id:bigint>" in shuffled
 
 
+@pytest.mark.parametrize("name", ["task_signals", "event_log_signals", "one_pass_summaries", "suggest_bounds"])
+def test_the_source_is_read_once(spark, name):
+    """In the plan that ran: other uses take the shuffled counts again."""
+    df = QUERIES[name](spark, f"{DATA}/sf0.001")
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan", ran)) == 1
+
+
 def test_filters_reach_the_scan(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in plan(spark, "prefilter_join")
 
@@ -75,6 +90,6 @@ def test_findings_meet_a_broadcast_catalogue(spark):
 
 
 def test_library_keeps_clear_of_what_does_not_survive_scale():
-    banned = r"localCheckpoint|crossJoin|\.toPandas\(|\.collect\(\)|foreachBatch|\.rdd\b|@udf"
+    banned = r"localCheckpoint|setCheckpointDir|crossJoin|\.toPandas\(|\.collect\(\)|foreachBatch|\.rdd\b|@udf"
     for path in (ROOT / "jobscope").rglob("*.py"):
         assert not re.search(banned, path.read_text()), path

@@ -5,11 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from jobscope.plans import ORACLES, QUERIES
 from tests.conftest import DATA
 from tests.oracle import connect, difference
 
-from jobscope.plans import ORACLES, QUERIES  # noqa: E402
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -29,3 +28,13 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     assert difference(QUERIES[name](spark, f"{DATA}/sf0.01"), con, ORACLES[name]) is None
+
+
+@pytest.fixture(scope="module")
+def loaded():
+    return connect(f"{DATA}/sf0.001", "TABLE")
+
+
+@pytest.mark.parametrize("name", list(driver.oracle_sql()))
+def test_sql_runs_on_tables_too(loaded, name):
+    loaded.sql(driver.oracle_sql()[name]).fetchall()

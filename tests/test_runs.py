@@ -4,6 +4,8 @@ import datetime as dt
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jobscope.operators import runs
@@ -164,6 +166,28 @@ def test_latest_run_ignores_exports(spark):
     assert [r[2] for r in rows(got)] == ["f2.json", "g.json"]
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from(["a", "long-scenario-name", "é", None]),
+            st.one_of(st.none(), st.text("ab-\x00é\U0001f600", max_size=20)),
+            st.booleans(),
+        ),
+        min_size=1,
+        max_size=20,
+    )
+)
+def test_latest_run_for_any_ids(spark, drawn):
+    records = [(s, (s or "") + i if own and i is not None else i) for s, i, own in drawn]
+    want = {}
+    for s, i in records:
+        best = want.get(s)
+        want[s] = i if best is None or (i is not None and i.encode() > best.encode()) else best
+    df = spark.createDataFrame(records, "scenario string, run_id string")
+    assert dict(map(tuple, runs.latest_run(df).collect())) == want
+
+
 def test_terminal_state(spark):
     t0 = dt.datetime(2026, 1, 1)
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jobscope.operators import skew
+from jobscope.operators.slices import running_counts
 from jobscope.sources.generators import synth_range, synth_skewed
 from tests.conftest import rows
 
@@ -64,7 +65,7 @@ def test_salted_join_equals_plain_join(spark, how):
         "id AS l",
     )
     right = synth_range(spark, 600, "id % 300 AS k", "id AS r")
-    salted = skew.salted_join(left, right, "k", ["l"], salts=4, min_share=0.1, how=how)
+    salted = skew.salted_join(left, right, "k", ["l"], rows_per_task=300, min_share=0.1, how=how)
     plain = left.join(right, "k", how)
     assert salted.columns == plain.columns
     assert rows(salted) == rows(plain)
@@ -80,7 +81,7 @@ def test_salted_join_equals_plain_join(spark, how):
 def test_salted_join_for_any_keys(spark, lefts, rights, how, share):
     left = spark.createDataFrame([(k, i) for i, k in enumerate(lefts)], "k int, l int")
     right = spark.createDataFrame([(k, i) for i, k in enumerate(rights)], "k int, r int")
-    salted = skew.salted_join(left, right, "k", ["l"], salts=3, min_share=share, how=how)
+    salted = skew.salted_join(left, right, "k", ["l"], rows_per_task=4, min_share=share, how=how)
     assert rows(salted) == rows(left.join(right, "k", how))
 
 
@@ -109,6 +110,35 @@ def test_salted_join_spreads_only_hot_keys(spark):
     assert "hashpartitioning(k" in plan and "_salt" in plan  # joined on (key, salt)
 
 
+def test_salts_follow_the_size_of_the_hot_key(spark):
+    def salts(n):
+        df = synth_range(spark, n, "IF(id % 2 = 0, 1, id) AS k")
+        return {r["k"]: r["salts"] for r in skew.key_salts(df, "k", rows_per_task=100).collect()}
+
+    assert salts(2_000) == {1: 10} and salts(4_000) == {1: 20}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(-50, 50)), min_size=1, max_size=120),
+    st.sampled_from([2, 7, 1000]),
+)
+def test_running_counts_in_slices(spark, points, per_slice):
+    """However small the slices, values stand where sorting the group puts them."""
+    counts = Counter(points)
+    rows_ = [(g, v, n) for (g, v), n in counts.items()]
+    df = spark.createDataFrame(rows_, "g string, v int, n long")
+    got = running_counts(df, "v", "n", ["g"], per_slice=per_slice, most=16)
+    want = []
+    for g, v, n in rows_:
+        mine = [(w, m) for h, w, m in rows_ if h == g]
+        smaller = [m for w, m in mine if w < v]
+        want.append((g, v, n, sum(smaller), len(smaller), sum(m for _, m in mine), len(mine)))
+    assert rows(got) == sorted(want, key=lambda r: tuple(map(str, r)))
+    alone = running_counts(df.where("g = 'a'"), "v", "n", per_slice=per_slice, most=16)
+    assert rows(alone) == [r for r in sorted(want, key=lambda r: tuple(map(str, r))) if r[0] == "a"]
+
+
 def test_partitioned_count(spark):
     df = synth_range(spark, 50_000, "CAST(id % 64 AS STRING) AS shuffle_key")
     counts = skew.partitioned_count(df, "shuffle_key", 8)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from jobscope import jobs
 from jobscope.operators import rollups, task_metrics
-from jobscope.session import literal_rows, scratch, shared_folder
+from jobscope.plans import QUERIES
+from jobscope.session import literal_rows, scratch, scratch_space, shared_folder
 from jobscope.sinks import files as sinks
 from jobscope.sources import files, generators, jdbc
 from jobscope.vocab import COUNTRIES, EVENT_TYPES
@@ -57,7 +59,7 @@ def test_catalog_table(spark):
 def test_one_document_per_file(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.json").write_text(json.dumps({"id": i, "tags": {"a": "b"}}, indent=2))
-    docs = files.read_docs(spark, str(tmp_path), "id int, tags map<string,string>")
+    docs = files.read_docs(spark, str(tmp_path), "id int, tags map<string,string>", one_per_file=True)
     assert sorted(r["id"] for r in docs.collect()) == [0, 1, 2]
 
 
@@ -173,6 +175,9 @@ def test_event_log(spark, tmp_path):
 
     mb = 2**20
     log = [{"Event": "SparkListenerLogStart"}, {"Event": "SparkListenerTaskEnd", "Stage ID": 9}]
+    lost = {**task(1, 5, 1_000, 61_000, 0), "Task End Reason": {"Reason": "ExecutorLostFailure"}}
+    lost["Task Metrics"]["Input Metrics"] = {"Bytes Read": 3 * 2**30}
+    log.append(lost)
     log += [task(0, 1, 0, 60_000, mb), task(0, 2, 0, 120_000, mb), task(0, 3, 0, 720_000, 2 * mb)]
     started = {**task(1, 4, 5, 0, None), "Event": "SparkListenerTaskStart"}
     begun = {**task(0, 3, 0, 0, None), "Event": "SparkListenerTaskStart"}
@@ -188,7 +193,20 @@ def test_event_log(spark, tmp_path):
     assert got[0]["max_task_runtime_minutes"] == 12.0
     assert got[0]["median_task_runtime_minutes"] == 2.0
     assert (got[0]["skew_ratio"], got[0]["shuffle_spill_mb"]) == (6, 4)
-    assert (got[1]["active_task_count"], got[1]["max_task_runtime_minutes"]) == (1, None)
+    assert (got[0]["active_stage_count"], got[0]["executor_failures"], got[0]["elapsed_minutes"]) == (0, 0, 12.0)
+    assert (got[1]["active_task_count"], got[1]["max_task_runtime_minutes"]) == (1, 1.0)
+    assert (got[1]["active_stage_count"], got[1]["executor_failures"], got[1]["input_gb"]) == (1, 1, 3.0)
+    assert got[1]["elapsed_minutes"] == 1.02
+
+
+def test_stage_without_finished_tasks(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 5, None, 0, 0), ("a", 2, 5, 65_005, 1, 1)],
+        "run_id string, stage_id int, launch_ms long, finish_ms long, memory_spilled long, disk_spilled long",
+    )
+    got = {r["stage_id"]: r for r in task_metrics.task_signals(df).collect()}
+    assert got[1]["median_task_runtime_minutes"] is None and got[1]["skew_ratio"] == 1
+    assert got[2]["median_task_runtime_minutes"] == 1.08
 
 
 def test_jdbc_options():
@@ -206,10 +224,20 @@ def test_jdbc_options():
 
 def test_scratch_is_below_the_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert scratch(spark, "x").startswith(shared_folder(spark) + "/x-")
+    assert re.match(re.escape(shared_folder(spark)) + r"/scratch-[0-9a-f]+/x-[0-9a-f]+$", scratch(spark, "x"))
     assert scratch(spark, "x") != scratch(spark, "x")
 
 
+@pytest.mark.parametrize("name", ["csv_roundtrip", "docs_roundtrip", "stream_quarantine", "event_log_signals"])
+def test_a_run_leaves_nothing_behind(spark, name):
+    before = set(os.listdir(shared_folder(spark)))
+    with scratch_space(spark) as path:
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert os.listdir(path)
+    assert set(os.listdir(shared_folder(spark))) == before
+
+
+
 def test_literal_rows_are_broadcast(spark):
     small = literal_rows(spark, [("a", ["x"]), ("b", None)], "k string, v array<string>")
     assert rows(small) == [("a", ["x"]), ("b", None)]

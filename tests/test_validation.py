@@ -136,9 +136,9 @@ def test_summary_lists_failures_in_check_order(spark):
 
 
 def test_empty_or_missing_finding_fails_without_error(spark):
-    for actual in ((None, None), None):
+    for actual, outcome in (((None, None), "fail"), (None, "skip")):
         checks, row = evaluate(spark, {"expected_root_cause_category": "X"}, actual)
-        assert row["outcome"] == "fail"
+        assert row["outcome"] == outcome
         assert checks["root_cause_category"]["actual"] == "UNKNOWN"
     assert row["investigation_id"] == "" and row["run_id"] is None
 
@@ -157,15 +157,30 @@ def test_suite_summary_is_zero_filled(spark):
     results = spark.createDataFrame(
         [("pass", "b"), ("pass", "a"), ("pass", "a")], "outcome string, scenario string"
     )
-    assert rows(validation.suite_summary(results)) == [
-        ("fail", 0, "", 0),
-        ("pass", 3, "a b", 0),
-        ("skip", 0, "", 0),
+    names = ("outcome", "scenario", "run_count", "outcome_runs", "overall")
+    assert rows(validation.suite_summary(results).select(*names)) == [
+        ("fail", None, 0, 0, 0),
+        ("pass", "a", 2, 3, 0),
+        ("pass", "b", 1, 3, 0),
+        ("skip", None, 0, 0, 0),
     ]
     failed = results.union(spark.createDataFrame([("fail", "c")], results.schema))
     assert {r["overall"] for r in validation.suite_summary(failed).collect()} == {1}
 
 
+def test_what_nobody_ran_is_skipped(spark):
+    """Also a scenario that expects no root cause, whose UNKNOWN would otherwise pass."""
+    catalog = validation.expected_catalog(spark)
+    none = validation.summarise(
+        validation.evaluate(catalog, spark.createDataFrame([], ACTUAL_DDL))
+    )
+    assert {(r["outcome"], r["summary"]) for r in none.collect()} == {("skip", "SKIP: not run")}
+    assert "happy_path" in {r["scenario"] for r in none.collect()}
+    summary = validation.suite_summary(none).collect()
+    assert {r["overall"] for r in summary} == {0}
+    assert {r["outcome"]: r["outcome_runs"] for r in summary} == {"pass": 0, "fail": 0, "skip": 28}
+
+
 def test_built_in_catalogue(spark):
     catalog = validation.expected_catalog(spark)
     assert catalog.count() == catalog.select("scenario").distinct().count() == 28
