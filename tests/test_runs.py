@@ -166,7 +166,7 @@ def test_latest_run_ignores_exports(spark):
     assert [r[2] for r in rows(got)] == ["f2.json", "g.json"]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(
         st.tuples(

@@ -85,7 +85,7 @@ def test_salted_join_for_any_keys(spark, lefts, rights, how, share):
     assert rows(salted) == rows(left.join(right, "k", how))
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(0, 12), min_size=1, max_size=80))
 def test_report_against_brute_force(spark, keys):
     df = spark.createDataFrame([(k,) for k in keys], "k int")
@@ -112,13 +112,13 @@ def test_salted_join_spreads_only_hot_keys(spark):
 
 def test_salts_follow_the_size_of_the_hot_key(spark):
     def salts(n):
-        df = synth_range(spark, n, "IF(id % 2 = 0, 1, id) AS k")
+        df = synth_range(spark, n, "IF(id % 2 = 0, -1, id) AS k")
         return {r["k"]: r["salts"] for r in skew.key_salts(df, "k", rows_per_task=100).collect()}
 
-    assert salts(2_000) == {1: 10} and salts(4_000) == {1: 20}
+    assert salts(2_000) == {-1: 10} and salts(4_000) == {-1: 20}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(-50, 50)), min_size=1, max_size=120),
     st.sampled_from([2, 7, 1000]),
