@@ -1,4 +1,8 @@
-"""Near-duplicates by SimHash: a Gray-order hierarchical index finds fingerprints a few bits apart."""
+"""Near-duplicates by SimHash: a Gray-order hierarchical index finds fingerprints a few bits apart.
+
+Texts that share most of their shingles differ in more bits than such an index can bridge;
+:func:`duplicates` finds them by long fingerprints in many tables and checks their shingles.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import bounded_batches, components, expand, numbers, stored, unite, whole_runs
+from jobscope.llm.common import (
+    bounded_batches,
+    cached,
+    components,
+    expand,
+    new_run,
+    numbers,
+    stored,
+    unite,
+    whole_runs,
+)
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 
+# Near copies share at least 4 of 5 of all their five-word shingles.
+COPY_SHINGLE = 5
+COPY_SHARE = (4, 5)
+# Long fingerprints: words of 64 bits, and how far apart those of two near copies are at most.
+# At a share of 0.8 a bit differs with probability 0.15: 39 of 256 bits, standard deviation 6.
+WORDS = 4
+FAR_BITS = 60
+# Tables, and the bits of a long fingerprint that name a node in each: at a share of 0.8 two texts
+# agree on them with probability 0.1, and in none of the tables with 0.00004.
+TABLES = 96
+# Links a text gives to its nearest in a node, besides those of the spanning forest.
+NEAREST = 4
+NODE_BITS = 14
+
 _BITS = 64
 # Fingerprints in one node that a task takes whole; larger nodes are split one level deeper.
 NODE_ROWS = 200_000
@@ -33,9 +61,14 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Lower-cased words; bytes, so A-Z and ASCII white space only."""
+    return text.encode().lower().split() if text else []
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of one text as a signed number; 0 for a text without words."""
-    words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
+    words = _words(text)
     if not words:
         return 0
     total = max(1, len(words) - shingle + 1)
@@ -230,7 +263,215 @@ def near_duplicates(
     )
 
 
+def copy_shingles(text: str | None) -> tuple[int, np.ndarray]:
+    """A number for the text's words, 0 without words, and the sorted distinct hashes of its shingles."""
+    words = _words(text)
+    if not words:
+        return 0, np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    stops = (ends[min(COPY_SHINGLE, len(words)) - 1 :] - 1).tolist()
+    starts = [0, *ends[: len(stops) - 1].tolist()]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, stops)), "<u8", len(stops))
+    return int(np.uint64(digest(joined, SEED + 1)).view(np.int64)), np.unique(hashes)
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in ``WORDS`` words, each by other bits of the hashes."""
+    out = np.zeros(WORDS, "<u8")
+    for k in range(WORDS):
+        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones = _ones(mixed ^ (mixed >> np.uint64(31)))
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _table_bits() -> np.ndarray:
+    """Per table the places of the bits that name its nodes."""
+    draw = np.random.default_rng(SEED)
+    return np.stack([draw.choice(WORDS * _BITS, NODE_BITS, replace=False) for _ in range(TABLES)])
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each table a text stands in: its node there, its key and its long fingerprint."""
+    chosen = cached("simhash-table-bits", _table_bits)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_000):
+            part = batch.slice(at, 2_000)
+            keys = numbers(part.column(0))
+            prints = np.stack([numbers(c).view(np.uint64) for c in part.columns[1:]], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+            pattern = bits[:, chosen].astype(np.int64) @ (1 << np.arange(NODE_BITS))
+            node = (pattern + (np.arange(TABLES) << NODE_BITS)).astype(np.int32).ravel()
+            words = [np.repeat(prints[:, k].view(np.int64), TABLES) for k in range(WORDS)]
+            yield pa.record_batch(
+                [pa.array(c) for c in (node, np.repeat(keys, TABLES), *words)],
+                names=["node", "key", *[f"w{k}" for k in range(WORDS)]],
+            )
+
+
+def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links form a spanning forest of least total distance."""
+    order = np.argsort(far, kind="stable")
+    places, ends = np.unique(np.concatenate((a[order], b[order])), return_inverse=True)
+    x, y = ends[: len(order)], ends[len(order) :]
+    label = np.arange(len(places))
+    kept: list[np.ndarray] = []
+    edges = np.append(np.flatnonzero(new_run([far[order]])), len(order))
+    for begin, end in zip(edges, edges[1:]):
+        level = np.arange(begin, end)
+        while True:
+            while not np.array_equal(up := label[label], label):
+                label = up
+            p, q = label[x[level]], label[y[level]]
+            apart = p != q
+            if not apart.any():
+                break
+            level, p, q = level[apart], p[apart], q[apart]
+            # each root takes one link to a smaller root, so no circle closes
+            top, first = np.unique(np.maximum(p, q), return_index=True)
+            label[top] = np.minimum(p, q)[first]
+            kept.append(order[level[first]])
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Marks the links that are among the ``NEAREST`` shortest of either end."""
+    link = np.tile(np.arange(len(a)), 2)
+    end = np.concatenate((a, b))
+    order = np.lexsort((link, far[link], end))
+    starts = np.flatnonzero(new_run([end[order]]))
+    _, within = expand(np.diff(np.append(starts, len(order))))
+    mark = np.zeros(len(a), bool)
+    mark[link[order[within < NEAREST]]] = True
+    return mark
+
+
+def _chosen(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    mark = _nearest(a, b, far)
+    mark[_forest(a, b, far)] = True
+    return mark
+
+
+def _copy_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per node a spanning forest, shortest links first, of all pairs at most ``FAR_BITS`` apart.
+
+    A text's nearest go with it, since links of the forest may fail the check of their shingles.
+    Every pair of a node is compared; what leaves it are at most ``NEAREST`` + 1 links a text.
+    """
+    for table, starts in whole_runs(batches, ["node"], _ROWS):
+        keys = numbers(table.column("key"))
+        words = [numbers(table.column(f"w{k}")).view(np.uint64) for k in range(WORDS)]
+        lengths = np.diff(np.append(starts, len(keys)))
+        owner, within = expand(lengths)
+        after = lengths[owner] - within - 1  # rows of the same node that follow
+        total = np.cumsum(after)
+        a, b, far = (np.zeros(0, np.int64) for _ in range(3))
+        row = 0
+        while row < len(keys):
+            # at least one row, and as many more as a block of pairs holds
+            stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + _PAIRS, "right")))
+            x, k = expand(after[row:stop])
+            x += row
+            y = x + 1 + k
+            row = stop
+            d = np.bitwise_count(words[0][x] ^ words[0][y]).astype(np.int64)
+            for word in words[1:]:
+                near = d <= FAR_BITS
+                x, y, d = x[near], y[near], d[near]
+                d += np.bitwise_count(word[x] ^ word[y])
+            near = d <= FAR_BITS
+            if near.any():
+                a, b, far = (np.concatenate(c) for c in ((a, x[near]), (b, y[near]), (far, d[near])))
+            if len(a) > 10 * _ROWS:
+                keep = _chosen(a, b, far)
+                a, b, far = a[keep], b[keep], far[keep]
+        keep = _chosen(a, b, far)
+        p, q = keys[a[keep]], keys[b[keep]]
+        yield pa.record_batch([np.minimum(p, q), np.maximum(p, q)], names=["a", "b"])
+
+
+def _share_enough(a: bytes, b: bytes) -> bool:
+    """Whether two sets of hashes share ``COPY_SHARE`` of all they hold; both are sorted."""
+    many, of = COPY_SHARE
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if of * min(len(x), len(y)) < many * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return of * both >= many * (len(x) + len(y) - both)
+
+
+def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text") -> DataFrame:
+    """``a``-``b`` links between ``key`` values of ``prints`` whose texts share enough shingles.
+
+    Candidates come from ``TABLES`` tables over the long fingerprints; the shingles of every
+    candidate are compared, so no link joins texts that share less.
+    """
+    spread = prints.where("key <> 0").mapInArrow(
+        _nodes, "node int, key bigint, " + ", ".join(f"w{k} bigint" for k in range(WORDS))
+    )
+    found = spread.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_copy_links, "a bigint, b bigint")
+    links = stored(found.distinct(), "copy-candidates")
+    linked = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [copy_shingles(t.as_py())[1].tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["key", "shingles"])
+
+    @F.arrow_udf("bigint")
+    def key(texts: pa.Array) -> pa.Array:
+        made = [xxhash.xxh64_intdigest(b" ".join(w), SEED + 1) if (w := _words(t.as_py())) else 0 for t in texts]
+        return pa.array(np.array(made, np.uint64).view(np.int64))
+
+    @F.arrow_udf("boolean")
+    def enough(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_share_enough(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.bool_())
+
+    texts = documents.select(key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    texts = texts.join(stored(linked, "copy-keys"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    held = stored(texts.mapInArrow(sets, "key bigint, shingles binary"), "copy-shingles")
+    left = held.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
+    right = held.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
+    pairs = links.join(left, "a").join(right, "b")
+    return pairs.where(enough("of_a", "of_b")).select("a", "b")
+
+
+def copy_prints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document its id, the ``key`` of its words and its long fingerprint; nothing is shuffled."""
+    bounded_batches(documents.sparkSession)
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, prints = np.zeros(batch.num_rows, np.int64), np.zeros((WORDS, batch.num_rows), np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                keys[i], hashes = copy_shingles(text.as_py())
+                prints[:, i] = long_fingerprint(hashes)
+            yield pa.record_batch([batch.column(0), keys, *prints.view(np.int64)], names=[id_column, "key", *names])
+
+    kind = documents.schema[id_column].dataType.simpleString()
+    schema = f"`{id_column}` {kind}, key bigint, " + ", ".join(f"{n} bigint" for n in names)
+    return documents.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
+
+
 def duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Ids that are not the smallest of their component; NULL ids are nobody's duplicate."""
-    found = near_duplicates(documents, id_column, text_column)
-    return found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    """Ids that are not the smallest of their group of near copies; NULL ids are nobody's duplicate.
+
+    Near copies have the same words or share at least 0.8 of their distinct five-word shingles;
+    documents without words are copies of each other.
+    """
+    prints = stored(copy_prints(documents, id_column, text_column), "copy-prints")
+    words = [F.min(f"w{k}").alias(f"w{k}") for k in range(WORDS)]
+    known = stored(prints.groupBy("key").agg(F.min(id_column).alias("smallest"), *words), "copy-texts")
+    links = copy_links(documents, known.drop("smallest"), text_column)
+    found = components(links)
+    member = known.join(found, known["key"] == found["node"], "left").select(
+        "key", "smallest", F.coalesce("component", "key").alias("component")
+    )
+    least = member.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    named = stored(member.join(least, "component").select("key", "component_id"), "named-copies")
+    return prints.join(named, "key").where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()

@@ -98,3 +98,55 @@ def test_links_reach_what_all_pairs_reach(spark, max_bits, node_rows):
         label = [new if x == old else x for x in label]
     want = plain_components([(i, p) for i, p in enumerate(prints)], max_bits)
     assert label == [w[2] for w in want]
+
+
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_copies(texts):
+    """Ids that are not the smallest of their group, groups joined by pairs that share 0.8; and those pairs."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    group = {i: i for i in texts}
+    pairs = []
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs.append((a, b))
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    return {i for i, g in group.items() if g != i}, pairs
+
+
+def test_duplicates_share_most_shingles(spark):
+    """Recall and precision against all pairs, with copies on both sides of the limit."""
+    draw = random.Random(5)
+    texts = {}
+    for family in range(120):
+        base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([40, 150, 400]))]
+        for share in (0, draw.uniform(0.005, 0.03), draw.uniform(0.02, 0.08)):
+            copy = [w if draw.random() >= share else f"w{draw.randrange(3000)}" for w in base]
+            texts[len(texts)] = " ".join(copy)
+    want, pairs = plain_copies(texts)
+    got = {r[0] for r in simhash.duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(pairs) > 60
+    assert len(got & want) >= 0.97 * len(want)
+    assert got <= want
+    # the links of three bits over three-word shingles would not do
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert sum((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in pairs) < 0.6 * len(pairs)
+
+
+def test_a_large_group_of_copies(spark):
+    """Links out of a node are fewer than its texts, yet the group stays whole."""
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(600):
+        copy = list(base)
+        copy[draw.randrange(200)] = f"x{i}"
+        texts.append((i, " ".join(copy)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r[0] for r in simhash.duplicates(df).collect()} == set(range(1, 600))
+    assert simhash.copy_links(df, simhash.copy_prints(df)).count() < 600 * 599 // 4
