@@ -17,6 +17,9 @@ LEAD = 2.0
 ROUNDS = 3
 # How strongly a length that lags behind in coverage gains price.
 RATE = 0.5
+# Lengths that hold most of the ids, for which the LP is also solved exactly; its steps.
+HEAVY = 64
+EXACT_STEPS = 600
 
 
 @dataclass(frozen=True)
@@ -86,11 +89,42 @@ def _fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], floa
     return use
 
 
-def _best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
-    """Best-fit decreasing on counts, for the remainder that rounding leaves."""
+def _exact(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
+    """The same LP by column generation, for few lengths.
+
+    The simplex method starts with bins of one length each; a filling worth more than one bin at
+    the present prices takes the place of the configuration that runs out first.  Whenever it
+    stops, what it holds covers all pieces.
+    """
+    lengths = np.flatnonzero(counts)
+    basis = np.diag((capacity // lengths).astype(float))
+    need = counts[lengths].astype(float)
+    for _ in range(EXACT_STEPS):
+        prices = np.linalg.solve(basis.T, np.ones(len(lengths)))
+        price = np.full(capacity + 1, -np.inf)
+        price[lengths] = prices
+        items = _filling(_pricing(price, capacity), capacity)
+        column = np.bincount(np.searchsorted(lengths, items), minlength=len(lengths)).astype(float)
+        if prices @ column <= 1 + 1e-9:
+            break
+        amounts, step = np.linalg.solve(basis, np.stack((need, column), axis=1)).T
+        ratio = np.full(len(lengths), np.inf)
+        ratio[step > 1e-9] = np.maximum(amounts[step > 1e-9], 0) / step[step > 1e-9]
+        basis[:, int(ratio.argmin())] = column
+    use: dict[tuple[int, ...], float] = {}
+    for column, amount in zip(basis.T.round().astype(int), np.linalg.solve(basis, need)):
+        items = tuple(np.repeat(lengths, column)[::-1].tolist())
+        use[items] = use.get(items, 0.0) + max(0.0, float(amount))
+    return use
+
+
+def _best_fit(counts: np.ndarray, capacity: int, begun: dict[tuple[int, ...], int] | None = None) -> list[Run]:
+    """Best-fit decreasing on counts, for the remainder that rounding leaves, into bins begun and new ones."""
     left = counts.copy()
     runs: list[Run] = []
     bins: dict[int, dict[tuple[int, ...], int]] = {}  # free room -> contents -> bins
+    for items, n in (begun or {}).items():
+        bins.setdefault(capacity - sum(items), {})[items] = n
     for length in np.flatnonzero(left)[::-1].tolist():
         todo = int(left[length])
         while todo:
@@ -110,7 +144,8 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
             if not bins[room]:
                 del bins[room]
             after = bins.setdefault(room - length, {})
-            after[(*items, length)] = after.get((*items, length), 0) + moved
+            longest_first = tuple(sorted((*items, length), reverse=True))
+            after[longest_first] = after.get(longest_first, 0) + moved
             todo -= moved
     for groups in bins.values():
         runs += [Run(items, n) for items, n in groups.items()]
@@ -120,25 +155,34 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[Run]:
     """Bins for ``counts[length]`` pieces of each length, as runs of equal bins.
 
-    The fractional solution is rounded down and taken, as far as pieces are there; what is left
-    is solved anew, until rounding gains nothing, and the last few pieces go best fit.  The
-    number of runs is bounded by the steps and the capacity.
+    Two ways, of which the one with fewer bins is returned.  In rounds: the fractional solution
+    is rounded down and its nearly full bins taken, as far as pieces are there; what is left is
+    solved anew, until rounding gains nothing.  At once: the LP of the ``HEAVY`` lengths that
+    hold most is solved exactly and rounded down, whatever its bins hold.  The last pieces go
+    best fit into bins with room or new ones.  The number of runs is bounded by the steps and
+    the capacity.
     """
-    left = np.zeros(capacity + 1, np.int64)
+    pieces = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"length {length} does not fit into {capacity}")
-        left[length] = n
-    taken: dict[tuple[int, ...], int] = {}
+        pieces[length] = n
+    found = [_in_rounds(pieces, capacity), _at_once(pieces, capacity)]
+    return min(found, key=lambda runs: sum(r.bins for r in runs))
+
+
+def _take(left: np.ndarray, taken: dict[tuple[int, ...], int], items: tuple[int, ...], bins: int) -> None:
+    """Move bins with these items from ``left`` to ``taken``, as far as pieces are there."""
+    kinds, times = np.unique(items, return_counts=True)
+    bins = min(bins, int((left[kinds] // times).min()))
+    if bins > 0:
+        left[kinds] -= bins * times
+        taken[items] = taken.get(items, 0) + bins
 
-    def take(items: tuple[int, ...], bins: int) -> None:
-        kinds, times = np.unique(items, return_counts=True)
-        bins = min(bins, int((left[kinds] // times).min()))
-        if bins > 0:
-            left[kinds] -= bins * times
-            taken[items] = taken.get(items, 0) + bins
 
-    take((capacity,), int(left[capacity]))
+def _in_rounds(pieces: np.ndarray, capacity: int) -> list[Run]:
+    left, taken = pieces.copy(), {}
+    _take(left, taken, (capacity,), int(left[capacity]))
     for _ in range(ROUNDS):
         if not left.any():
             break
@@ -147,7 +191,18 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[Run]:
         # fullest first: what cannot be filled well waits for the next round
         for items, amount in sorted(use.items(), key=lambda u: (-sum(u[0]), -u[0][0], u[0])):
             if sum(items) >= capacity - 2:
-                take(items, int(amount))
+                _take(left, taken, items, int(amount))
         if before - int(left.sum()) < 0.02 * before:
             break
-    return [Run(items, n) for items, n in taken.items()] + _best_fit(left, capacity)
+    return _best_fit(left, capacity, taken)
+
+
+def _at_once(pieces: np.ndarray, capacity: int) -> list[Run]:
+    left, taken = pieces.copy(), {}
+    heavy = np.zeros_like(pieces)
+    most = np.argsort(-pieces * np.arange(capacity + 1), kind="stable")[:HEAVY]
+    heavy[most] = pieces[most]
+    if heavy.any():
+        for items, amount in _exact(heavy, capacity).items():
+            _take(left, taken, items, int(amount + 1e-6))
+    return _best_fit(left, capacity, taken)

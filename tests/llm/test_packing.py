@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -99,6 +100,54 @@ def test_few_bins(low, high, n, slack):
     assert bins <= slack * max(sum(lengths) / 1024, sum(x > 512 for x in lengths)) + 1
 
 
+def least_bins(counts, capacity=1024):
+    """The LP bound for few lengths, from its dual: the best of all prices by which no filling is worth over 1.
+
+    A dual optimum lies where as many fillings as there are lengths are worth exactly 1.
+    """
+    lengths = sorted(counts)
+    fillings = [f for f in product(*[range(capacity // n + 1) for n in lengths]) if sum(map(int.__mul__, f, lengths)) <= capacity]
+    fillings = [f for f in fillings if sum(map(int.__mul__, f, lengths)) + lengths[0] > capacity]
+    every, need = np.array(fillings, float), np.array([counts[n] for n in lengths], float)
+    limits = np.vstack((every, -np.eye(len(lengths))))
+    bound = np.append(np.ones(len(every)), np.zeros(len(lengths)))
+    best = 0.0
+    for chosen in map(list, combinations(range(len(limits)), len(lengths))):
+        if abs(np.linalg.det(limits[chosen])) > 1e-9:
+            prices = np.linalg.solve(limits[chosen], bound[chosen])
+            if (limits @ prices <= bound + 1e-9).all():
+                best = max(best, float(need @ prices))
+    return best
+
+
+@pytest.mark.parametrize(
+    "counts",
+    [
+        {400: 100_000, 300: 100_000},
+        {300: 90_000, 410: 50_000},
+        {361: 40_000, 487: 50_000, 569: 60_000},
+        {270: 70_000, 390: 90_000, 450: 40_000},
+        {330: 30_000, 334: 50_000, 364: 20_000, 566: 40_000},
+        {290: 40_000, 380: 60_000, 422: 50_000, 440: 30_000, 600: 20_000},
+    ],
+)
+def test_few_lengths_reach_the_bound(counts):
+    runs = binpacking.pack_histogram(counts, 1024)
+    held = Counter()
+    for run in runs:
+        assert sum(run.items) <= 1024
+        for item in run.items:
+            held[item] += run.bins
+    assert held == counts
+    assert sum(r.bins for r in runs) <= least_bins(counts) + len(counts)
+
+
+def test_few_heavy_lengths_among_many():
+    """Two lengths without a full filling hold most ids, and all others stand there once."""
+    counts = {n: 1 for n in range(1, 1025)} | {400: 100_000, 300: 100_000}
+    assert sum(r.bins for r in binpacking.pack_histogram(counts, 1024)) <= 75_000 + 1024
+
+
 def test_fast_and_exact_ids_agree():
     path, ranks = vocabulary()
     fast, exact = packing.ByteTokenizer(path, ranks), Tokenizer.from_file(path)
