@@ -18,6 +18,10 @@ LONGEST = 3
 RANKS = 400
 # Profiles are learned from at most this many documents of each language.
 SAMPLE_PER_LANGUAGE = 3_000
+# A text is too far from a language below this part of the median score of the language's sample,
+# unless it has too few n-grams to tell.
+FLOOR = 0.5
+LEAST_GRAMS = 50
 _SPACE = 32
 _CHARS = 1 << 18  # characters of a text counted at once
 
@@ -81,6 +85,7 @@ class Profiles:
     """Ranked n-grams per language, in the order of the languages' names."""
 
     def __init__(self, languages: dict[str, np.ndarray], ranks: int = RANKS) -> None:
+        self.floors: dict[str, float] = {}  # least score of a text in the language, see fit_with_floors
         self.names = sorted(languages)
         self.ranks = ranks
         self.every = np.unique(np.concatenate([*languages.values(), np.zeros(0, np.uint64)]).astype(np.uint64))
@@ -95,7 +100,21 @@ class Profiles:
         An n-gram that a language's profile lacks counts as ``ranks`` places off.  Ties go to the
         first name.  Without a letter, or without profiles, the answer is ``und`` and 0.
         """
+        return self._nearest(ranked(*grams(text), self.ranks))
+
+    def plausible(self, text: str | None) -> bool:
+        """Whether a text has letters and is not too far from all languages learned.
+
+        Without profiles every text with a letter is.  A text of few n-grams is unless all
+        profiles lack all of them.
+        """
         own = ranked(*grams(text), self.ranks)
+        if not len(own) or not self.names:
+            return len(own) > 0
+        name, score = self._nearest(own)
+        return score > 0 and (len(own) < LEAST_GRAMS or score >= self.floors.get(name, 0.0))
+
+    def _nearest(self, own: np.ndarray) -> tuple[str, float]:
         if not len(own) or not self.names:
             return UNDETERMINED, 0.0
         at = np.searchsorted(self.every, own)
@@ -108,21 +127,10 @@ class Profiles:
         return self.names[best], 1 - float(distance[best]) / (self.ranks * len(own))
 
 
-def fit(
-    documents: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    language_column: str = "lang",
-    sample_per_language: int = SAMPLE_PER_LANGUAGE,
-    ranks: int = RANKS,
-) -> Profiles:
-    """Profiles of all languages named in documents that are not held out.
-
-    Of each language it reads the documents whose ids have the lowest hashes, at most
-    ``sample_per_language``; the n-grams' counts are summed before they move, and the profiles
-    (``ranks`` numbers per language) come to the driver.  Rows without id, text or language
-    take no part.
-    """
+def _sample(
+    documents: DataFrame, id_column: str, text_column: str, language_column: str, sample_per_language: int
+) -> DataFrame:
+    """``language`` and ``text`` of the documents that profiles are learned from."""
     bounded_batches(documents.sparkSession)
     use = documents.where(
         F.col(id_column).isNotNull()
@@ -143,8 +151,49 @@ def fit(
     read = use.select(
         F.col(language_column).alias("language"), F.col(id_column).alias("id"), F.col(text_column).alias("text")
     )
-    sample = read.join(few, ["language", "id"], "left_semi").select("language", "text")
+    return read.join(few, ["language", "id"], "left_semi").select("language", "text")
+
 
+def fit(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    language_column: str = "lang",
+    sample_per_language: int = SAMPLE_PER_LANGUAGE,
+    ranks: int = RANKS,
+) -> Profiles:
+    """Profiles of all languages named in documents that are not held out.
+
+    Of each language it reads the documents whose ids have the lowest hashes, at most
+    ``sample_per_language``; the n-grams' counts are summed before they move, and the profiles
+    (``ranks`` numbers per language) come to the driver.  Rows without id, text or language
+    take no part.
+    """
+    return _profiles(_sample(documents, id_column, text_column, language_column, sample_per_language), ranks)
+
+
+def fit_with_floors(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    language_column: str = "lang",
+    sample_per_language: int = SAMPLE_PER_LANGUAGE,
+    ranks: int = RANKS,
+) -> Profiles:
+    """As :func:`fit`, and the least score a text of each language has.
+
+    It is ``FLOOR`` times the median score of the language's sample, so that up to half of a
+    sample may be noise.
+    """
+    sample = _sample(documents, id_column, text_column, language_column, sample_per_language)
+    profiles = _profiles(sample, ranks)
+    scored = identify(sample, profiles, to="found").where("found.lang_pred = language")
+    median = F.percentile_approx("found.score", 0.5, 1000).alias("median")
+    profiles.floors = {r["language"]: FLOOR * r["median"] for r in scored.groupBy("language").agg(median).collect()}
+    return profiles
+
+
+def _profiles(sample: DataFrame, ranks: int) -> Profiles:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
         counts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -189,3 +238,15 @@ def identify(
         )
 
     return documents.withColumn(to, run(F.col(text_column)))
+
+
+def plausible(documents: DataFrame, profiles: Profiles, text_column: str = "text") -> DataFrame:
+    """The documents whose text could be in one of the languages learned.  Nothing is shuffled."""
+    bounded_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.plausible(t.as_py()) for t in texts], pa.bool_())
+
+    return documents.where(run(F.col(text_column)))
