@@ -52,6 +52,15 @@ def cached(key: str, build: Callable[[], Any]) -> Any:
     return shelf.__dict__[key]
 
 
+def latest(kind: str, version: str, build: Callable[[], Any]) -> Any:
+    """A value kept in a Python worker until another version of its kind is asked for."""
+    shelf = cached(f"latest {kind}", dict)
+    if version not in shelf:
+        shelf.clear()  # the old value goes before the new one is built
+        shelf[version] = build()
+    return shelf[version]
+
+
 def numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column without NULLs as a numpy array."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import chat, embedding_dedup, html_text, language, mixing, packing, simhash, topk, toxicity, warc
+from jobscope.llm import (
+    chat,
+    embedding_dedup,
+    hard_negatives,
+    html_text,
+    language,
+    lexical_search,
+    mixing,
+    packing,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+    warc,
+)
 from jobscope.llm.common import held_out
 from jobscope.session import load
 
@@ -14,6 +28,7 @@ ORACLES: dict[str, str] = {}
 
 NEIGHBOURS = 5
 QUERY_STEP = 50
+ANCHOR_STEP = 100
 SCALE = 256.0
 
 
@@ -175,3 +190,73 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     profiles = language.fit(documents)
     found = language.identify(documents.select("doc_id", "text"), profiles)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
+@_query()
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(load(spark, folder, "documents"), vocabulary()[0])
+
+
+@_query(
+    """
+    WITH v AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, v.vec_id AS vec_id, a.label = v.label AS same,
+               CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+        FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0
+    ), p AS (
+        SELECT anchor_id, vec_id, score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+           s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    WHERE 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5
+    """
+)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    relabelled = rows.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(relabelled, F.col("vec_id") % ANCHOR_STEP == 0, scale=int(SCALE))
+
+
+@_query(
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents WHERE text IS NOT NULL
+    ), totals AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS all_terms FROM d WHERE len(words) > 0),
+    i AS (
+        SELECT row_number() OVER () AS item_no, item_id, list_distinct(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS words
+        FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+    ), asked AS (SELECT item_no, item_id, unnest(words) AS term FROM i),
+    tf AS (
+        SELECT no, doc_id, n, term, count(*) AS tf
+        FROM (SELECT no, doc_id, CAST(len(words) AS BIGINT) AS n, unnest(words) AS term FROM d)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    impact AS (
+        SELECT no, doc_id, term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+            * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // all_terms))) AS impact
+        FROM tf JOIN df USING (term), totals
+    ), scored AS (
+        SELECT item_no, item_id, no, doc_id, CAST(sum(impact) AS BIGINT) AS score
+        FROM asked JOIN impact USING (term) GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+           doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """
+)
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(load(spark, folder, "documents"), load(spark, folder, "benchmark"))

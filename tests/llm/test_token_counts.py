@@ -1,0 +1,111 @@
+"""Token counts against the library, on whole tables and odd texts."""
+
+from __future__ import annotations
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from jobscope.llm import token_counts
+from jobscope.llm.queries import QUERIES
+from jobscope.session import load
+from tests.conftest import DATA
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, n_tokens string, n_bytes string"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def plain(library, text):
+    return len(library.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_every_document(spark, library):
+    got = {tuple(r) for r in QUERIES["op11_token_counts"](spark, f"{DATA}/sf0.01").collect()}
+    texts = load(spark, f"{DATA}/sf0.01", "documents").select("doc_id", "text").collect()
+    want = set()
+    for i, text in texts:
+        n = plain(library, text)
+        want.add((i, len((text or "").encode()), n, n > 1024))
+    assert got == want and len(texts) == len(got)
+
+
+ODD = [
+    None,
+    "",
+    " ",
+    "<|endoftext|>",
+    "a<|endoftext|> <|endoftext|>b  <|endoftext|>",
+    "<|endoftext|",
+    "it's we're I'LL 'd ''s don''t",
+    "՘࢏ Ᲊ \U000107bb",  # letters only newer Unicode versions know
+    "tab\t\tline\n\n  end  ",
+    "  x　y​",
+    "混合 texto ñandú ١٢٣ ½ Ⅷ 😀👩‍👩‍👧",
+    "a" * 300_000,
+    " " * 2_000_000,
+    "\n" * 2_000_000 + "x",
+    "\t \n" * 700_000,
+    "word " * 300_000,
+    "x1!" * 100_000,
+]
+
+
+@pytest.mark.parametrize("entries", [token_counts.TABLE_ENTRIES, 1])
+def test_odd_texts(spark, library, entries):
+    lookup = token_counts.Lookup(token_counts.ByteBpe(PATH), dict(list({" the": 1, "a": 1}.items())[:entries]))
+    for text in ODD:
+        assert lookup.count(text or "") == plain(library, text), repr(text)[:40]
+    rows = [(i if i else None, t, "x", None) for i, t in enumerate(ODD)] + [(3, "<|endoftext|>", None, "y")] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, token_counts.token_counts(df, PATH, limit=3).collect()), key=str)
+    sizes = [(i, len((t or "").encode()), plain(library, t)) for i, t, *_ in rows]
+    assert got == sorted(((i, b, n, n > 3) for i, b, n in sizes), key=str)
+    assert token_counts.token_counts(df.limit(0), PATH).collect() == []
+
+
+def test_every_character(library):
+    """Pre-tokens next to every character are those of the library."""
+    bpe = token_counts.ByteBpe(PATH)
+    for start in range(0, 0x30000, 64):
+        text = "".join(f" a{chr(c)}b{chr(c)}1" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
+        mine = [p for block in bpe.pre_tokens(text) for p in block]
+        assert mine == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_table_answers_most_and_caches_stay_small(spark, monkeypatch):
+    documents = load(spark, f"{DATA}/sf0.01", "documents")
+    table = token_counts.frequent(documents, PATH)
+    assert 0 < table.num_rows <= token_counts.TABLE_ENTRIES
+    known = dict(zip(table["pre_token"].to_pylist(), table["n_tokens"].to_pylist()))
+    lookup = token_counts.Lookup(token_counts.ByteBpe(PATH), known)
+    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 50)
+    texts = [r[0] for r in documents.where("text IS NOT NULL").select("text").limit(200).collect()]
+    for text in texts:
+        lookup.count(text)
+    seen = sum(len(block) for t in texts for block in lookup.bpe.pre_tokens(t))
+    assert lookup.asked < seen / 4
+    distinct = max(len(set(block)) for t in texts for block in lookup.bpe.pre_tokens(t))
+    assert len(lookup.cache) <= 50 + distinct
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = QUERIES["op11_token_counts"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_other_tokenizers_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", None, None)], SCHEMA)
+    with pytest.raises(ValueError):
+        token_counts.token_counts(df, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_extra_columns_survive_beside_the_count(spark, library):
+    df = spark.createDataFrame([(1, "two words", "kept", "too")], SCHEMA)
+    got = df.withColumn("n", token_counts.n_tokens(df, PATH)).select("n_tokens", F.col("n")).first()
+    assert tuple(got) == ("kept", 2)
