@@ -212,9 +212,12 @@ def mine(
     clean = stored(named, "vectors")
 
     def dealt(df: DataFrame, own: str, own_blocks: Column, other: str, other_blocks: Column) -> DataFrame:
-        """Each row in its block of one side, once for every block of the other."""
-        return df.withColumn(own, F.pmod("key", own_blocks)).withColumn(
-            other, F.explode(F.sequence(F.lit(0), other_blocks - 1))
+        """Each row in its block of one side, once for every block of the other.
+
+        Block numbers are of one type on both sides: cells meet by their hash.
+        """
+        return df.withColumn(own, F.pmod("key", own_blocks).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), (other_blocks - 1).cast("int")))
         )
 
     def best(df: DataFrame, k: int, keys: list[str], score: str, vec: str) -> DataFrame:
