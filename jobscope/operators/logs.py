@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +29,40 @@ from jobscope.vocab import (
 )
 
 
-def matching_rules(line: Column, rules: Sequence[tuple[str, str]] = SIGNAL_RULES) -> Column:
-    """The (category, phrase) rules whose phrase a lower-cased line holds."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.contains(line, F.lit(p.lower())),
-                    F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase")),
-                )
-                for c, p in rules
-            ]
-        )
-    )
+def _alternation(phrases: Sequence[str]) -> str:
+    """One pattern for all phrases, with shared beginnings written once; longer phrases first."""
+    branches: dict[str, list[str]] = {}
+    for p in phrases:
+        branches.setdefault(p[:1], []).append(p[1:])
+    ends = "" in branches
+    parts = []
+    for first, tails in branches.items():
+        if first:
+            literal = re.sub(r"(\W)", r"\\\1", first)
+            parts.append(literal + (_alternation(tails) if tails != [""] else ""))
+    if not parts:
+        return ""
+    return parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)}){'?' if ends else ''}"
+
+
+def found_rules(line: Column, rules: Sequence[tuple[str, str]] = SIGNAL_RULES) -> Column:
+    """The (category, phrase) rules whose phrase a line holds, whatever its case.
+
+    One pattern is tried at every place of the lowered line and names the longest phrase that
+    begins there; a phrase inside another one, or at its beginning, follows from that one.
+    """
+    low = {p: p.lower() for _, p in rules}
+    phrases = sorted(set(low.values()))
+    held = {
+        q: [F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase")) for c, p in rules if low[p] in q]
+        for q in phrases
+    }
+    by_phrase = F.create_map(*[x for q, inside in held.items() for x in (F.lit(q), F.array(*inside))])
+    # a place can begin a phrase only with one of these; the look-ahead keeps overlapping finds
+    firsts = "".join(re.sub(r"(\W)", r"\\\1", c) for c in sorted({q[0] for q in phrases}))
+    pattern = f"(?=[{firsts}])(?=({_alternation(phrases)}))"
+    finds = F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(finds, lambda q: by_phrase[q])))
 
 
 def scan_signals(
@@ -48,15 +70,12 @@ def scan_signals(
 ) -> DataFrame:
     """Lines that hold a known phrase, whatever its case, one row per phrase found.
 
-    The rules are part of compiled expressions, so lines are neither joined nor shuffled; a line
-    is lowered once, and one without any phrase is filtered out before rules are listed.
+    The rules are one compiled pattern, so lines are neither joined nor shuffled, and a line is
+    lowered and read once.  Empty phrases are refused: every line would hold them.
     """
-    lowered = lines.withColumn("_low", F.lower(F.col(text)))
-    phrases = sorted({p.lower() for _, p in rules})
-    some = F.lit(False)
-    for p in phrases:
-        some = some | F.contains(F.col("_low"), F.lit(p))
-    return lowered.where(some).select("*", F.inline(matching_rules(F.col("_low"), rules))).drop("_low")
+    if not all(p for _, p in rules):
+        raise ValueError("a phrase may not be empty")
+    return lines.select("*", F.inline(found_rules(F.col(text), rules)))
 
 
 def file_rank(file_name: Column) -> Column:

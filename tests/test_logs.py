@@ -95,6 +95,27 @@ def test_every_phrase_gives_its_category(spark):
     assert got == [(i, c) for i, (c, _) in enumerate(SIGNAL_RULES)]
 
 
+@pytest.mark.parametrize(
+    "phrases",
+    [
+        ["disk", "disk full", "full", "k f", "DISK FULL on /tmp", "ll"],
+        ["a.b", "a+b", "[a", "a|b", "(", "\\d", "é à"],
+        ["aa", "aaa", "ab", "ba"],
+    ],
+)
+def test_overlapping_phrases_are_all_found(spark, phrases):
+    rules = [(f"C{i % 3}", p) for i, p in enumerate(phrases)] + [("AGAIN", phrases[0])]
+    texts = [None, "", "Disk Full on /TMP", "diskfull disk", "[A.B|a+b(\\D", "É À", "aaab baaa", *phrases]
+    lines = spark.createDataFrame(list(enumerate(texts)), "i int, line string")
+    got = sorted(tuple(r) for r in logs.scan_signals(lines, rules).select("i", "category", "phrase").collect())
+    assert got == sorted((i, c, p) for i, t in enumerate(texts) if t for c, p in rules if p.lower() in t.lower())
+
+
+def test_empty_phrases_are_refused(spark):
+    with pytest.raises(ValueError):
+        logs.scan_signals(spark.createDataFrame([("a",)], "line string"), [("X", "")])
+
+
 def test_lines_without_a_phrase(spark):
     lines = spark.createDataFrame(
         [(UNCLASSIFIED_SENTINEL,), ("fine",), ("",), (None,)], "line string"

@@ -84,6 +84,10 @@ def test_row_rules_do_not_shuffle(spark):
         assert "Exchange" not in plan(spark, name)
 
 
+def test_a_line_is_lowered_once(spark):
+    assert plan(spark, "log_signals").count("lower(") == 1
+
+
 def test_findings_meet_a_broadcast_catalogue(spark):
     text = plan(spark, "finding_checks")
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
