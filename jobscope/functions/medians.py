@@ -23,7 +23,7 @@ def grouped_median(df: DataFrame, groups: Sequence[str], value: str, alias: str)
     Equal values are counted before anything meets, and a large group is walked in slices.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    middle = running_counts(counts, value, "_n", groups).where(covers_median("_n"))
+    middle = running_counts(counts, value, "_n", groups, wanted=covers_median("_n"))
     return middle.groupBy(*groups).agg(
         ((F.min(value) + F.max(value)) / 2).cast("double").alias(alias)
     )

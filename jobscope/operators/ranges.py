@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobscope.operators.slices import running_counts
+from jobscope.operators.slices import VALUES_PER_SLICE, running_counts
 
 
 @dataclass(frozen=True)
@@ -89,23 +89,21 @@ def case_bucket(col: Column, pivot: int) -> Column:
     return F.when(col < pivot, F.lit(1).cast("bigint")).otherwise(col.cast("bigint"))
 
 
-def suggest_bounds(df: DataFrame, col: str, partitions: int) -> DataFrame:
+def suggest_bounds(
+    df: DataFrame, col: str, partitions: int, per_slice: int = VALUES_PER_SLICE
+) -> DataFrame:
     """Upper bounds that split the rows evenly: the k/n discrete quantiles, exactly.
 
-    Values are counted first; their running count is taken in slices, as many as the number of
-    distinct values asks for.
+    Values are counted first.  Where there are more than ``per_slice`` of them, a sketch cuts them
+    into slices, and only those that hold a bound are walked.
     """
     counts = (
         df.where(F.col(col).isNotNull())
         .groupBy(F.col(col).alias("bound"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_counts(counts, "bound", "n")
     # The k-th bound is the value that covers row ceil(k * total / partitions).
     first = F.expr(f"before * {partitions} div total + 1")
     last = F.least(F.expr(f"(before + n) * {partitions} div total"), F.lit(partitions - 1))
-    return (
-        ranked.select("bound", first.alias("first_k"), last.alias("last_k"))
-        .where("first_k <= last_k")
-        .select(F.explode(F.sequence("first_k", "last_k")).alias("k"), "bound")
-    )
+    ranked = running_counts(counts, "bound", "n", per_slice=per_slice, wanted=first <= last)
+    return ranked.select(F.explode(F.sequence(first, last)).alias("k"), "bound")

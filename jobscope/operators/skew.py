@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobscope.functions.medians import covers_median
-from jobscope.operators.slices import running_counts
 
 # Rows of a hot key that one task of a join takes.
 ROWS_PER_TASK = 1_000_000
@@ -30,26 +30,32 @@ def skew_ratio(counts: DataFrame, n: str = "row_count") -> DataFrame:
 def report(df: DataFrame, key: str, hot_ratio: float = 10.0) -> DataFrame:
     """Every key with its rows, share, ratio to the median key, rank and a hot flag.
 
-    Rank and median are worked out on the table of *distinct* row counts, in slices: N rows allow
-    at most sqrt(2N) distinct counts (1 + 2 + 3 + ... <= N).  The keys themselves are counted and
-    then meet that table by their count.
+    Rank and median are worked out on the table of *distinct* row counts by a window in one task:
+    N rows allow at most sqrt(2N) distinct counts (1 + 2 + 3 + ... <= N), 1.5 million for 10^12
+    rows.  The keys themselves are counted and then meet that table by their count.
     """
     counts = key_counts(df, key)
     sizes = counts.groupBy(F.col("row_count").alias("size")).agg(F.count(F.lit(1)).alias("keys"))
-    ranked = running_counts(sizes, "size", "keys")
-    rank = (F.col("values") - F.col("values_before")).cast("bigint")
-    middle = ranked.where(covers_median("keys"))
-    # one row each: sums and the one or two middle sizes
-    total = sizes.agg(F.sum(F.col("size") * F.col("keys"))).scalar()
-    median = middle.agg((F.min("size") + F.max("size")) / 2).scalar()
-    ranks = ranked.select("size", rank.alias("key_rank"))
+    whole = Window.partitionBy()
+    rising = whole.orderBy("size")
+    placed = sizes.select(
+        "size",
+        "keys",
+        (F.sum("keys").over(rising) - F.col("keys")).alias("before"),
+        F.sum("keys").over(whole).alias("total"),
+        F.sum(F.col("size") * F.col("keys")).over(whole).alias("all_rows"),
+        (F.count(F.lit(1)).over(whole) + 1 - F.row_number().over(rising)).alias("key_rank"),
+    )
+    middle = F.when(covers_median("keys"), F.col("size"))
+    median = (F.min(middle).over(whole) + F.max(middle).over(whole)) / 2
+    ranks = placed.select("size", "key_rank", "all_rows", median.alias("median"))
     return counts.join(ranks, F.col("row_count") == F.col("size")).select(
         key,
         "row_count",
-        (F.col("row_count") / total).alias("share"),
-        (F.col("row_count") / median).alias("ratio_to_median"),
-        "key_rank",
-        (F.col("row_count") / median >= hot_ratio).alias("is_hot"),
+        (F.col("row_count") / F.col("all_rows")).alias("share"),
+        (F.col("row_count") / F.col("median")).alias("ratio_to_median"),
+        F.col("key_rank").cast("bigint").alias("key_rank"),
+        (F.col("row_count") / F.col("median") >= hot_ratio).alias("is_hot"),
     )
 
 
