@@ -122,30 +122,43 @@ def application_ids(lines: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
-def place_flags(listing: DataFrame, streams: DataFrame) -> DataFrame:
-    """Per place, which kinds of log are there: one row per listed prefix or job stream prefix."""
+def log_entries(listing: DataFrame, streams: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Listed files and log streams by place, with what kind of log each of them is.
+
+    Columns named in ``also`` are kept; both sides have them.
+    """
     prefix = F.regexp_extract("stream", "^(.*applications/[^/]+/jobs/[^/]+)", 1)
     nowhere = F.lit("")  # never NULL: Spark would test a nullable join key on every entry
     entries = listing.select(
         F.coalesce(normalise_uri(F.col("prefix")), nowhere).alias("place"),
         listing_file(F.col("line")).alias("file"),
-        F.lit(False).alias("streamed"),
+        F.lit(False).alias("is_stream"),
+        *also,
     ).unionByName(
         streams.select(
             F.coalesce(stream_place(F.col("log_group"), prefix), nowhere).alias("place"),
             F.lit(None).cast("string").alias("file"),
-            F.lit(True).alias("streamed"),
+            F.lit(True).alias("is_stream"),
+            *also,
         )
     )
+    return entries.select(
+        "place",
+        starts_with_any(F.col("file"), STEP_LOG_NAMES).alias("is_step"),
+        starts_with_any(F.col("file"), APPLICATION_LOG_NAMES).alias("is_application"),
+        starts_with_any(F.col("file"), SERVERLESS_LOG_NAMES).alias("is_job"),
+        "is_stream",
+        *also,
+    )
 
-    def any_of(names):
-        return F.bool_or(starts_with_any(F.col("file"), names))
 
-    return entries.groupBy("place").agg(
-        any_of(STEP_LOG_NAMES).alias("has_step"),
-        any_of(APPLICATION_LOG_NAMES).alias("has_application"),
-        any_of(SERVERLESS_LOG_NAMES).alias("has_job"),
-        F.bool_or("streamed").alias("has_stream"),
+def place_flags(listing: DataFrame, streams: DataFrame) -> DataFrame:
+    """Per place, which kinds of log are there: one row per listed prefix or job stream prefix."""
+    return log_entries(listing, streams).groupBy("place").agg(
+        F.bool_or("is_step").alias("has_step"),
+        F.bool_or("is_application").alias("has_application"),
+        F.bool_or("is_job").alias("has_job"),
+        F.bool_or("is_stream").alias("has_stream"),
     )
 
 
@@ -221,14 +234,24 @@ def log_readiness(runs: DataFrame, listing: DataFrame, streams: DataFrame) -> Da
     elsewhere = flags.select(F.col("place").alias("_other"), "has_application", "has_stream")
     met = with_places(runs).join(mine, "_main", "left").join(elsewhere, "_other", "left")
 
+    return met.select(*[F.col(c) for c in runs.columns], readiness().alias("logs"))
+
+
+def needs_application() -> Column:
+    """Whether a run is ready only with its application log."""
+    needs = (F.col("deploy_mode") == "cluster") & (F.col("expected_outcome") == "failed")
+    return F.coalesce(needs, F.lit(False))
+
+
+def readiness(needs: Column | None = None) -> Column:
+    """not_checked, ready or waiting, from the check and what was found."""
+
     def yes(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
-    needs_app = (F.col("deploy_mode") == "cluster") & (F.col("expected_outcome") == "failed")
-    on_ec2 = yes("has_step") & (~F.coalesce(needs_app, F.lit(False)) | yes("has_application"))
+    on_ec2 = yes("has_step") & (~(needs_application() if needs is None else needs) | yes("has_application"))
     ready = F.when(F.col("_check") == "ec2", on_ec2).otherwise(yes("has_job") | yes("has_stream"))
-    logs = F.when(F.col("_check").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
-    return met.select(*[F.col(c) for c in runs.columns], logs.alias("logs"))
+    return F.when(F.col("_check").isNull(), "not_checked").when(ready, "ready").otherwise("waiting")
 
 
 def runs_without_logs(runs: DataFrame, lines: DataFrame, key: str) -> DataFrame:
