@@ -90,6 +90,34 @@ def daily_part(combined: DataFrame, dim: str = "country", customer: str = "custo
     )
 
 
+def subtotals(
+    events: DataFrame,
+    dims: Sequence[str] = ("event_date", "country"),
+    *,
+    customer: str = "customer_id",
+    amount: str = "amount",
+) -> DataFrame:
+    """Events, customers and money per combination of ``dims``, per leading dims, and in all.
+
+    ``level`` says how many dims a row is summed over: 0 for the finest groups, so a NULL value
+    (level 0) is told from a total.  Events are combined once per group and customer; only that
+    smaller table is multiplied by the levels, and money is added from exact parts.
+    """
+    parts = {f"_{p}": c for p, c in money_parts(F.col(amount)).items()}
+    combined = events.groupBy(*dims, customer).agg(
+        F.count(F.lit(1)).alias("_events"), *[c.alias(p) for p, c in parts.items()]
+    )
+    merged = merged_parts("_")
+    # the grouping id has a bit for every dim that is summed over: 0, 1, 3, 7, ...
+    return combined.rollup(*dims).agg(
+        F.bit_count(F.grouping_id()).cast("int").alias("level"),
+        F.sum("_events").alias("event_count"),
+        F.count_distinct(F.col(customer)).alias("unique_customers"),
+        sum_of_parts(merged).alias("net_amount"),
+        avg_of_parts(merged).alias("average_amount"),
+    )
+
+
 def type_part(combined: DataFrame) -> DataFrame:
     return combined.groupBy("event_type").agg(
         F.sum("_events").alias("event_count"), sum_of_parts(merged_parts("_")).alias("net_amount")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 from jobscope.functions.medians import covers_median
@@ -59,13 +61,36 @@ def report(df: DataFrame, key: str, hot_ratio: float = 10.0) -> DataFrame:
     )
 
 
+# The sketch holds this many items for each key that can be hot, and no more than Spark allows:
+# its error is then a fifth of the share asked for, so no hot key is missing from it.
+_ITEMS_PER_HOT_KEY = 16
+_MOST_ITEMS = 1_000_000
+_SKETCHED = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType)
+
+
 def hot_keys(df: DataFrame, key: str, min_share: float = 0.01) -> DataFrame:
-    """Keys that hold at least ``min_share`` of all rows: never more than 1 / min_share keys."""
+    """Keys that hold at least ``min_share`` of all rows: never more than 1 / min_share keys.
+
+    A frequent-items sketch, one per task, finds the candidates (at most 16 / min_share of them);
+    a second look at the key column counts only those, exactly.  Other keys are never shuffled.
+    Shares too small for a sketch, and keys of types it does not take, are counted in full.
+    """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be above 0 and at most 1")
-    counts = key_counts(df, key)
-    total = counts.agg(F.sum("row_count")).scalar()
-    return counts.where(F.col("row_count") >= F.lit(min_share) * total)
+    items = math.ceil(_ITEMS_PER_HOT_KEY / min_share)
+    if items > _MOST_ITEMS or not isinstance(df.schema[key].dataType, _SKETCHED):
+        counts = key_counts(df, key)
+        total = counts.agg(F.sum("row_count")).scalar()
+        return counts.where(F.col("row_count") >= F.lit(min_share) * total)
+    keys = df.select(F.col(key).alias("_key"))
+    sketch = keys.agg(F.call_function("approx_top_k", F.col("_key"), F.lit(items), F.lit(items)).alias("_found"))
+    found = sketch.select(F.inline("_found")).select(F.col("item").alias("_item"))
+    # the sketch leaves NULL out; it is one more candidate
+    nothing = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[key].dataType).alias("_item"))
+    candidates = F.broadcast(found.unionByName(nothing))
+    total = keys.agg(F.count(F.lit(1))).scalar()
+    counted = keys.join(candidates, F.col("_key").eqNullSafe(F.col("_item")), "left_semi")
+    return key_counts(counted.withColumnRenamed("_key", key), key).where(F.col("row_count") >= F.lit(min_share) * total)
 
 
 def _salt(spread: Sequence[str], salts: Column | int) -> Column:

@@ -67,6 +67,19 @@ def prefilter_semi(spark: SparkSession, folder: str) -> DataFrame:
     return joins.prefilter(fact, dim, "o_custkey", F.col("c_mktsegment") == "BUILDING")
 
 
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE o_orderpriority = '1-URGENT'
+    """
+)
+def bloom_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items of urgent orders: a filter of the orders' keys meets the lines where they are read."""
+    fact = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    dim = load(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return joins.bloom_join(fact, dim, "l_orderkey", F.col("o_orderpriority") == "1-URGENT", broadcast_keys=100)
+
+
 @query(
     """
     SELECT DISTINCT 't' || l_suppkey AS tablename, 'c' || l_linenumber AS column_name

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions.casts import event_date
-from jobscope.operators import rollups
+from jobscope.operators import distincts, rollups
 from jobscope.plans.registry import query
-from jobscope.session import load
+from jobscope.session import load, scratch
 from jobscope.sources.generators import synth_events
 from jobscope.vocab import COUNTRIES, EVENT_TYPES
 
@@ -75,6 +77,54 @@ def one_pass_summaries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH cents AS (
+      SELECT CAST(ts AS DATE) AS event_date, CASE WHEN event_id % 10 > 0 THEN event_type END AS category, user_id,
+             CAST(round(value * 100) AS BIGINT) AS c
+      FROM events),
+    sums AS (
+      SELECT event_date, category, CAST(grouping(event_date) + grouping(category) AS INTEGER) AS level,
+             count(*) AS event_count, count(DISTINCT user_id) AS unique_customers,
+             CAST(sum(c) AS BIGINT) AS s, count(c) AS n
+      FROM cents GROUP BY ROLLUP (event_date, category))
+    SELECT event_date, category, level, event_count, unique_customers, CAST(s AS DOUBLE) / 100 AS net_amount,
+           CAST((2 * s + n) // (2 * n) AS DOUBLE) / 100 AS average_amount
+    FROM sums
+    """
+)
+def event_subtotals(spark: SparkSession, folder: str) -> DataFrame:
+    """Days, and types of which every tenth event has none."""
+    events = load(spark, folder, "events").select(
+        event_date(F.col("ts")).alias("event_date"),
+        F.when(F.col("event_id") % 10 > 0, F.col("event_type")).alias("category"),
+        F.col("user_id").alias("customer_id"),
+        F.col("value").alias("amount"),
+    )
+    return rollups.subtotals(events, ["event_date", "category"])
+
+
+@query(
+    """
+    SELECT event_type, count(*) AS event_count, count(DISTINCT user_id) AS unique_customers, true AS sketch_is_close
+    FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' GROUP BY event_type
+    """
+)
+def customers_of_two_weeks(spark: SparkSession, folder: str) -> DataFrame:
+    """Two weeks of customers from stored daily sketches, beside the exact count of their events."""
+    events = dated_events(spark, folder)
+    path = scratch(spark, "day-sketches")
+    distincts.store_days(distincts.day_sketches(events, ["event_type"]), path)
+    since, until = date(2024, 1, 8), date(2024, 1, 21)
+    merged = distincts.merge_days(distincts.stored_days(spark, path), ["event_type"], since, until)
+    exact = events.where(F.col("event_date").between(F.lit(since), F.lit(until))).groupBy("event_type").agg(
+        F.count_distinct("customer_id").alias("unique_customers")
+    )
+    off = F.abs(F.col("about_customers") - F.col("unique_customers"))
+    close = off <= F.greatest(F.lit(1), 5 * distincts.relative_error() * F.col("unique_customers"))
+    return merged.join(exact, "event_type").select("event_type", "event_count", "unique_customers", close.alias("sketch_is_close"))
+
+
 @query(f"SELECT *, 'run-0001' AS run_id FROM ({TYPE_SQL})")
 def stamped_rounded(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.stamp(rollups.by_type(dated_events(spark, folder)), "run-0001")

@@ -10,13 +10,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jobscope.operators import alarms
+from jobscope.operators.logs import log_entries
 from jobscope.operators.quality import quarantine
 from jobscope.operators.runs import terminal_state
 from jobscope.sources.files import stream_folder, stream_parquet
 from jobscope.streaming.alarms import stream_idle_alarm, stream_sum_alarm
 from jobscope.streaming.quarantine import stream_quarantine
+from jobscope.streaming.readiness import stream_log_readiness
 from jobscope.streaming.run_tracker import run_slots, terminal_states
-from jobscope.streaming.sink import drain_to, start_files
+from jobscope.streaming.sink import drain, drain_to, start_files
 from tests.conftest import rows
 
 T0 = dt.datetime(2026, 1, 1, 12, 0)
@@ -235,3 +237,49 @@ def test_no_submission_time_means_no_deadline(spark, tmp_path):
 def test_single_file_and_folder_tables_stream(spark):
     stream = stream_parquet(spark, "/root/testdata/sf0.001", "events")
     assert stream.isStreaming and "event_id" in stream.columns
+
+
+def readiness_rows(spark, tmp_path, runs, entries, until):
+    """What the stream reports, and the batch answer on what counts for each run."""
+    at = dt.datetime(2026, 1, 1)
+    run_ddl = (
+        "run_id string, submitted_at timestamp, runtime string, expected_outcome string, deploy_mode string, log_uri string, "
+        "region string, cluster_id string, step_id string, application_id string, serverless_application_id string, "
+        "job_run_id string, cloudwatch_log_group string, cloudwatch_log_stream_prefix string"
+    )
+    made = [
+        (r, None if m is None else at + dt.timedelta(minutes=m), "emr_ec2", "failed", "cluster", "s3://l", "r", "j", f"s-{r}", f"a-{r}", None, None, None, None)
+        for r, m in runs
+    ]
+    prefix = {"step": "s3://l/j/steps/s-{}/", "app": "s3://l/j/containers/a-{}/", "note": "s3://l/j/steps/s-{}/"}
+    name = {"step": "controller.gz", "app": "stdout", "note": "notes.txt"}
+    listed = [
+        (prefix[kind].format(r), f"2026-01-01 00:00:00 1 x/{name[kind]}", None if m is None else at + dt.timedelta(minutes=m)) for r, kind, m in entries
+    ]
+    end = [("end", until)], [("s3://l/j/steps/s-none/", "2026-01-01 00:00:00 1 x/controller.gz", at + dt.timedelta(minutes=until))]
+    made += [(r, at + dt.timedelta(minutes=m), "emr_eks", *[None] * 11) for r, m in end[0]]
+    spark.createDataFrame(made, run_ddl).write.parquet(str(tmp_path / "runs"))
+    listing_ddl = "prefix string, line string, seen_at timestamp"
+    spark.createDataFrame(listed + end[1], listing_ddl).write.parquet(str(tmp_path / "files"))
+
+    def streamed(name):
+        path = str(tmp_path / name)
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    none = streamed("files").where("false").selectExpr("'g' AS log_group", "prefix AS stream", "seen_at")
+    entries = log_entries(streamed("files"), none, ["seen_at"])
+    got = drain(spark, stream_log_readiness(streamed("runs"), entries), "readiness")
+    return {r["run_id"]: r["logs"] for r in got.collect()}
+
+
+def test_streamed_readiness(spark, tmp_path):
+    runs = [("both", 0), ("late", 0), ("early", 20), ("alone", 5), ("half", 5), ("edge", 10), ("open", 170), (None, 3), ("untimed", None), ("note", 4)]
+    entries = [
+        ("both", "step", 3), ("both", "app", 30), ("both", "app", 30), ("late", "step", 10), ("late", "app", 31), ("early", "step", 19),
+        ("early", "app", 25), ("half", "step", 6), ("edge", "step", 10), ("edge", "app", 40), ("open", "step", 171), ("open", "app", 171),
+        ("note", "note", 5), ("note", "app", 6), ("both", "step", None),
+    ]
+    got = readiness_rows(spark, tmp_path, runs, entries, until=200)
+    assert got == {
+        "both": "ready", "late": "waiting", "early": "waiting", "alone": "waiting", "half": "waiting", "edge": "ready", "note": "waiting",
+    }

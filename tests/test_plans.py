@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from jobscope.operators import logs, runs
 from jobscope.plans import QUERIES
 from tests.conftest import DATA
 
@@ -16,16 +17,16 @@ ROOT = pathlib.Path(__file__).resolve().parents[1]
 BOUNDED_SINGLE_TASK = {
     "cast_audit": "one row of partial counts per task",
     "country_rollup": "one partial count per task",
-    "hot_keys": "one partial sum per task",
+    "hot_keys": "one sketch and one partial count per task",
     "range_histogram": "one row per partition of the read",
     "raw_csv_audit": "one row of partial counts per task",
     "run_metrics": "one partial count per task",
-    "salted_join": "one partial sum per task",
+    "salted_join": "one sketch and one partial count per task",
     "schema_diff": "one row of partial counts per task",
     "skew_ratio": "one partial minimum and maximum per task",
-    "skew_report": "one sketch and one partial sum per task; slice totals",
+    "skew_report": "distinct row counts: at most sqrt(2N) for N rows",
     "staged_validation": "one row of partial counts per task",
-    "suggest_bounds": "one sketch per task; at most 1024 slice totals",
+    "suggest_bounds": "at most a million distinct values; one sketch per task and 1024 slice totals beyond",
     "suite_summary": "one row of partial counts per task",
     "synth_event_rows": "one partial count per task",
     "synth_events_profile": "one row of partial counts per task",
@@ -75,6 +76,24 @@ def test_the_source_is_read_once(spark, name):
     assert len(re.findall(r"FileScan", ran)) == 1
 
 
+def test_the_newest_is_sought_in_key_columns_only(spark, tmp_path):
+    """The look that finds the place of the newest record reads no other column."""
+    path = str(tmp_path / "runs")
+    wide = "id", "'s' AS scenario", "CONCAT('s-', id) AS run_id", "'x' AS payload", "'syslog' AS file_name", "id AS line_no"
+    spark.range(10).selectExpr(*wide, "CONCAT('application_1_', id) AS line").write.parquet(path)
+    for newest in (runs.latest_run, logs.application_ids):
+        text = newest(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+        scans = sorted(re.findall(r"ReadSchema: struct<([^>]*)>", text), key=len)
+        assert len(scans) == 2 and "payload" not in scans[0] and "id:bigint" not in scans[0].split(",")
+    assert "payload" in runs.latest_run(spark.read.parquet(path)).columns
+
+
+def test_exchanges_of_ranked_and_grouped_counts(spark):
+    """At most half of what slices for every group took (48, 14 and 9)."""
+    for name, most in (("skew_report", 8), ("task_signals", 4), ("suggest_bounds", 3)):
+        assert plan(spark, name).count("Exchange") <= most
+
+
 def test_filters_reach_the_scan(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in plan(spark, "prefilter_join")
 
