@@ -61,6 +61,11 @@ def latest(kind: str, version: str, build: Callable[[], Any]) -> Any:
     return shelf[version]
 
 
+def release() -> None:
+    """Give back what Arrow keeps for later batches: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column without NULLs as a numpy array."""
     if isinstance(column, pa.ChunkedArray):

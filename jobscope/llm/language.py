@@ -189,7 +189,7 @@ def fit_with_floors(
     profiles = _profiles(sample, ranks)
     scored = identify(sample, profiles, to="found").where("found.lang_pred = language")
     median = F.percentile_approx("found.score", 0.5, 1000).alias("median")
-    profiles.floors = {r["language"]: FLOOR * r["median"] for r in scored.groupBy("language").agg(median).collect()}
+    profiles.floors = {r["language"]: FLOOR * r["median"] for r in scored.groupBy("language").agg(median).toLocalIterator()}
     return profiles
 
 

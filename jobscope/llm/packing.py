@@ -8,7 +8,9 @@ their rank among the pieces of their length, so no piece and no bin passes throu
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +18,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.llm.binpacking import Run, pack_histogram
-from jobscope.llm.common import ROWS_PER_TASK, bounded_batches, cached, numbers, stored
+from jobscope.llm.common import ROWS_PER_TASK, bounded_batches, latest, numbers, release, stored
 
 CAPACITY = 1024
 END_ID = 2
 
 
+# Texts with a run of white space longer than this go to ``tokenizers``: the rank library fails on
+# runs of about a million.
+LONG_SPACE = 100_000
+
+
+def special_strings(path: str) -> list[str]:
+    """The strings of a tokenizer file's special tokens."""
+    with open(path, encoding="utf-8") as text:
+        return [t["content"] for t in json.load(text).get("added_tokens", [])]
+
+
 class ByteTokenizer:
     """Ids of a byte-level BPE vocabulary, equal to those of ``tokenizers`` for its JSON file.
 
     ``ranks_path`` may name the same vocabulary as ranks; texts are then encoded by the faster
-    library, but for those that hold a special token's string.
+    library, but for those that hold one of the ``special`` strings or very long white space, or
+    that it fails on.  The library of the JSON file is loaded when first needed.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.ranks = None
+    def __init__(self, path: str, ranks_path: str | None = None, special: Sequence[str] | None = None) -> None:
+        self.path, self.library, self.ranks = path, None, None
+        self.special = special_strings(path) if special is None else special
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -44,11 +55,26 @@ class ByteTokenizer:
             self.ranks = tiktoken.Encoding(
                 ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
             )
+            self.ranks._mergeable_ranks = {}  # the encoder has its own copy
+
+    def exact(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> list[int]:
         if self.ranks is None or any(s in text for s in self.special):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.ranks.encode_ordinary(text)
+            return self.exact(text)
+        if len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in re.finditer(r"\s+", text)):
+            return self.exact(text)
+        try:
+            return self.ranks.encode_ordinary(text)
+        except BaseException as failure:  # a panic of the library is no Exception
+            if type(failure).__name__ != "PanicException":
+                raise
+            return self.exact(text)
 
 
 def pieces(
@@ -68,9 +94,10 @@ def pieces(
     """
     bounded_batches(documents.sparkSession)
     kind = documents.schema[id_column].dataType.simpleString()
+    special = special_strings(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached(f"tokenizer {tokenizer_path} {ranks_path}", lambda: ByteTokenizer(tokenizer_path, ranks_path))
+        encoder = latest("tokenizer", f"{tokenizer_path} {ranks_path}", lambda: ByteTokenizer(tokenizer_path, ranks_path, special))
         tail = [] if end_id is None else [end_id]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -97,6 +124,7 @@ def pieces(
                     ],
                     names=[id_column, "piece", "start", "length", "ids"],
                 )
+        release()
 
     chosen = documents.select(F.col(id_column), F.col(text_column))
     return chosen.mapInArrow(run, f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids binary")

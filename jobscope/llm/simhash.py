@@ -21,6 +21,7 @@ from jobscope.llm.common import (
     expand,
     new_run,
     numbers,
+    release,
     stored,
     unite,
     whole_runs,
@@ -386,12 +387,14 @@ def _copy_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = d <= FAR_BITS
             if near.any():
                 a, b, far = (np.concatenate(c) for c in ((a, x[near]), (b, y[near]), (far, d[near])))
-            if len(a) > 10 * _ROWS:
+            if len(a) > 2 * _ROWS:
                 keep = _chosen(a, b, far)
                 a, b, far = a[keep], b[keep], far[keep]
         keep = _chosen(a, b, far)
         p, q = keys[a[keep]], keys[b[keep]]
         yield pa.record_batch([np.minimum(p, q), np.maximum(p, q)], names=["a", "b"])
+        del table, words, keys, a, b, far, keep, p, q
+        release()
 
 
 def _share_enough(a: bytes, b: bytes) -> bool:

@@ -74,6 +74,11 @@ class Model:
     grams: tuple[int, ...] = GRAMS
     bits: int = BITS
 
+    @property
+    def is_constant(self) -> bool:
+        """Whether it tells no two texts apart."""
+        return not self.weights.any()
+
     def scores(self, texts: list[str | None]) -> list[float]:
         active, out = self.weights != 0, []
         for text in texts:

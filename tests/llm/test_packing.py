@@ -153,3 +153,34 @@ def test_fast_and_exact_ids_agree():
     fast, exact = packing.ByteTokenizer(path, ranks), Tokenizer.from_file(path)
     for text in ["", "a  b\n\n c", "I'll won't", "日本語 текст ñ", "\u0000​\U0001f600", "x" * 5000, "<|endoftext|>1"]:
         assert fast.ids(text) == exact.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\r\n", "\u3000"])
+def test_very_long_white_space(space):
+    """The ids are the library's, whatever the run; the rank library would end the worker."""
+    json_path, ranks_path = vocabulary()
+    encoder = packing.ByteTokenizer(json_path, ranks_path, packing.special_strings(json_path))
+    for text in (space * 2_000_000, f"a{space * 1_200_000}b", f"{space * 99_999}x" * 12):
+        assert encoder.ids(text) == encoder.exact(text)
+
+
+def test_the_slower_library_is_loaded_only_when_needed():
+    json_path, ranks_path = vocabulary()
+    special = packing.special_strings(json_path)
+    encoder = packing.ByteTokenizer(json_path, ranks_path, special)
+    assert encoder.ids("plain text") and encoder.library is None
+    assert encoder.ids(f"a {special[0]}")[-1] == 50256 and encoder.library is not None
+
+
+def test_a_panic_goes_to_the_other_library(monkeypatch):
+    class PanicException(BaseException):
+        pass
+
+    class Failing:
+        def encode_ordinary(self, text):
+            raise PanicException("overflow")
+
+    json_path, ranks_path = vocabulary()
+    encoder = packing.ByteTokenizer(json_path, ranks_path)
+    encoder.ranks = Failing()
+    assert encoder.ids("some text") == encoder.exact("some text")

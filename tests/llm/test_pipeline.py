@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from jobscope.llm.common import stored
 from jobscope.session import load
 from tests.conftest import DATA
 from tests.llm.test_packing import check_places
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = f"{DATA}/sf0.01"
 
 
+def plain_survivors(texts):
+    """The smallest id of each group that shares 0.8 of its distinct five-word shingles, link by link."""
+    sets, holders = {}, defaultdict(set)
+    for i, text in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        for s in sets[i]:
+            holders[s].add(i)
+    group = {i: i for i in texts}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, mine in sets.items():
+        shared = Counter(j for s in mine for j in holders[s] if j > i)
+        for j, n in shared.items():
+            if 10 * n >= 8 * (len(mine) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+    return {i for i in texts if top(i) == i}
+
+
 def test_stages(spark):
     docs = load(spark, SF, "documents")
     columns = docs.columns
@@ -36,7 +60,7 @@ def test_stages(spark):
         if name == "language ID":
             assert {i for i, r in old.items() if any(c.isalpha() for c in r["text"] or "")} == {r["doc_id"] for r in rows}
         if name == "SimHash near-dedup":
-            want = {i for i, _, c in plain_components([(i, plain_fingerprint(r["text"])) for i, r in old.items()]) if i == c}
+            want = plain_survivors({i: r["text"] for i, r in old.items()})
             assert Counter(r["doc_id"] for r in rows) == Counter(want)
         if name == "mixing sources":
             assert max(Counter(r["doc_id"] for r in rows).values()) == 2
@@ -83,3 +107,11 @@ def test_language_stage_without_languages(spark):
     both = docs.unionByName(more, allowMissingColumns=True)
     kept = corpus_pipeline.drop_no_language(spark, stored(both, "no-language"), SF)
     assert kept.count() == 20 and kept.where("doc_id = 10000000").isEmpty()
+
+
+def test_toxicity_stage_keeps_what_it_cannot_tell_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "same words") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    for toxic in ("1", "0", "IF(doc_id % 4 = 0, 0, 1)"):
+        folder = str(tmp_path / toxic[:2].strip())
+        docs.selectExpr("doc_id", "1 AS quality", f"{toxic} AS toxic").write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == 41
