@@ -17,8 +17,13 @@ from jobscope.session import load
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5, by a model of the labels of documents that are not held out."""
+    """Documents that score below 0.5, by a model of the labels of documents that are not held out.
+
+    Where the labels tell no texts apart, all documents stay.
+    """
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    if model.is_constant:
+        return docs
     return toxicity.score(docs, model, to="_toxic").where("_toxic < 0.5").drop("_toxic")
 
 
