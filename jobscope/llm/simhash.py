@@ -6,7 +6,9 @@ Texts that share most of their shingles differ in more bits than such an index c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,17 @@ COPY_SHARE = (4, 5)
 # At a share of 0.8 a bit differs with probability 0.15: 39 of 256 bits, standard deviation 6.
 WORDS = 4
 FAR_BITS = 60
-# Tables, and the bits of a long fingerprint that name a node in each: at a share of 0.8 two texts
-# agree on them with probability 0.1, and in none of the tables with 0.00004.
-TABLES = 96
-# Links a text gives to its nearest in a node, besides those of the spanning forest.
-NEAREST = 4
+# The bits of a long fingerprint that name a node in each table: at least ``NODE_BITS``, more where
+# nodes would hold over ``NODE_TEXTS`` texts on average.  There are as many tables as two texts with
+# ``SAME_BIT`` as the chance of an equal bit, which is that at a share of 0.8, need to meet but for
+# ``MISSED``.
 NODE_BITS = 14
+NODE_TEXTS = 1_000
+SAME_BIT = 0.85
+MISSED = 0.00003
+# Links a text gives to its nearest in a node, besides those of the spanning forest: none in the
+# first round, this many in the second, and each round as many times more, until no pair is left.
+MORE_NEAREST = 8
 
 _BITS = 64
 # Fingerprints in one node that a task takes whole; larger nodes are split one level deeper.
@@ -52,6 +59,7 @@ _LEAF = 8  # children of a node inside a task
 _PAIRS = 1 << 20  # pairs compared at once
 _SHINGLES = 1 << 15  # shingles counted at once
 _ROWS = 200_000  # rows of the sorted stream taken at once
+_LONG_ROWS = 50_000  # the same where a row has a long fingerprint
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -140,9 +148,16 @@ def _tops(level: DataFrame, pieces: int, width: int, top: int) -> DataFrame:
     )
 
 
+def _set_bits(words: np.ndarray) -> np.ndarray:
+    """How many bits are set in each word, or in each row of words."""
+    counts = np.bitwise_count(words)
+    return counts if counts.ndim == 1 else counts.sum(axis=1, dtype=np.int64)
+
+
 def _near(prints: np.ndarray, starts: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all pairs at most ``max_bits`` apart within runs of Gray-ordered fingerprints.
 
+    A fingerprint is a 64-bit word or a row of such words.
     Above the fingerprints stands a tree: a node covers up to ``_LEAF`` neighbours in Gray order
     and keeps the pattern of the bits all below it share.  Two nodes are compared on the bits
     both share; since patterns only grow downwards, differences add up on the way down and a
@@ -155,8 +170,8 @@ def _near(prints: np.ndarray, starts: np.ndarray, max_bits: int) -> Iterator[tup
         counts = -(-lengths // _LEAF)
         owner, within = expand(counts)
         begin = levels[-1][0][owner] + within * _LEAF
-        lows.append(np.bitwise_and.reduceat(lows[-1], begin))
-        highs.append(np.bitwise_or.reduceat(highs[-1], begin))
+        lows.append(np.bitwise_and.reduceat(lows[-1], begin, axis=0))
+        highs.append(np.bitwise_or.reduceat(highs[-1], begin, axis=0))
         lengths = counts
         levels.append((np.cumsum(counts) - counts, counts))
     spans = []  # per level above 0: first child and number of children of each node
@@ -172,7 +187,7 @@ def _near(prints: np.ndarray, starts: np.ndarray, max_bits: int) -> Iterator[tup
             yield a, b
             continue
         first, children = spans[level - 1]
-        step = max(1, _PAIRS // _LEAF**2)
+        step = max(1, _PAIRS * len(prints) // (_LEAF**2 * prints.size))
         if len(a) > step:
             todo += [(level, a[i : i + step], b[i : i + step]) for i in range(0, len(a), step)]
             continue
@@ -184,7 +199,7 @@ def _near(prints: np.ndarray, starts: np.ndarray, max_bits: int) -> Iterator[tup
         x, y = x[keep], y[keep]
         lo, hi = lows[level - 1], highs[level - 1]
         shared = ~(lo[x] ^ hi[x]) & ~(lo[y] ^ hi[y])
-        close = np.bitwise_count((lo[x] ^ lo[y]) & shared) <= max_bits
+        close = _set_bits((lo[x] ^ lo[y]) & shared) <= max_bits
         if close.any():
             todo.append((level - 1, x[close], y[close]))
 
@@ -290,28 +305,72 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _table_bits() -> np.ndarray:
-    """Per table the places of the bits that name its nodes."""
-    draw = np.random.default_rng(SEED)
-    return np.stack([draw.choice(WORDS * _BITS, NODE_BITS, replace=False) for _ in range(TABLES)])
+@dataclass(frozen=True)
+class Layout:
+    """How many tables there are and how many bits name a node in each."""
+
+    bits: int
+    tables: int
+
+    @staticmethod
+    def of(texts: int) -> Layout:
+        bits = max(NODE_BITS, math.ceil(math.log2(max(1, texts) / NODE_TEXTS)))
+        return Layout(bits, math.ceil(math.log(MISSED) / math.log1p(-(SAME_BIT**bits))))
+
+    def places(self) -> np.ndarray:
+        """Per table the places of its bits in a long fingerprint."""
+
+        def draw() -> np.ndarray:
+            numbers_ = np.random.default_rng(SEED)
+            return np.stack([numbers_.choice(WORDS * _BITS, self.bits, replace=False) for _ in range(self.tables)])
+
+        return cached(f"simhash-places {self}", draw)
+
+    def patterns(self, prints: np.ndarray) -> np.ndarray:
+        """The bits of each fingerprint in every table, as a number."""
+        places, weight = self.places(), 1 << np.arange(self.bits)
+        out = np.zeros((len(prints), self.tables), np.int32)
+        for at in range(0, len(prints), 2_000):
+            part = np.ascontiguousarray(prints[at : at + 2_000]).view(np.uint8)
+            out[at : at + 2_000] = np.unpackbits(part, axis=1, bitorder="little")[:, places].astype(np.int64) @ weight
+        return out
+
+
+_WORDS = [f"w{k}" for k in range(WORDS)]
+
 
+def _long_prints(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([numbers(rows.column(w)).view(np.uint64) for w in _WORDS], axis=1)
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table a text stands in: its node there, its key and its long fingerprint."""
-    chosen = cached("simhash-table-bits", _table_bits)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2_000):
-            part = batch.slice(at, 2_000)
-            keys = numbers(part.column(0))
-            prints = np.stack([numbers(c).view(np.uint64) for c in part.columns[1:]], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-            pattern = bits[:, chosen].astype(np.int64) @ (1 << np.arange(NODE_BITS))
-            node = (pattern + (np.arange(TABLES) << NODE_BITS)).astype(np.int32).ravel()
-            words = [np.repeat(prints[:, k].view(np.int64), TABLES) for k in range(WORDS)]
-            yield pa.record_batch(
-                [pa.array(c) for c in (node, np.repeat(keys, TABLES), *words)],
-                names=["node", "key", *[f"w{k}" for k in range(WORDS)]],
-            )
+
+def _gray_order(prints: np.ndarray, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order by node, then by Gray rank of all bits of a fingerprint, then by key."""
+    ranks, odd = [], np.zeros(len(prints), np.uint64)
+    for k in range(prints.shape[1]):
+        rank = prints[:, k].copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(shift)
+        # an odd number of bits set so far turns the order of the bits that follow
+        rank ^= np.uint64(0) - odd
+        odd = rank & np.uint64(1)
+        ranks.append(rank)
+    return np.lexsort((keys, *reversed(ranks), node))
+
+
+def _spread(texts: DataFrame, layout: Layout) -> DataFrame:
+    """A row for each table a text stands in: ``node`` there, and all its columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                node = layout.patterns(_long_prints(part)) + (np.arange(layout.tables) << layout.bits)
+                again = pa.array(np.repeat(np.arange(part.num_rows), layout.tables))
+                yield pa.record_batch(
+                    [pa.array(node.ravel()), *part.take(again).columns], names=["node", *part.schema.names]
+                )
+
+    return texts.mapInArrow(run, "node bigint, " + ", ".join(f"{c} bigint" for c in texts.columns))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -339,62 +398,84 @@ def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Marks the links that are among the ``NEAREST`` shortest of either end."""
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Marks the links that are among the ``most`` shortest of either end."""
     link = np.tile(np.arange(len(a)), 2)
     end = np.concatenate((a, b))
     order = np.lexsort((link, far[link], end))
     starts = np.flatnonzero(new_run([end[order]]))
     _, within = expand(np.diff(np.append(starts, len(order))))
     mark = np.zeros(len(a), bool)
-    mark[link[order[within < NEAREST]]] = True
+    mark[link[order[within < most]]] = True
     return mark
 
 
-def _chosen(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    mark = _nearest(a, b, far)
-    mark[_forest(a, b, far)] = True
-    return mark
+def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray, prints: np.ndarray, layout: Layout) -> np.ndarray:
+    """Which pairs meet in no table before theirs, so that each pair counts in one node only."""
+    first = np.ones(len(x), bool)
+    if not len(x):
+        return first
+    ends, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    patterns = layout.patterns(prints[ends])
+    i, j = at[: len(x)], at[len(x) :]
+    left = np.arange(len(x))
+    for k in range(int(table.max())):
+        left = left[table[left] > k]
+        met = patterns[i[left], k] == patterns[j[left], k]
+        first[left[met]] = False
+        left = left[~met]
+        if not len(left):
+            break
+    return first
 
 
-def _copy_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node a spanning forest, shortest links first, of all pairs at most ``FAR_BITS`` apart.
+def _candidates(spread: DataFrame, layout: Layout, most: int) -> DataFrame:
+    """``node``, ``a`` and ``b``: links between texts at most ``FAR_BITS`` apart that share a node.
 
-    A text's nearest go with it, since links of the forest may fail the check of their shingles.
-    Every pair of a node is compared; what leaves it are at most ``NEAREST`` + 1 links a text.
+    Inside a node long fingerprints are sorted by Gray rank and compared down the tree of
+    :func:`_near`.  A pair counts in the first table it meets in, and not at all if its texts have
+    the same ``component`` already.  Of a node's pairs a spanning forest leaves it, shortest links
+    first, and each text's ``most`` nearest; a node that holds more pairs gives a row without
+    ``a`` and ``b`` too.
     """
-    for table, starts in whole_runs(batches, ["node"], _ROWS):
-        keys = numbers(table.column("key"))
-        words = [numbers(table.column(f"w{k}")).view(np.uint64) for k in range(WORDS)]
-        lengths = np.diff(np.append(starts, len(keys)))
-        owner, within = expand(lengths)
-        after = lengths[owner] - within - 1  # rows of the same node that follow
-        total = np.cumsum(after)
-        a, b, far = (np.zeros(0, np.int64) for _ in range(3))
-        row = 0
-        while row < len(keys):
-            # at least one row, and as many more as a block of pairs holds
-            stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + _PAIRS, "right")))
-            x, k = expand(after[row:stop])
-            x += row
-            y = x + 1 + k
-            row = stop
-            d = np.bitwise_count(words[0][x] ^ words[0][y]).astype(np.int64)
-            for word in words[1:]:
-                near = d <= FAR_BITS
-                x, y, d = x[near], y[near], d[near]
-                d += np.bitwise_count(word[x] ^ word[y])
-            near = d <= FAR_BITS
-            if near.any():
-                a, b, far = (np.concatenate(c) for c in ((a, x[near]), (b, y[near]), (far, d[near])))
-            if len(a) > 2 * _ROWS:
-                keep = _chosen(a, b, far)
-                a, b, far = a[keep], b[keep], far[keep]
-        keep = _chosen(a, b, far)
-        p, q = keys[a[keep]], keys[b[keep]]
-        yield pa.record_batch([np.minimum(p, q), np.maximum(p, q)], names=["a", "b"])
-        del table, words, keys, a, b, far, keep, p, q
-        release()
+    grouped = "component" in spread.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_runs(batches, ["node"], _LONG_ROWS):
+            node, keys, prints = numbers(rows.column("node")), numbers(rows.column("key")), _long_prints(rows)
+            order = _gray_order(prints, node, keys)
+            prints, keys = prints[order], keys[order]
+            group = numbers(rows.column("component"))[order] if grouped else keys
+            table = node >> layout.bits
+            a, b, far = (np.zeros(0, np.int64) for _ in range(3))
+            more: set[int] = set()
+
+            def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                keep = _nearest(a, b, far, most)
+                keep[_forest(a, b, far)] = True
+                more.update(np.unique(node[a[~keep]]).tolist())
+                return a[keep], b[keep], far[keep]
+
+            for x, y in _near(prints, starts, FAR_BITS):
+                apart = group[x] != group[y]
+                x, y = x[apart], y[apart]
+                first = _first_met(x, y, table[x], prints, layout)
+                x, y = x[first], y[first]
+                a, b = np.concatenate((a, x)), np.concatenate((b, y))
+                far = np.concatenate((far, _set_bits(prints[x] ^ prints[y])))
+                if len(a) > 2 * _ROWS:
+                    a, b, far = thinned()
+            a, b, far = thinned()
+            p, q = keys[a], keys[b]
+            open_ = pa.array(sorted(more), pa.int64())
+            none = pa.nulls(len(open_), pa.int64())
+            for columns in ((pa.array(node[a]), np.minimum(p, q), np.maximum(p, q)), (open_, none, none)):
+                yield pa.record_batch([pa.array(c) for c in columns], names=["node", "a", "b"])
+            del rows, prints, keys, group, a, b, far
+            release()
+
+    by_node = spread.repartition("node").sortWithinPartitions("node")
+    return by_node.mapInArrow(run, "node bigint, a bigint, b bigint")
 
 
 def _share_enough(a: bytes, b: bytes) -> bool:
@@ -407,18 +488,20 @@ def _share_enough(a: bytes, b: bytes) -> bool:
     return of * both >= many * (len(x) + len(y) - both)
 
 
-def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text") -> DataFrame:
-    """``a``-``b`` links between ``key`` values of ``prints`` whose texts share enough shingles.
+def _compared(links: DataFrame, held: DataFrame) -> DataFrame:
+    """The links whose texts share enough; ``held`` has the shingles of every ``key``."""
 
-    Candidates come from ``TABLES`` tables over the long fingerprints; the shingles of every
-    candidate are compared, so no link joins texts that share less.
-    """
-    spread = prints.where("key <> 0").mapInArrow(
-        _nodes, "node int, key bigint, " + ", ".join(f"w{k} bigint" for k in range(WORDS))
-    )
-    found = spread.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_copy_links, "a bigint, b bigint")
-    links = stored(found.distinct(), "copy-candidates")
-    linked = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+    @F.arrow_udf("boolean")
+    def enough(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_share_enough(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.bool_())
+
+    left = held.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
+    right = held.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
+    return links.join(left, "a").join(right, "b").where(enough("of_a", "of_b")).select("a", "b")
+
+
+def _shingles_of(documents: DataFrame, keys: DataFrame, text_column: str) -> DataFrame:
+    """``key`` and ``shingles``, the sorted hashes of its text, for every one of ``keys``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,17 +513,47 @@ def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text
         made = [xxhash.xxh64_intdigest(b" ".join(w), SEED + 1) if (w := _words(t.as_py())) else 0 for t in texts]
         return pa.array(np.array(made, np.uint64).view(np.int64))
 
-    @F.arrow_udf("boolean")
-    def enough(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_share_enough(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.bool_())
-
     texts = documents.select(key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
-    texts = texts.join(stored(linked, "copy-keys"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    held = stored(texts.mapInArrow(sets, "key bigint, shingles binary"), "copy-shingles")
-    left = held.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
-    right = held.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
-    pairs = links.join(left, "a").join(right, "b")
-    return pairs.where(enough("of_a", "of_b")).select("a", "b")
+    texts = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(sets, "key bigint, shingles binary")
+
+
+def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links ``a``-``b`` between ``key`` values of ``prints``, and ``node``, ``component`` of what they join.
+
+    Candidates come from tables over the long fingerprints, and the shingles of every candidate
+    are compared, so no link joins texts that share less.  The first round takes a spanning forest
+    of each node.  Where links of a forest fail, or pairs are left out, the texts that are still
+    apart meet again with more of their nearest, until every pair of a node was compared or its
+    texts are joined: a group of copies gives few links, and no pair that could join two groups
+    is left out.
+    """
+    layout = Layout.of(prints.count())
+    texts = prints.where("key <> 0").select("key", *_WORDS)
+    spread, most = _spread(texts, layout), 0
+    seen = links = groups = held = linked = None
+    while True:
+        found = stored(_candidates(spread, layout, most), "copy-candidates")
+        fresh = found.where("a IS NOT NULL").select("a", "b")
+        if held is None:
+            ends = fresh.select(F.col("a").alias("key")).union(fresh.select(F.col("b").alias("key")))
+            linked = stored(ends.distinct(), "copy-keys")
+            held = stored(_shingles_of(documents, linked, text_column), "copy-shingles")
+        if seen is not None:
+            fresh = stored(fresh.join(seen, ["a", "b"], "left_anti"), "copy-fresh")
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        passed = stored(_compared(fresh, held), "copy-links")
+        if groups is None or not passed.isEmpty():
+            links = passed if links is None else links.unionByName(passed)
+            groups = components(links)
+        open_nodes = found.where("a IS NULL").select("node")
+        if open_nodes.isEmpty():
+            return links, groups
+        most = MORE_NEAREST * max(1, most)
+        member = groups.select(F.col("node").alias("key"), "component")
+        again = texts.join(linked, "key", "left_semi").join(member, "key", "left")
+        again = again.select("key", F.coalesce("component", "key").alias("component"), *_WORDS)
+        spread = _spread(again, layout).join(open_nodes, "node", "left_semi")
 
 
 def copy_prints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -470,8 +583,7 @@ def duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str
     prints = stored(copy_prints(documents, id_column, text_column), "copy-prints")
     words = [F.min(f"w{k}").alias(f"w{k}") for k in range(WORDS)]
     known = stored(prints.groupBy("key").agg(F.min(id_column).alias("smallest"), *words), "copy-texts")
-    links = copy_links(documents, known.drop("smallest"), text_column)
-    found = components(links)
+    _, found = copy_links(documents, known.drop("smallest"), text_column)
     member = known.join(found, known["key"] == found["node"], "left").select(
         "key", "smallest", F.coalesce("component", "key").alias("component")
     )

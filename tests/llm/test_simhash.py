@@ -149,4 +149,46 @@ def test_a_large_group_of_copies(spark):
         texts.append((i, " ".join(copy)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r[0] for r in simhash.duplicates(df).collect()} == set(range(1, 600))
-    assert simhash.copy_links(df, simhash.copy_prints(df)).count() < 600 * 599 // 4
+    links, _ = simhash.copy_links(df, simhash.copy_prints(df))
+    assert 599 <= links.count() == links.distinct().count() < 600 * 599 // 4
+
+
+def test_long_fingerprints_meet_once_and_none_is_left_out(spark):
+    """The tree inside the nodes against all pairs; links that failed don't hide others."""
+    draw = np.random.default_rng(7)
+    centres = draw.integers(0, 1 << 63, (5, simhash.WORDS), np.int64).view(np.uint64)
+    prints = np.repeat(centres, 30, axis=0)
+    for row in prints:
+        for bit in draw.integers(0, 256, draw.integers(0, 50)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    layout = simhash.Layout.of(len(prints))
+    assert (layout.bits, layout.tables) == (14, 97) and simhash.Layout.of(10**9).bits == 20
+    patterns = layout.patterns(prints)
+    want = {
+        (a, b)
+        for a in range(150)
+        for b in range(a + 1, 150)
+        if np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.FAR_BITS and (patterns[a] == patterns[b]).any()
+    }
+    rows = [(i, *map(int, prints[i].view(np.int64))) for i in range(150)]
+    texts = spark.createDataFrame(rows, "key long, " + ", ".join(f"w{k} long" for k in range(simhash.WORDS)))
+    spread = simhash._spread(texts, layout)
+    all_ = [tuple(r) for r in simhash._candidates(spread, layout, 1000).select("a", "b").collect()]
+    assert len(all_) == len(set(all_)) and set(all_) == want
+    few = simhash._candidates(spread, layout, 0).collect()
+    assert {(r.a, r.b) for r in few if r.a is not None} < want and any(r.a is None for r in few)
+
+
+def test_no_cap_before_the_shingles_are_compared(spark):
+    """A copy further away by bits than many texts that fail the check is found all the same."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for at in draw.sample(range(60), 1 if i % 3 == 0 else draw.choice([2, 3, 4, 5])):
+            copy[at] = f"x{draw.randrange(4)}"
+        texts.append((i, " ".join(copy)))
+    want, _ = plain_copies(dict(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r[0] for r in simhash.duplicates(df).collect()} == want
