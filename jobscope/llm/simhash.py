@@ -48,9 +48,6 @@ NODE_BITS = 14
 NODE_TEXTS = 1_000
 SAME_BIT = 0.85
 MISSED = 0.00003
-# Links a text gives to its nearest in a node, besides those of the spanning forest: none in the
-# first round, this many in the second, and each round as many times more, until no pair is left.
-MORE_NEAREST = 8
 
 _BITS = 64
 # Fingerprints in one node that a task takes whole; larger nodes are split one level deeper.
@@ -60,6 +57,7 @@ _PAIRS = 1 << 20  # pairs compared at once
 _SHINGLES = 1 << 15  # shingles counted at once
 _ROWS = 200_000  # rows of the sorted stream taken at once
 _LONG_ROWS = 50_000  # the same where a row has a long fingerprint
+_SET_ROWS = 4_000  # and where it has the shingles too
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -398,18 +396,6 @@ def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
-    """Marks the links that are among the ``most`` shortest of either end."""
-    link = np.tile(np.arange(len(a)), 2)
-    end = np.concatenate((a, b))
-    order = np.lexsort((link, far[link], end))
-    starts = np.flatnonzero(new_run([end[order]]))
-    _, within = expand(np.diff(np.append(starts, len(order))))
-    mark = np.zeros(len(a), bool)
-    mark[link[order[within < most]]] = True
-    return mark
-
-
 def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray, prints: np.ndarray, layout: Layout) -> np.ndarray:
     """Which pairs meet in no table before theirs, so that each pair counts in one node only."""
     first = np.ones(len(x), bool)
@@ -429,55 +415,98 @@ def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray, prints: np.ndarr
     return first
 
 
-def _candidates(spread: DataFrame, layout: Layout, most: int) -> DataFrame:
-    """``node``, ``a`` and ``b``: links between texts at most ``FAR_BITS`` apart that share a node.
+class _Node:
+    """Texts of whole nodes, by Gray rank of their long fingerprints inside a node."""
+
+    def __init__(self, rows: pa.Table, starts: np.ndarray, layout: Layout) -> None:
+        node, keys, prints = numbers(rows.column("node")), numbers(rows.column("key")), _long_prints(rows)
+        self.order = _gray_order(prints, node, keys)
+        self.node, self.keys, self.prints = node, keys[self.order], prints[self.order]
+        self.starts, self.layout = starts, layout
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all pairs at most ``FAR_BITS`` apart that meet in no table before."""
+        for x, y in _near(self.prints, self.starts, FAR_BITS):
+            first = _first_met(x, y, self.node[x] >> self.layout.bits, self.prints, self.layout)
+            yield x[first], y[first]
+
+    def far(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return _set_bits(self.prints[x] ^ self.prints[y])
 
-    Inside a node long fingerprints are sorted by Gray rank and compared down the tree of
-    :func:`_near`.  A pair counts in the first table it meets in, and not at all if its texts have
-    the same ``component`` already.  Of a node's pairs a spanning forest leaves it, shortest links
-    first, and each text's ``most`` nearest; a node that holds more pairs gives a row without
-    ``a`` and ``b`` too.
+
+def _candidates(spread: DataFrame, layout: Layout) -> DataFrame:
+    """``node``, ``a`` and ``b``: a spanning forest of each node's pairs, shortest links first.
+
+    A node that holds more pairs gives a row without ``a`` and ``b`` too.
     """
-    grouped = "component" in spread.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_runs(batches, ["node"], _LONG_ROWS):
-            node, keys, prints = numbers(rows.column("node")), numbers(rows.column("key")), _long_prints(rows)
-            order = _gray_order(prints, node, keys)
-            prints, keys = prints[order], keys[order]
-            group = numbers(rows.column("component"))[order] if grouped else keys
-            table = node >> layout.bits
+            held = _Node(rows, starts, layout)
             a, b, far = (np.zeros(0, np.int64) for _ in range(3))
             more: set[int] = set()
 
             def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                keep = _nearest(a, b, far, most)
+                keep = np.zeros(len(a), bool)
                 keep[_forest(a, b, far)] = True
-                more.update(np.unique(node[a[~keep]]).tolist())
+                more.update(np.unique(held.node[a[~keep]]).tolist())
                 return a[keep], b[keep], far[keep]
 
-            for x, y in _near(prints, starts, FAR_BITS):
-                apart = group[x] != group[y]
-                x, y = x[apart], y[apart]
-                first = _first_met(x, y, table[x], prints, layout)
-                x, y = x[first], y[first]
-                a, b = np.concatenate((a, x)), np.concatenate((b, y))
-                far = np.concatenate((far, _set_bits(prints[x] ^ prints[y])))
+            for x, y in held.pairs():
+                a, b, far = np.concatenate((a, x)), np.concatenate((b, y)), np.concatenate((far, held.far(x, y)))
                 if len(a) > 2 * _ROWS:
                     a, b, far = thinned()
             a, b, far = thinned()
-            p, q = keys[a], keys[b]
+            p, q = held.keys[a], held.keys[b]
             open_ = pa.array(sorted(more), pa.int64())
             none = pa.nulls(len(open_), pa.int64())
-            for columns in ((pa.array(node[a]), np.minimum(p, q), np.maximum(p, q)), (open_, none, none)):
+            for columns in ((pa.array(held.node[a]), np.minimum(p, q), np.maximum(p, q)), (open_, none, none)):
                 yield pa.record_batch([pa.array(c) for c in columns], names=["node", "a", "b"])
-            del rows, prints, keys, group, a, b, far
+            del rows, held, a, b, far
             release()
 
     by_node = spread.repartition("node").sortWithinPartitions("node")
     return by_node.mapInArrow(run, "node bigint, a bigint, b bigint")
 
 
+def _resolved(spread: DataFrame, layout: Layout) -> DataFrame:
+    """``a``-``b`` links between texts of different ``component`` that share enough ``shingles``.
+
+    Every pair of a node whose texts are not joined yet is compared where it meets, nearest first
+    in each block of pairs; a link that passes joins its components there, so at most one link
+    less than a node has components leaves it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_runs(batches, ["node"], _SET_ROWS):
+            held = _Node(rows, starts, layout)
+            sets = rows.column("shingles")
+            _, group = np.unique(numbers(rows.column("component"))[held.order], return_inverse=True)
+            label = np.arange(group.max(initial=-1) + 1)
+            links: list[tuple[int, int]] = []
+            for x, y in held.pairs():
+                unite(label, label[:0], label[:0])
+                apart = label[group[x]] != label[group[y]]
+                x, y = x[apart], y[apart]
+                near_first = np.argsort(held.far(x, y), kind="stable")
+                for i, j in zip(x[near_first].tolist(), y[near_first].tolist()):
+                    ends = group[i], group[j]
+                    while label[ends[0]] != ends[0] or label[ends[1]] != ends[1]:
+                        ends = label[ends[0]], label[ends[1]]
+                    if ends[0] == ends[1]:
+                        continue
+                    if _share_enough(sets[int(held.order[i])].as_py(), sets[int(held.order[j])].as_py()):
+                        label[max(ends)] = min(ends)
+                        links.append((held.keys[i], held.keys[j]))
+            made = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.record_batch([made.min(axis=1), made.max(axis=1)], names=["a", "b"])
+            del rows, held, sets
+            release()
+
+    by_node = spread.repartition("node").sortWithinPartitions("node")
+    return by_node.mapInArrow(run, "a bigint, b bigint")
+
+
 def _share_enough(a: bytes, b: bytes) -> bool:
     """Whether two sets of hashes share ``COPY_SHARE`` of all they hold; both are sorted."""
     many, of = COPY_SHARE
@@ -522,38 +551,32 @@ def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text
     """Links ``a``-``b`` between ``key`` values of ``prints``, and ``node``, ``component`` of what they join.
 
     Candidates come from tables over the long fingerprints, and the shingles of every candidate
-    are compared, so no link joins texts that share less.  The first round takes a spanning forest
-    of each node.  Where links of a forest fail, or pairs are left out, the texts that are still
-    apart meet again with more of their nearest, until every pair of a node was compared or its
-    texts are joined: a group of copies gives few links, and no pair that could join two groups
-    is left out.
+    are compared, so no link joins texts that share less.  First a spanning forest of each node is
+    compared, which joins most groups of copies by few links.  Nodes with pairs beyond their forest
+    meet again with their texts' shingles, where every pair that is not joined yet is compared: no
+    pair that could join two groups is left out, and no node gives all its pairs.
     """
     layout = Layout.of(prints.count())
     texts = prints.where("key <> 0").select("key", *_WORDS)
-    spread, most = _spread(texts, layout), 0
-    seen = links = groups = held = linked = None
-    while True:
-        found = stored(_candidates(spread, layout, most), "copy-candidates")
-        fresh = found.where("a IS NOT NULL").select("a", "b")
-        if held is None:
-            ends = fresh.select(F.col("a").alias("key")).union(fresh.select(F.col("b").alias("key")))
-            linked = stored(ends.distinct(), "copy-keys")
-            held = stored(_shingles_of(documents, linked, text_column), "copy-shingles")
-        if seen is not None:
-            fresh = stored(fresh.join(seen, ["a", "b"], "left_anti"), "copy-fresh")
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        passed = stored(_compared(fresh, held), "copy-links")
-        if groups is None or not passed.isEmpty():
-            links = passed if links is None else links.unionByName(passed)
-            groups = components(links)
-        open_nodes = found.where("a IS NULL").select("node")
-        if open_nodes.isEmpty():
-            return links, groups
-        most = MORE_NEAREST * max(1, most)
-        member = groups.select(F.col("node").alias("key"), "component")
-        again = texts.join(linked, "key", "left_semi").join(member, "key", "left")
-        again = again.select("key", F.coalesce("component", "key").alias("component"), *_WORDS)
-        spread = _spread(again, layout).join(open_nodes, "node", "left_semi")
+    found = stored(_candidates(_spread(texts, layout), layout), "copy-candidates")
+    forest = found.where("a IS NOT NULL").select("a", "b")
+    ends = forest.select(F.col("a").alias("key")).union(forest.select(F.col("b").alias("key")))
+    linked = stored(ends.distinct(), "copy-keys")
+    held = stored(_shingles_of(documents, linked, text_column), "copy-shingles")
+    links = stored(_compared(forest, held), "copy-links")
+    groups = components(links)
+    open_nodes = found.where("a IS NULL").select("node")
+    if open_nodes.isEmpty():
+        return links, groups
+    member = groups.select(F.col("node").alias("key"), "component")
+    again = texts.join(linked, "key", "left_semi").join(member, "key", "left")
+    again = again.select("key", F.coalesce("component", "key").alias("component"), *_WORDS)
+    spread = _spread(again, layout).join(open_nodes, "node", "left_semi").join(held, "key")
+    more = stored(_resolved(spread, layout), "copy-links")
+    if more.isEmpty():
+        return links, groups
+    links = links.unionByName(more).distinct()
+    return links, components(links)
 
 
 def copy_prints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -153,6 +153,14 @@ def test_a_large_group_of_copies(spark):
     assert 599 <= links.count() == links.distinct().count() < 600 * 599 // 4
 
 
+def reached(links, n):
+    group = list(range(n))
+    for a, b in links:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = [new if g == old else g for g in group]
+    return group
+
+
 def test_long_fingerprints_meet_once_and_none_is_left_out(spark):
     """The tree inside the nodes against all pairs; links that failed don't hide others."""
     draw = np.random.default_rng(7)
@@ -173,10 +181,18 @@ def test_long_fingerprints_meet_once_and_none_is_left_out(spark):
     rows = [(i, *map(int, prints[i].view(np.int64))) for i in range(150)]
     texts = spark.createDataFrame(rows, "key long, " + ", ".join(f"w{k} long" for k in range(simhash.WORDS)))
     spread = simhash._spread(texts, layout)
-    all_ = [tuple(r) for r in simhash._candidates(spread, layout, 1000).select("a", "b").collect()]
-    assert len(all_) == len(set(all_)) and set(all_) == want
-    few = simhash._candidates(spread, layout, 0).collect()
-    assert {(r.a, r.b) for r in few if r.a is not None} < want and any(r.a is None for r in few)
+    held = spread.selectExpr("*", "key AS component", "unhex('0100000000000000') AS shingles")
+    joined = {tuple(r) for r in simhash._resolved(held, layout).collect()}
+    few = simhash._candidates(spread, layout).collect()
+    forest = {(r.a, r.b) for r in few if r.a is not None}
+    assert forest <= want and joined <= want and len(forest) < len(want) and any(r.a is None for r in few)
+    assert reached(forest, 150) == reached(joined, 150) == reached(want, 150)
+    # each pair is looked at in one node only
+    rows_ = spread.orderBy("node").toArrow()
+    starts = np.flatnonzero(simhash.new_run([rows_.column("node").to_numpy()]))
+    node = simhash._Node(rows_, starts, layout)
+    met = [tuple(sorted(p)) for x, y in node.pairs() for p in zip(node.keys[x].tolist(), node.keys[y].tolist())]
+    assert len(met) == len(set(met)) and set(met) == want
 
 
 def test_no_cap_before_the_shingles_are_compared(spark):
