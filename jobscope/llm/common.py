@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobscope.session import scratch
 
@@ -39,6 +40,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """A value that Spark can hash: maps become entries in the order of their keys."""
+    if isinstance(kind, T.MapType):
+        return F.transform(
+            F.array_sort(F.map_keys(value)), lambda k: F.struct(k, _hashable(F.element_at(value, k), kind.valueType))
+        )
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_hashable(value[f.name], f.dataType) for f in kind.fields]))
+    return F.to_json(value) if isinstance(kind, T.VariantType) else value
+
+
+def row_key(rows: DataFrame) -> Column:
+    """A hash of all columns, the same for equal rows; columns may have any type."""
+    return F.xxhash64(*[_hashable(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document takes no part in learning; a document without id does neither."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import numbers, stored
+from jobscope.llm.common import numbers, row_key, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -131,10 +131,6 @@ def _fly(open_: DataFrame, land: bool) -> DataFrame:
     return open_.groupBy("source", "slice").applyInArrow(run, open_.schema)
 
 
-def _row_key(documents: DataFrame) -> F.Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns])
-
-
 def mix(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -153,7 +149,7 @@ def mix(
     random choices follow from keys only, so reruns agree.
     """
     sized = documents.select(
-        _row_key(documents).alias("key"),
+        row_key(documents).alias("key"),
         F.col(id_column),
         F.col(source_column).alias("source"),
         word_count(text_column).alias("size"),
@@ -209,11 +205,15 @@ def repeat(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; ``mixed`` is a stored table."""
     columns = [F.col(f"`{c}`") for c in documents.columns]
     chosen = mixed.where("copies > 0").select(F.col("key").alias("_key"), "rows", F.col("copies").alias("_copies"))
-    keyed = documents.select(_row_key(documents).alias("_key"), F.struct(*columns).alias("_row"))
+    keyed = documents.select(row_key(documents).alias("_key"), F.struct(*columns).alias("_row"))
     # The numbers grow with the documents, so both sides are moved by their key at every size.
     taken = keyed.join(chosen.where("rows = 1").drop("rows").hint("merge"), "_key")
+    taken = taken.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row")
     repeated = chosen.where("rows > 1").drop("rows")
     if not repeated.isEmpty():
         several = keyed.join(repeated, "_key")
-        taken = taken.unionByName(several.groupBy("_key", "_copies").agg(F.first("_row").alias("_row")))
-    return taken.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
+        several = several.groupBy("_key", "_copies").agg(F.first("_row").alias("_row"))
+        blocks = several.withColumn("_from", F.explode(F.expr("sequence(1L, _copies, 10000L)"))).hint("rebalance")
+        copies = F.explode(F.expr("sequence(_from, least(_from + 9999L, _copies))"))
+        taken = taken.unionByName(blocks.withColumn("_copy", copies).select("_row"))
+    return taken.select("_row.*")

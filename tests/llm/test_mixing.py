@@ -110,3 +110,14 @@ def test_chances_are_kept_on_average():
     chance = np.array([0.3, 0.3, 0.3, 0.3, 0.3, 0.3])
     mean = np.mean([mixing.flight(chance, size, s, True) for s in range(6000)], axis=0)
     assert np.abs(mean - chance).max() < 0.03
+
+
+def test_columns_of_any_type(spark):
+    """Rows are told apart by all their columns, maps and structs too, and repeated ones are mixed in blocks."""
+    rows = [(i % 3, "some words here", "a", {"x": {1: "y"}}, (i % 2, {"k": 1})) for i in range(60)]
+    kind = "doc_id long, text string, source string, m map<string,map<int,string>>, s struct<a:int,b:map<string,int>>"
+    docs = spark.createDataFrame(rows, kind)
+    mixed = stored(mixing.mix(docs), "mix")
+    assert mixed.count() == 6 and mixed.agg({"rows": "sum"}).first()[0] == 60
+    out = mixing.repeat(docs, mixed).collect()
+    assert len(out) == mixed.agg({"copies": "sum"}).first()[0] and {str(r) for r in out} <= {str(r) for r in docs.collect()}
