@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobscope.llm.common import components, expand, numbers, stored, unite, whole_runs
 from jobscope.llm.topk import usable
@@ -199,9 +200,18 @@ def near_duplicates(
     without id passes links on, and its component is NULL if no row of it has an id (``kept``).
     """
     tables = tables or tables_needed(threshold)
-    names = [F.col(id_column).alias("id"), F.col(label_column).cast("bigint").alias("label"), F.col(vector_column).alias("vector")]
+    label, name = F.col(label_column), id_column
+    if not isinstance(embeddings.schema[label_column].dataType, T.IntegralType):
+        # Other labels are compared by their own type, and numbered: one row for each of them.
+        embeddings = embeddings.select(F.col(id_column).alias("id"), label.alias("label"), F.col(vector_column).alias("vector"))
+        known = embeddings.where("label IS NOT NULL").select("label").distinct()
+        known = stored(known.withColumn("number", F.monotonically_increasing_id()), "labels")
+        embeddings = embeddings.join(known, "label", "left").select("id", "vector", "number")
+        id_column, vector_column, label_column = "id", "vector", "number"
+        label = F.col(label_column)
+    names = [F.col(id_column).alias("id"), label.cast("bigint").alias("label"), F.col(vector_column).alias("vector")]
     some = F.exists(vector_column, lambda x: x != 0)
-    fit = usable(vector_column) & F.col(label_column).isNotNull() & F.coalesce(some, F.lit(False))
+    fit = usable(vector_column) & label.isNotNull() & F.coalesce(some, F.lit(False))
     read = embeddings.select(*names, fit.alias("fit"))
     alone = read.where("NOT fit").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     key = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256)
@@ -223,4 +233,4 @@ def near_duplicates(
     named = stored(member.join(least, "component").select("key", "n_links", "component_id"), "named")
     every = usable_rows.join(named, "key").select("id", "n_links", "component_id").unionByName(alone)
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    return every.select(F.col("id").alias(id_column), "n_links", "component_id", kept.alias("kept"))
+    return every.select(F.col("id").alias(name), "n_links", "component_id", kept.alias("kept"))

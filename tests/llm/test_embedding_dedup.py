@@ -103,3 +103,13 @@ def test_recall_on_planted_pairs(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
     found = sum(got[400 + i] == (1, i) for i in range(400))
     assert found >= 0.9 * 400 and all(n <= 1 and c in (i, i - 400) for i, (n, c) in got.items())
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "array<int>"])
+def test_labels_of_other_types(spark, kind):
+    """Labels are equal or not in their own type: 1.2 and 1.4 are two labels."""
+    label = {"string": ("a", "b"), "double": (1.2, 1.4), "array<int>": ([1], [1, 2])}[kind]
+    rows = [(1, [1.0, 0.0], label[0]), (2, [1.0, 0.1], label[0]), (3, [1.0, 0.0], label[1]), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], f"vec_id long, embedding array<double>, label {kind}, number int")
+    assert found(embedding_dedup.near_duplicates(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
