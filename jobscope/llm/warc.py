@@ -14,6 +14,7 @@ from jobscope.llm.common import bounded_batches, stored
 
 MIN_REVISIT_BYTES = 100
 CAPTURED = "2024-01-01T00:00:00Z"
+_END = b"\r\n\r\n"  # closes every record
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -97,9 +98,13 @@ def records(
 
 
 def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``record``: the original bytes of every record, put together by a join on the digest."""
-    whole = headers.where("whole").join(payloads, "digest").select(F.concat("head", "payload").alias("record"))
-    return whole.unionByName(headers.where("NOT whole").select(F.col("head").alias("record")))
+    """``record``: the original bytes of every record, put together by a join on the digest.
+
+    Records put one after another are an archive.
+    """
+    end = F.lit(_END)
+    whole = headers.where("whole").join(payloads, "digest").select(F.concat("head", "payload", end).alias("record"))
+    return whole.unionByName(headers.where("NOT whole").select(F.concat("head", end).alias("record")))
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
@@ -108,14 +113,14 @@ _PAGE = re.compile(rb"<urn:page:(-?\d+)>")
 
 def parse_record(record: bytes) -> dict:
     """Fields of one WARC record; its lengths and digest are verified, and a fault raises ValueError."""
-    top, gap, block = record.partition(b"\r\n\r\n")
+    top, gap, block = record.partition(_END)
     lines = top.split(b"\r\n")
     if not gap or not lines[0].startswith(b"WARC/"):
         raise ValueError("no WARC record")
     fields = {m[1].lower(): m[2] for m in map(_FIELD.fullmatch, lines[1:]) if m}
-    if int(fields[b"content-length"]) != len(block):
+    if not block.endswith(_END) or int(fields[b"content-length"]) != len(block) - len(_END):
         raise ValueError("a record's length is wrong")
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, _, payload = block[: -len(_END)].partition(_END)
     sizes = {m[1].lower(): m[2] for m in map(_FIELD.fullmatch, http.split(b"\r\n")[1:]) if m}
     size, kind = int(sizes[b"content-length"]), fields[b"warc-type"].decode()
     digest = fields[b"warc-payload-digest"].removeprefix(b"sha256:").decode()

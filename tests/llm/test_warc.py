@@ -33,7 +33,8 @@ def test_round_trip(spark):
     assert all(hashlib.sha256(r["payload"]).hexdigest() == r["digest"] for r in held)
     records = warc.reconstruct(headers, payloads)
     for r in records.collect():
-        top, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+        assert bytes(r["record"]).endswith(b"\r\n\r\n")
+        top, _, block = bytes(r["record"])[:-4].partition(b"\r\n\r\n")
         assert top.startswith(b"WARC/1.1\r\nWARC-Type: ") and f"Content-Length: {len(block)}".encode() in top
     got = sorted(map(tuple, warc.read_records(records).collect()), key=str)
     want = []
@@ -48,6 +49,21 @@ def test_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_records_in_a_row_are_an_archive(spark):
+    """Read as one stream of bytes: head, as many bytes as it names, two line ends, the next record."""
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    stream = b"".join(bytes(r["record"]) for r in warc.reconstruct(*warc.records(df)).collect())
+    ids = []
+    while stream:
+        top, _, rest = stream.partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in top.split(b"\r\n")[1:])
+        size = int(fields[b"Content-Length"])
+        assert top.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+        ids.append(fields[b"WARC-Record-ID"].decode())
+        stream = rest[size + 4 :]
+    assert sorted(ids) == sorted(f"<urn:page:{'none' if i is None else i}>" for i, _, _ in ROWS)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.reconstruct(*warc.records(df))).collect() == []
