@@ -24,6 +24,7 @@ from jobscope.llm.common import (
     new_run,
     numbers,
     release,
+    row_key,
     stored,
     unite,
     whole_runs,
@@ -580,7 +581,7 @@ def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text
 
 
 def copy_prints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document its id, the ``key`` of its words and its long fingerprint; nothing is shuffled."""
+    """Per document its id, ``row_key``, the ``key`` of its words and its long fingerprint; nothing is shuffled."""
     bounded_batches(documents.sparkSession)
     names = [f"w{k}" for k in range(WORDS)]
 
@@ -590,26 +591,61 @@ def copy_prints(documents: DataFrame, id_column: str = "doc_id", text_column: st
             for i, text in enumerate(batch.column(1)):
                 keys[i], hashes = copy_shingles(text.as_py())
                 prints[:, i] = long_fingerprint(hashes)
-            yield pa.record_batch([batch.column(0), keys, *prints.view(np.int64)], names=[id_column, "key", *names])
+            columns = [batch.column(0), batch.column(2), keys, *prints.view(np.int64)]
+            yield pa.record_batch(columns, names=[id_column, "row_key", "key", *names])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, key bigint, " + ", ".join(f"{n} bigint" for n in names)
-    return documents.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
+    schema = f"`{id_column}` {kind}, row_key bigint, key bigint, " + ", ".join(f"{n} bigint" for n in names)
+    chosen = documents.select(F.col(id_column), F.col(text_column), row_key(documents).alias("row_key"))
+    return chosen.mapInArrow(run, schema)
 
 
-def duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Ids that are not the smallest of their group of near copies; NULL ids are nobody's duplicate.
-
-    Near copies have the same words or share at least 0.8 of their distinct five-word shingles;
-    documents without words are copies of each other.
-    """
+def _grouped(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Per document its id, ``row_key``, the ``component`` of its words and the smallest id of that, ``component_id``."""
     prints = stored(copy_prints(documents, id_column, text_column), "copy-prints")
-    words = [F.min(f"w{k}").alias(f"w{k}") for k in range(WORDS)]
+    words = [F.min(w).alias(w) for w in _WORDS]
     known = stored(prints.groupBy("key").agg(F.min(id_column).alias("smallest"), *words), "copy-texts")
     _, found = copy_links(documents, known.drop("smallest"), text_column)
     member = known.join(found, known["key"] == found["node"], "left").select(
         "key", "smallest", F.coalesce("component", "key").alias("component")
     )
     least = member.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = stored(member.join(least, "component").select("key", "component_id"), "named-copies")
-    return prints.join(named, "key").where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    named = stored(member.join(least, "component").select("key", "component", "component_id"), "named-copies")
+    return prints.join(named, "key").select(F.col(id_column), "row_key", "component", "component_id")
+
+
+def duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Ids that are not the smallest of their group of near copies; NULL ids are nobody's duplicate.
+
+    Near copies have the same words or share at least 0.8 of their distinct five-word shingles;
+    documents without words are copies of each other.
+    """
+    rows = _grouped(documents, id_column, text_column)
+    return rows.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+
+
+def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near copies, as :func:`duplicates` has them: that with the smallest id.
+
+    Of several rows with that id the one with the smallest hash of all its columns stays, and of a
+    row that repeats one.  Rows are told apart by id and hash, so an id with two texts loses
+    neither text.  Rows without id all stay.
+    """
+    told = [id_column, "row_key"]
+    rows = stored(_grouped(documents, id_column, text_column).where(F.col(id_column).isNotNull()), "copy-rows")
+    counted = rows.groupBy(*told, "component", "component_id").agg(F.count("*").alias("n"))
+    first = counted.where(F.col(id_column) == F.col("component_id"))
+    first = first.groupBy("component").agg(F.min("row_key").alias("first"))
+    marked = counted.join(first, "component").withColumn(
+        "stays", (F.col(id_column) == F.col("component_id")) & (F.col("row_key") == F.col("first"))
+    )
+    # Rows that stay and stand once are most of the table; only the others are named.
+    others = stored(marked.where("NOT stays OR n > 1").select(*told, "stays"), "copy-others")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    keyed = documents.select(F.col(id_column), row_key(documents).alias("row_key"), F.struct(*columns).alias("row"))
+    kept = keyed.join(others, told, "left_anti").select("row.*")
+    repeated = others.where("stays").drop("stays")
+    if repeated.isEmpty():
+        return kept
+    once = keyed.join(repeated, told, "left_semi").groupBy(*told).agg(F.first("row").alias("row"))
+    return kept.unionByName(once.select("row.*"))
