@@ -576,8 +576,9 @@ def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text
     more = stored(_resolved(spread, layout), "copy-links")
     if more.isEmpty():
         return links, groups
-    links = links.unionByName(more).distinct()
-    return links, components(links)
+    # The groups found so far are stars already; only what joins them is new.
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return links.unionByName(more).distinct(), components(stars.unionByName(more))
 
 
 def copy_prints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
