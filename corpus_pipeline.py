@@ -37,8 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Near copies share at least 0.8 of their distinct five-word shingles.
     """
-    copies = stored(simhash.duplicates(docs), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
