@@ -115,3 +115,18 @@ def test_toxicity_stage_keeps_what_it_cannot_tell_apart(spark, tmp_path):
         folder = str(tmp_path / toxic[:2].strip())
         docs.selectExpr("doc_id", "1 AS quality", f"{toxic} AS toxic").write.parquet(f"{folder}/labels.parquet")
         assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == 41
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Repeated rows and ids that stand for several texts; maps and clashing names are carried along."""
+    texts = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "tuvw"}
+    rows = [(1, "t"), (2, "t"), (2, "v"), (3, "u"), (3, "u"), (5, "w"), (5, "w"), (6, "w"), (None, "t"), (None, "t")]
+    made = [(i, texts[c], {"b": [1], c: [2]}, n) for n, (i, c) in enumerate(rows) if i != 3]
+    made += [(3, texts["u"], {"b": [1]}, 0)] * 2
+    docs = spark.createDataFrame(made, "doc_id long, text string, row map<string,array<int>>, row_key int")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"][0]) for r in out.collect())
+    assert left == {(1, "t"): 1, (2, "v"): 1, (3, "u"): 1, (5, "w"): 1, (None, "t"): 2}
+    again = Counter(str(r) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(5), SF).collect())
+    assert again == Counter(str(r) for r in out.collect())
