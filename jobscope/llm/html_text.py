@@ -1,4 +1,4 @@
-"""Main text of web pages: markup names the article; elsewhere lines shared with the nearest page go."""
+"""Main text of web pages: every page is aligned with the nearest page, and markup checks the lines shared."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ _WORDS = frozenset(
 # the page, whatever furniture their classes speak of.
 _REMARKS = frozenset("has have is no non not with without".split())
 _HOLDERS = frozenset("html body main".split())
-_CONTENT, _MAIN, _OPEN = 2, 1, 0
+_CONTENT, _MAIN, _OPEN, _ASIDE = 2, 1, 0, -1
 _SHOWN, _FORM, _FURNITURE = 0, 1, 2
+# What markup says of a line: it is not main text, it may be, it is.
+_DROPPED, _ASKED, _PROTECTED = 0, 1, 2
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -124,11 +127,11 @@ class _Tokens:
         return source.find(">", begin)
 
 
-def page_lines(source: str) -> list[tuple[int, str]]:
-    """The page's blocks of text in order, without furniture: (zone, text).
+def page_blocks(source: str) -> list[tuple[int, str]]:
+    """The page's blocks of text in order: (zone, text).
 
-    Zone 2 lies in an article, 1 in the page's main element, 0 elsewhere.  Character references
-    are decoded, white space becomes one space, empty blocks go.  A form is furniture, but not an
+    Zone 2 lies in an article, 1 in the page's main element, 0 elsewhere, -1 in furniture.  Character
+    references are decoded, white space becomes one space, empty blocks go.  A form is furniture, but not an
     article or main element that it holds.
     """
     out: list[tuple[int, str]] = []
@@ -141,20 +144,20 @@ def page_lines(source: str) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((stack[-1][1], text))
+                out.append((_ASIDE if stack[-1][2] else stack[-1][1], text))
 
     at, size = 0, len(source)
     tokens = _Tokens(source)
     while token := tokens.after(at):
         start, end, closing, tag, rest = token
-        if start > at and not stack[-1][2]:
+        if start > at:
             parts.append(source[at:start])
         at = end
         if not tag:
             continue
         if tag in _BLOCK:
             flush()
-        elif tag in _SPACE and not stack[-1][2]:
+        elif tag in _SPACE:
             parts.append(" ")
         if closing:
             if held[tag]:
@@ -190,12 +193,17 @@ def page_lines(source: str) -> list[tuple[int, str]]:
         if skip or inner != zone or tag in ("div", "section", "p"):
             stack.append((tag, inner, skip))
             held[tag] += 1
-    if at < size and not stack[-1][2]:
+    if at < size:
         parts.append(source[at:])
     flush()
     return out
 
 
+def page_lines(source: str) -> list[tuple[int, str]]:
+    """The page's blocks without furniture."""
+    return [(zone, text) for zone, text in page_blocks(source) if zone > _ASIDE]
+
+
 def main_zone(found: list[tuple[int, str]]) -> int:
     """The zone whose blocks, with those of higher zones, are the main text.
 
@@ -209,7 +217,19 @@ def main_zone(found: list[tuple[int, str]]) -> int:
     return _MAIN if chars[_MAIN] or chars[_CONTENT] else _OPEN
 
 
-def shared_lines(own: list[str], other: list[str]) -> np.ndarray:
+def marked_lines(source: str) -> list[tuple[int, str]]:
+    """Every block of a page with what markup says of it: (``_DROPPED``, ``_ASKED`` or ``_PROTECTED``, text).
+
+    Furniture is dropped, and what lies beside the article or main element the page names; the
+    text of that is protected.  All other lines are asked for in the nearest page.
+    """
+    blocks = page_blocks(source)
+    zone = main_zone([block for block in blocks if block[0] > _ASIDE])
+    chosen = _PROTECTED if zone > _OPEN else _ASKED
+    return [(chosen if at >= zone else _DROPPED, text) for at, text in blocks]
+
+
+def shared_lines(own: list, other: list) -> np.ndarray:
     """Marks the lines of ``own`` in a longest common subsequence with ``other``."""
     marks = np.zeros(len(own), bool)
     begin, a, b = 0, len(own), len(other)
@@ -257,26 +277,69 @@ def shared_lines(own: list[str], other: list[str]) -> np.ndarray:
     return marks
 
 
-def _extract(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
-    """Id, URL, the text if markup names it (else NULL) and otherwise all lines of the page."""
-    kind = pages.schema[id_column].dataType.simpleString()
+def line_prints(marked: list[tuple[int, str]]) -> np.ndarray:
+    """Lines as numbers: 62 bits of a hash of the text, and in the two lowest what markup says."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(text) & ~3 | kind for kind, text in marked], np.uint64).view(np.int64)
+
+
+def kept_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of a page's lines that markup has not dropped stay beside the nearest page; lines are ``line_prints``.
+
+    Lines in a longest common subsequence of the two pages go, unless markup protects them in
+    either page or the pages are copies.
+    """
+    kinds, names, theirs = own & 3, own >> 2, other >> 2
+    if np.array_equal(names[kinds > _DROPPED], theirs[other & 3 > _DROPPED]):
+        shared = np.zeros(len(own), bool)
+    else:
+        shared = shared_lines(names.tolist(), theirs.tolist())
+    protected = (kinds == _PROTECTED) | np.isin(names, theirs[other & 3 == _PROTECTED])
+    return (~shared | protected)[kinds > _DROPPED]
+
+
+def _keyed(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
+    """Id, URL, HTML, and two hashes, ``key`` and ``key2``, that together tell rows apart."""
+    columns = [F.col(id_column), F.col(url_column), F.col(html_column)]
+    all_ = [*columns, *[c.isNull() for c in columns]]
+    return pages.select(*columns, F.xxhash64(*all_).alias("key"), F.xxhash64(F.lit(1), *all_).alias("key2"))
+
+
+def _texts(keyed: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
+    """Id, URL, keys and the lines that markup has not dropped."""
+    kind = keyed.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [[t for k, t in marked_lines(s.as_py() or "") if k > _DROPPED] for s in batch.column(4)]
+            yield pa.record_batch(
+                [*batch.columns[:4], pa.array(lines, pa.list_(pa.string()))],
+                names=[id_column, url_column, "key", "key2", "lines"],
+            )
+
+    chosen = keyed.select(id_column, url_column, "key", "key2", html_column)
+    schema = f"`{id_column}` {kind}, `{url_column}` string, key bigint, key2 bigint, lines array<string>"
+    return chosen.mapInArrow(run, schema)
+
+
+def _prints(keyed: DataFrame, url_column: str, html_column: str) -> DataFrame:
+    """``row`` (the keys), ``host``, ``path`` and ``prints`` (all lines, furniture too) of every distinct row."""
+    url = F.lower(F.coalesce(F.col(url_column), F.lit("")))
+    parts = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
+    host = F.regexp_extract(parts, r"//([^/?#]*)", 1)
+    path = F.regexp_extract(parts, r"//[^/?#]*(.*)$", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines = [], []
-            for source in batch.column(2):
-                found = page_lines(source.as_py() or "")
-                zone = main_zone(found) if found else _CONTENT
-                chosen = [t for z, t in found if z >= zone]
-                texts.append("\n".join(chosen) if zone > _OPEN else None)
-                lines.append(chosen if zone == _OPEN else None)
+            prints = [line_prints(marked_lines(s.as_py() or "")) for s in batch.column(4)]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))],
-                names=[id_column, url_column, "text", "lines"],
+                [*batch.columns[:4], pa.array(prints, pa.list_(pa.int64()))],
+                names=["key", "key2", "host", "path", "prints"],
             )
 
-    chosen = pages.select(id_column, url_column, F.col(html_column))
-    return chosen.mapInArrow(run, f"`{id_column}` {kind}, `{url_column}` string, text string, lines array<string>")
+    chosen = keyed.select("key", "key2", host.alias("host"), path.alias("path"), F.col(html_column))
+    found = chosen.mapInArrow(run, "key bigint, key2 bigint, host string, path string, prints array<bigint>")
+    return found.dropDuplicates(["key", "key2"]).select(F.struct("key", "key2").alias("row"), "host", "path", "prints")
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
@@ -313,27 +376,18 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     return both.select("row", partner.alias("partner"))
 
 
-def _without_shared(open_pages: DataFrame, url_column: str) -> DataFrame:
-    """Pages whose markup names no article: their lines without those of the nearest page."""
-    parts = F.regexp_extract(F.lower(F.coalesce(F.col(url_column), F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
-    host = F.regexp_extract(parts, r"//([^/?#]*)", 1)
-    path = F.regexp_extract(parts, r"//[^/?#]*(.*)$", 1)
-    pages = open_pages.withColumn("row", F.xxhash64(*open_pages.columns)).withColumns({"host": host, "path": path})
-    pages = stored(pages.withColumn("row", F.struct("row", F.monotonically_increasing_id().alias("n"))), "open-pages")
-    near = nearest_pages(pages)
-    other = pages.select(F.col("row").alias("partner"), F.col("lines").alias("other"))
-    paired = pages.join(near, "row").join(other, "partner", "left")
+def aligned(prints: DataFrame) -> DataFrame:
+    """``row``, its ``partner`` (NULL for the only page of a host) and which lines are ``kept`` beside that."""
+    other = prints.select(F.col("row").alias("partner"), F.col("prints").alias("other"))
+    paired = prints.select("row", "prints").join(nearest_pages(prints), "row").join(other, "partner", "left")
 
-    @F.arrow_udf("string")
-    def unshared(own: pa.Array, theirs: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(own, theirs):
-            lines, partner = a.as_py() or [], b.as_py() or []
-            marks = shared_lines(lines, partner) if lines != partner else np.zeros(len(lines), bool)
-            out.append("\n".join(t for t, shared in zip(lines, marks) if not shared))
-        return pa.array(out, pa.string())
+    @F.arrow_udf("array<boolean>")
+    def kept(own: pa.Array, theirs: pa.Array) -> pa.Array:
+        none = np.zeros(0, np.int64)
+        lines = ((a.values.to_numpy(), b.values.to_numpy() if b.is_valid else none) for a, b in zip(own, theirs))
+        return pa.array([kept_lines(a, b) for a, b in lines], pa.list_(pa.bool_()))
 
-    return paired.withColumn("text", unshared("lines", "other"))
+    return paired.select("row", "partner", kept("prints", "other").alias("kept"))
 
 
 def main_text(
@@ -341,17 +395,22 @@ def main_text(
 ) -> DataFrame:
     """Id, URL and ``text`` of every page; blocks joined by one newline, empty if there is none.
 
-    Markup decides first: furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-    comments) goes, and where the page names an article, or else a main element, its blocks are
-    the text; a short article beside a longer text in the main element joins that.  A page that names neither is aligned with the nearest page of its host that does
-    not either: lines in the longest common subsequence of the two go, unless the two pages are
-    copies.  NULL html is empty; a page without URL or host is paired among such pages; rows
-    that repeat stay repeated.
+    Every page is paired with the nearest page by path within its host, and all its lines are
+    aligned with those of that page: lines in the longest common subsequence of the two go.
+    Markup checks what the alignment says.  It protects the blocks of an article, or else of a main
+    element, that either of the two pages names (a short article beside a longer text in the main
+    element joins that), because articles repeat too; and it drops what pages do not share:
+    furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) and all that
+    lies beside the article.  Pages that are copies lose nothing to each other.  NULL html is empty; a page without
+    URL or host is paired among such pages; rows that repeat are paired once and stay repeated.
+
+    Pages are scanned twice: first for the numbers of their lines, which is what pairs move, then
+    for the lines themselves, which meet what the alignment keeps of them.
     """
     bounded_batches(pages.sparkSession)
-    found = stored(_extract(pages, id_column, url_column, html_column), "page-text")
-    marked = found.where(F.col("text").isNotNull()).select(id_column, url_column, "text")
-    unmarked = found.where(F.col("text").isNull())
-    if unmarked.isEmpty():
-        return marked
-    return marked.unionByName(_without_shared(unmarked, url_column).select(id_column, url_column, "text"))
+    keyed = _keyed(pages, id_column, url_column, html_column)
+    kept = aligned(stored(_prints(keyed, url_column, html_column), "page-lines")).select("row.key", "row.key2", "kept")
+    # The numbers grow with the pages, so both sides are moved by their key at every size.
+    met = _texts(keyed, id_column, url_column, html_column).join(kept.hint("merge"), ["key", "key2"], "left")
+    lines = F.filter("lines", lambda _, i: F.get("kept", i))
+    return met.select(id_column, url_column, F.array_join(lines, "\n").alias("text"))

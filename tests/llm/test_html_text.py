@@ -131,3 +131,42 @@ def test_a_teaser_does_not_displace_the_text(spark):
     df = spark.createDataFrame([(1, "http://a/1", story), (2, "http://a/2", article), (3, "http://a/3", outside)], "page_id int, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
     assert got == {1: "A story of some length.\nIt goes on.\nTeaser", 2: "A story of some length.", 3: "Short"}
+
+
+def test_every_page_is_paired_and_aligned(spark):
+    """Marked pages too: their lines meet those of the nearest page, furniture included."""
+    pages = load(spark, f"{DATA}/sf0.01", "pages")
+    prints = html_text._prints(html_text._keyed(pages, "page_id", "url", "html"), "url", "html").localCheckpoint()
+    got = html_text.aligned(prints).collect()
+    hosts = {r["row"]: r["host"] for r in prints.collect()}
+    alone = {h for h in hosts.values() if list(hosts.values()).count(h) == 1}
+    assert len(got) == pages.count() == len(hosts) and len(alone) < len(got) // 2
+    assert all((r["partner"] is None) == (hosts[r["row"]] in alone) for r in got)
+    assert all(r["partner"] is None or hosts[r["partner"]] == hosts[r["row"]] for r in got)
+    plan = html_text.main_text(pages)._jdf.queryExecution().toString()
+    assert "kept" in plan and "SortMergeJoin" in plan
+
+
+def test_the_nearest_page_may_be_one_that_names_its_article(spark):
+    """Its menu goes from a page without marks; what it names as its article does not."""
+    marked = "<nav>Home</nav><nav>Shop</nav><article><h1>Story</h1><p>First part.</p><p>Last part.</p></article><footer>(c)</footer>"
+    bare = "<div>Home</div><div>Shop</div><p>Story</p><p>First part.</p><p>Last part.</p><p>Printed today</p><div>(c)</div>"
+    rows = [(1, "http://h.org/news/1", marked), (2, "http://h.org/news/1/print", bare), (2, "http://h.org/news/1/print", bare)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in html_text.main_text(df).collect())
+    story = "Story\nFirst part.\nLast part."
+    assert got == [(1, story), (2, story + "\nPrinted today"), (2, story + "\nPrinted today")]
+
+
+def test_kept_lines():
+    def prints(*marked):
+        return html_text.line_prints([(html_text._PROTECTED if t.isupper() else html_text._DROPPED if t.startswith("-") else html_text._ASKED, t.strip("-").lower()) for t in marked])
+
+    def kept(own, other):
+        return html_text.kept_lines(prints(*own), prints(*other)).tolist()
+
+    assert kept(["menu", "a", "end"], ["menu", "b", "end"]) == [False, True, False]
+    assert kept(["menu", "-x", "a"], ["-menu", "-y", "A"]) == [False, True]
+    assert kept(["-menu", "A", "B"], ["-menu", "A", "C"]) == [True, True]
+    assert kept(["-m", "a", "b"], ["-n", "a", "b"]) == [True, True]
+    assert kept(["a", "-b"], []) == [True] and kept([], ["a"]) == []
