@@ -438,19 +438,20 @@ class _Node:
 def _candidates(spread: DataFrame, layout: Layout) -> DataFrame:
     """``node``, ``a`` and ``b``: a spanning forest of each node's pairs, shortest links first.
 
-    A node that holds more pairs gives a row without ``a`` and ``b`` too.
+    Texts of pairs beyond the forest are given too, by rows without ``a`` and ``b``: their ``key``, and
+    as ``piece`` the text that names the tree of the forest they stand in.  No pair joins two trees.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_runs(batches, ["node"], _LONG_ROWS):
             held = _Node(rows, starts, layout)
             a, b, far = (np.zeros(0, np.int64) for _ in range(3))
-            more: set[int] = set()
+            more = np.zeros(len(held.keys), bool)
 
             def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 keep = np.zeros(len(a), bool)
                 keep[_forest(a, b, far)] = True
-                more.update(np.unique(held.node[a[~keep]]).tolist())
+                more[a[~keep]] = more[b[~keep]] = True
                 return a[keep], b[keep], far[keep]
 
             for x, y in held.pairs():
@@ -459,15 +460,18 @@ def _candidates(spread: DataFrame, layout: Layout) -> DataFrame:
                     a, b, far = thinned()
             a, b, far = thinned()
             p, q = held.keys[a], held.keys[b]
-            open_ = pa.array(sorted(more), pa.int64())
-            none = pa.nulls(len(open_), pa.int64())
-            for columns in ((pa.array(held.node[a]), np.minimum(p, q), np.maximum(p, q)), (open_, none, none)):
-                yield pa.record_batch([pa.array(c) for c in columns], names=["node", "a", "b"])
+            tree = np.arange(len(held.keys))
+            unite(tree, a, b)
+            open_ = np.flatnonzero(more)
+            no, none = pa.nulls(len(a), pa.int64()), pa.nulls(len(open_), pa.int64())
+            names = ["node", "a", "b", "piece", "key"]
+            yield pa.record_batch([held.node[a], np.minimum(p, q), np.maximum(p, q), no, no], names=names)
+            yield pa.record_batch([held.node[open_], none, none, held.keys[tree[open_]], held.keys[open_]], names=names)
             del rows, held, a, b, far
             release()
 
     by_node = spread.repartition("node").sortWithinPartitions("node")
-    return by_node.mapInArrow(run, "node bigint, a bigint, b bigint")
+    return by_node.mapInArrow(run, "node bigint, a bigint, b bigint, piece bigint, key bigint")
 
 
 def _resolved(spread: DataFrame, layout: Layout) -> DataFrame:
@@ -548,14 +552,23 @@ def _shingles_of(documents: DataFrame, keys: DataFrame, text_column: str) -> Dat
     return texts.mapInArrow(sets, "key bigint, shingles binary")
 
 
+def _still_apart(beyond: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node``, ``key`` and ``component`` of the texts of those pieces that hold texts of several components."""
+    member = groups.select(F.col("node").alias("key"), "component")
+    named = beyond.join(member, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    spans = named.groupBy("node", "piece").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(spans.where("low <> high"), ["node", "piece"], "left_semi").select("node", "key", "component")
+
+
 def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Links ``a``-``b`` between ``key`` values of ``prints``, and ``node``, ``component`` of what they join.
 
     Candidates come from tables over the long fingerprints, and the shingles of every candidate
     are compared, so no link joins texts that share less.  First a spanning forest of each node is
-    compared, which joins most groups of copies by few links.  Nodes with pairs beyond their forest
-    meet again with their texts' shingles, where every pair that is not joined yet is compared: no
-    pair that could join two groups is left out, and no node gives all its pairs.
+    compared, which joins most groups of copies by few links.  Texts of pairs beyond the forest
+    meet again, with their shingles, where the tree they stand in still holds texts of several
+    groups: there every pair that is not joined yet is compared.  No pair that could join two
+    groups is left out, no node gives all its pairs, and shingles move for what is open only.
     """
     layout = Layout.of(prints.count())
     texts = prints.where("key <> 0").select("key", *_WORDS)
@@ -566,13 +579,11 @@ def copy_links(documents: DataFrame, prints: DataFrame, text_column: str = "text
     held = stored(_shingles_of(documents, linked, text_column), "copy-shingles")
     links = stored(_compared(forest, held), "copy-links")
     groups = components(links)
-    open_nodes = found.where("a IS NULL").select("node")
-    if open_nodes.isEmpty():
+    beyond = found.where("a IS NULL").select("node", "piece", "key")
+    if beyond.isEmpty():
         return links, groups
-    member = groups.select(F.col("node").alias("key"), "component")
-    again = texts.join(linked, "key", "left_semi").join(member, "key", "left")
-    again = again.select("key", F.coalesce("component", "key").alias("component"), *_WORDS)
-    spread = _spread(again, layout).join(open_nodes, "node", "left_semi").join(held, "key")
+    again = stored(_still_apart(beyond, groups), "copy-open")
+    spread = again.join(texts, "key").join(held, "key")
     more = stored(_resolved(spread, layout), "copy-links")
     if more.isEmpty():
         return links, groups

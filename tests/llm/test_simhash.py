@@ -208,3 +208,28 @@ def test_no_cap_before_the_shingles_are_compared(spark):
     want, _ = plain_copies(dict(texts))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r[0] for r in simhash.duplicates(df).collect()} == want
+
+
+def test_only_what_is_still_apart_meets_again(spark, monkeypatch):
+    """Groups that their forests have joined already send no shingles to the second round."""
+    draw = random.Random(9)
+    texts = []
+    for group in "ab":
+        base = [f"{group}{i}" for i in range(200)]
+        for i in range(100):
+            copy = list(base)
+            copy[draw.randrange(200)] = f"{group}x{i}"
+            texts.append((len(texts), " ".join(copy)))
+    moved = []
+    resolved = simhash._resolved
+    monkeypatch.setattr(simhash, "_resolved", lambda spread, layout: moved.append(spread.count()) or resolved(spread, layout))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r[0] for r in simhash.duplicates(df).collect()} == set(range(200)) - {0, 100}
+    assert moved == [0]
+
+
+def test_pieces_of_several_components(spark):
+    beyond = spark.createDataFrame([(1, 7, 7), (1, 7, 8), (1, 9, 9), (1, 9, 3), (2, 7, 8), (2, 7, 5)], "node long, piece long, key long")
+    groups = spark.createDataFrame([(7, 2), (8, 2), (2, 2)], "node long, component long")
+    got = sorted(map(tuple, simhash._still_apart(beyond, groups).collect()))
+    assert got == [(1, 3, 3), (1, 9, 9), (2, 5, 5), (2, 8, 2)]
