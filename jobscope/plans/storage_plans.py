@@ -247,7 +247,7 @@ def sorted_json(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def event_log_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """Task records in event-log form, among other listener events."""
+    """Task records in event-log form, among other listener events; packed, in files small enough to read side by side."""
     path = scratch(spark, "event-log")
     load(spark, folder, "lineitem").select(
         F.to_json(
@@ -268,5 +268,5 @@ def event_log_signals(spark: SparkSession, folder: str) -> DataFrame:
         load(spark, folder, "orders").selectExpr(
             """concat('{"Event":"SparkListenerJobStart","Job ID":', o_orderkey, '}') AS value"""
         )
-    ).write.text(path)
+    ).write.option("maxRecordsPerFile", 100_000).text(path, compression="lz4")
     return task_metrics.task_signals(sources.read_event_log(spark, path), ["stage_id"])

@@ -75,7 +75,7 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
     A task's start and end are separate events, possibly in separate files of a rolled log; a
     task that has only started has no finish time.  The run id is the application's, taken from
-    the file name: ``<id>`` or ``events_<n>_<id>``.
+    the file name: ``<id>`` or ``events_<n>_<id>``, packed (``.gz``, ``.lz4``) or not.
     """
     events = spark.read.schema(_TASK_EVENTS).option("recursiveFileLookup", True).json(path)
     file_name = F.col("_metadata.file_name")
@@ -85,7 +85,7 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
         events.where(F.col("Event").isin("SparkListenerTaskStart", "SparkListenerTaskEnd"))
         .where(info["Task ID"].isNotNull())
         .groupBy(
-            F.regexp_replace(file_name, r"^events_\d+_|\.inprogress$", "").alias("run_id"),
+            F.regexp_replace(file_name, r"^events_\d+_|(\.inprogress|\.gz|\.lz4)+$", "").alias("run_id"),
             F.col("Stage ID").alias("stage_id"),
             info["Task ID"].alias("task_id"),
         )

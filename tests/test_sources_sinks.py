@@ -244,3 +244,23 @@ def test_literal_rows_are_broadcast(spark):
     big = spark.range(100).selectExpr("cast(id AS STRING) AS k")
     assert "BroadcastHashJoin" in big.join(small, "k")._jdf.queryExecution().toString()
     assert literal_rows(spark, [], "k string").count() == 0
+
+
+def test_packed_event_logs(spark, tmp_path):
+    """A rolled log whose parts are packed belongs to one run; the query's own log is stored packed."""
+    import gzip
+
+    for n, kind in ((1, "Start"), (2, "End")):
+        info = {"Task ID": 3, "Launch Time": 0, "Finish Time": 60_000 * (n - 1)}
+        event = {"Event": f"SparkListenerTask{kind}", "Stage ID": 0, "Task Info": info}
+        (tmp_path / f"events_{n}_app-1.gz").write_bytes(gzip.compress(json.dumps(event).encode()))
+    (got,) = files.read_event_log(spark, str(tmp_path)).collect()
+    assert (got["run_id"], got["task_id"], got["finish_ms"]) == ("app-1", 3, 60_000)
+    with scratch_space(spark) as path:
+        QUERIES["event_log_signals"](spark, "/root/testdata/sf0.01").collect()
+        local = path.removeprefix("file:")
+        (log,) = [f"{local}/{f}" for f in os.listdir(local) if f.startswith("event-log")]
+        parts = [f for f in os.listdir(log) if f.startswith("part")]
+        assert parts and all(f.endswith(".lz4") for f in parts)
+        chars = spark.read.text(log).selectExpr("sum(length(value) + 1)").first()[0]
+        assert 3 * sum(os.path.getsize(f"{log}/{f}") for f in parts) < chars
