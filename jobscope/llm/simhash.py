@@ -29,6 +29,7 @@ from jobscope.llm.common import (
     unite,
     whole_runs,
 )
+from jobscope.operators.joins import bloom_split
 
 SHINGLE = 3
 SEED = 42
@@ -41,14 +42,17 @@ COPY_SHARE = (4, 5)
 # At a share of 0.8 a bit differs with probability 0.15: 39 of 256 bits, standard deviation 6.
 WORDS = 4
 FAR_BITS = 60
-# The bits of a long fingerprint that name a node in each table: at least ``NODE_BITS``, more where
-# nodes would hold over ``NODE_TEXTS`` texts on average.  There are as many tables as two texts with
-# ``SAME_BIT`` as the chance of an equal bit, which is that at a share of 0.8, need to meet but for
-# ``MISSED``.
+# The bits of a long fingerprint that two texts agree on to meet in a table: at least ``NODE_BITS``,
+# more where over ``NODE_TEXTS`` texts would agree on average.  There are as many tables as two texts
+# with ``SAME_BIT`` as the chance of an equal bit, which is that at a share of 0.8, need to meet but for
+# ``MISSED``.  The ``FAMILY`` tables of a family differ in ``OWN_BITS`` bits each and share the others,
+# which name the node a text is moved to: once for a family, not for every table.
 NODE_BITS = 14
 NODE_TEXTS = 1_000
 SAME_BIT = 0.85
 MISSED = 0.00003
+FAMILY = 8
+OWN_BITS = 8
 
 _BITS = 64
 # Fingerprints in one node that a task takes whole; larger nodes are split one level deeper.
@@ -304,9 +308,16 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(prints: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Blocks of long fingerprints as bits, and where each stands."""
+    for at in range(0, len(prints), 2_000):
+        part = np.ascontiguousarray(prints[at : at + 2_000])
+        yield slice(at, at + len(part)), np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+
+
 @dataclass(frozen=True)
 class Layout:
-    """How many tables there are and how many bits name a node in each."""
+    """How many bits two texts share in a table, and how many tables it took if all were independent."""
 
     bits: int
     tables: int
@@ -316,22 +327,57 @@ class Layout:
         bits = max(NODE_BITS, math.ceil(math.log2(max(1, texts) / NODE_TEXTS)))
         return Layout(bits, math.ceil(math.log(MISSED) / math.log1p(-(SAME_BIT**bits))))
 
+    @property
+    def shared(self) -> int:
+        """The bits that name a node: those that all tables of a family share."""
+        return self.bits - OWN_BITS
+
+    @property
+    def families(self) -> int:
+        """As many as miss no more pairs than ``tables`` independent tables."""
+        met = SAME_BIT**self.shared * (1 - (1 - SAME_BIT**OWN_BITS) ** FAMILY)
+        return math.ceil(self.tables * math.log1p(-(SAME_BIT**self.bits)) / math.log1p(-met))
+
     def places(self) -> np.ndarray:
-        """Per table the places of its bits in a long fingerprint."""
+        """Per family and table the places of its bits in a long fingerprint, the shared ones first."""
 
         def draw() -> np.ndarray:
             numbers_ = np.random.default_rng(SEED)
-            return np.stack([numbers_.choice(WORDS * _BITS, self.bits, replace=False) for _ in range(self.tables)])
+            made = np.zeros((self.families, FAMILY, self.bits), np.int64)
+            for family in made:
+                drawn = numbers_.choice(WORDS * _BITS, self.shared + FAMILY * OWN_BITS, replace=False)
+                family[:, : self.shared] = drawn[: self.shared]
+                family[:, self.shared :] = drawn[self.shared :].reshape(FAMILY, OWN_BITS)
+            return made
 
         return cached(f"simhash-places {self}", draw)
 
-    def patterns(self, prints: np.ndarray) -> np.ndarray:
-        """The bits of each fingerprint in every table, as a number."""
-        places, weight = self.places(), 1 << np.arange(self.bits)
-        out = np.zeros((len(prints), self.tables), np.int32)
-        for at in range(0, len(prints), 2_000):
-            part = np.ascontiguousarray(prints[at : at + 2_000]).view(np.uint8)
-            out[at : at + 2_000] = np.unpackbits(part, axis=1, bitorder="little")[:, places].astype(np.int64) @ weight
+    def nodes(self, prints: np.ndarray) -> np.ndarray:
+        """The node of each fingerprint in every family."""
+        weight = 1 << np.arange(self.shared)
+        out = np.zeros((len(prints), self.families), np.int64)
+        places = self.places()[:, 0, : self.shared]
+        for at, bits in _blocks(prints):
+            out[at] = bits[:, places] @ weight
+        return out + (np.arange(self.families) << self.shared)
+
+    def own(self, prints: np.ndarray, family: np.ndarray) -> np.ndarray:
+        """The bits that each fingerprint does not share in the tables of its family, as numbers."""
+        weight = 1 << np.arange(OWN_BITS)
+        out = np.zeros((len(prints), FAMILY), np.int64)
+        places = self.places()[:, :, self.shared :].reshape(self.families, -1)
+        for at, bits in _blocks(prints):
+            taken = np.take_along_axis(bits, places[family[at]], axis=1)
+            out[at] = taken.reshape(-1, FAMILY, OWN_BITS) @ weight
+        return out
+
+    def patterns(self, prints: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """The bits of each fingerprint in every table, or the first ``tables``, as a number."""
+        places = self.places().reshape(-1, self.bits)[:tables]
+        weight = 1 << np.arange(self.bits)
+        out = np.zeros((len(prints), len(places)), np.int32)
+        for at, bits in _blocks(prints):
+            out[at] = bits[:, places] @ weight
         return out
 
 
@@ -357,14 +403,14 @@ def _gray_order(prints: np.ndarray, node: np.ndarray, keys: np.ndarray) -> np.nd
 
 
 def _spread(texts: DataFrame, layout: Layout) -> DataFrame:
-    """A row for each table a text stands in: ``node`` there, and all its columns."""
+    """A row for each family of tables a text stands in: ``node`` there, and all its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                node = layout.patterns(_long_prints(part)) + (np.arange(layout.tables) << layout.bits)
-                again = pa.array(np.repeat(np.arange(part.num_rows), layout.tables))
+                node = layout.nodes(_long_prints(part))
+                again = pa.array(np.repeat(np.arange(part.num_rows), layout.families))
                 yield pa.record_batch(
                     [pa.array(node.ravel()), *part.take(again).columns], names=["node", *part.schema.names]
                 )
@@ -403,7 +449,7 @@ def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray, prints: np.ndarr
     if not len(x):
         return first
     ends, at = np.unique(np.concatenate((x, y)), return_inverse=True)
-    patterns = layout.patterns(prints[ends])
+    patterns = layout.patterns(prints[ends], int(table.max()))
     i, j = at[: len(x)], at[len(x) :]
     left = np.arange(len(x))
     for k in range(int(table.max())):
@@ -426,10 +472,23 @@ class _Node:
         self.starts, self.layout = starts, layout
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of all pairs at most ``FAR_BITS`` apart that meet in no table before."""
-        for x, y in _near(self.prints, self.starts, FAR_BITS):
-            first = _first_met(x, y, self.node[x] >> self.layout.bits, self.prints, self.layout)
-            yield x[first], y[first]
+        """Places of all pairs at most ``FAR_BITS`` apart that meet in no table before.
+
+        The tables of a family are gone through one by one: each cuts the node by its own bits.
+        """
+        family = self.node >> self.layout.shared
+        own = self.layout.own(self.prints, family)
+        run = np.zeros(len(self.node), np.int64)
+        run[self.starts] = 1 << OWN_BITS
+        run = np.cumsum(run)
+        for table in range(FAMILY):
+            part = run + own[:, table]
+            order = np.argsort(part, kind="stable")  # Gray order stays
+            starts = np.flatnonzero(new_run([part[order]]))
+            for i, j in _near(self.prints[order], starts, FAR_BITS):
+                x, y = order[i], order[j]
+                first = _first_met(x, y, family[x] * FAMILY + table, self.prints, self.layout)
+                yield x[first], y[first]
 
     def far(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return _set_bits(self.prints[x] ^ self.prints[y])
@@ -548,6 +607,7 @@ def _shingles_of(documents: DataFrame, keys: DataFrame, text_column: str) -> Dat
         return pa.array(np.array(made, np.uint64).view(np.int64))
 
     texts = documents.select(key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    texts, _ = bloom_split(texts, keys, "key")
     texts = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     return texts.mapInArrow(sets, "key bigint, shingles binary")
 
@@ -655,9 +715,11 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
     others = stored(marked.where("NOT stays OR n > 1").select(*told, "stays"), "copy-others")
     columns = [F.col(f"`{c}`") for c in documents.columns]
     keyed = documents.select(F.col(id_column), row_key(documents).alias("row_key"), F.struct(*columns).alias("row"))
-    kept = keyed.join(others, told, "left_anti").select("row.*")
+    # Whole rows move only where they may be named.
+    may, clear = bloom_split(keyed, others, "row_key")
+    kept = clear.unionByName(may.join(others, told, "left_anti")).select("row.*")
     repeated = others.where("stays").drop("stays")
     if repeated.isEmpty():
         return kept
-    once = keyed.join(repeated, told, "left_semi").groupBy(*told).agg(F.first("row").alias("row"))
+    once = may.join(repeated, told, "left_semi").groupBy(*told).agg(F.first("row").alias("row"))
     return kept.unionByName(once.select("row.*"))

@@ -95,6 +95,27 @@ def bloom_join(
     return near.where(F.col(held).bitwiseAND(bits) == bits).select(*fact.columns).join(chosen, key)
 
 
+def bloom_split(fact: DataFrame, keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Fact rows whose key may be among ``keys``, and those whose key surely is not.
+
+    For semi and anti joins that follow on the first part: about one in a hundred rows without a
+    partner stands there, with those that have one, and the rest is never moved.  Both parts read
+    the facts.  ``keys`` is a stored table; for more than ``most_words`` can hold, the first part is all rows.
+    """
+    words = max(1, -(-keys.count() * BITS_PER_KEY // 64))
+    if words > most_words:
+        return fact, fact.where(F.lit(False))
+    taken = [*fact.columns, "_word", "_set"]
+    at, word, held = (name + "_" * max(map(len, taken)) for name in ("_at", "_word", "_set"))  # no column is called so
+    sieve = bloom_words(keys.where(F.col(key).isNotNull()), key, words)
+    sieve = F.broadcast(sieve.select(F.col("_word").alias(word), F.col("_set").alias(held)))
+    marked = fact.withColumn(at, _word(F.col(key), words)).join(sieve, F.col(at) == F.col(word), "left")
+    bits = _bits(F.col(key))
+    may = F.coalesce(F.col(key).isNotNull() & (F.col(held).bitwiseAND(bits) == bits), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in fact.columns]
+    return marked.where(may).select(*columns), marked.where(~may).select(*columns)
+
+
 def leading_column(indexdef: Column) -> Column:
     """First column of ``CREATE INDEX ... (a, b)``."""
     return F.lower(F.regexp_extract(indexdef, r'\(\s*"?([^,\s")]+)', 1))

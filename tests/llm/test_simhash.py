@@ -233,3 +233,51 @@ def test_pieces_of_several_components(spark):
     groups = spark.createDataFrame([(7, 2), (8, 2), (2, 2)], "node long, component long")
     got = sorted(map(tuple, simhash._still_apart(beyond, groups).collect()))
     assert got == [(1, 3, 3), (1, 9, 9), (2, 5, 5), (2, 8, 2)]
+
+
+def test_texts_move_once_for_a_family_of_tables(spark):
+    """A family's tables share the bits that name its node, and families miss no more than independent tables."""
+    layout = simhash.Layout.of(100)
+    assert layout.families < layout.tables / 3
+    draw = np.random.default_rng(3)
+    prints = draw.integers(0, 1 << 63, (100, simhash.WORDS), np.int64).view(np.uint64)
+    rows = [(i, *map(int, prints[i].view(np.int64))) for i in range(100)]
+    texts = spark.createDataFrame(rows, "key long, " + ", ".join(f"w{k} long" for k in range(simhash.WORDS)))
+    assert simhash._spread(texts, layout).count() == 100 * layout.families
+    many = draw.integers(0, 1 << 63, (20_000, simhash.WORDS), np.int64).view(np.uint64)
+    flips = np.packbits(draw.random((20_000, 256)) > simhash.SAME_BIT, axis=1).view(np.uint64)
+    apart = (layout.patterns(many) != layout.patterns(many ^ flips)).all(axis=1)
+    assert apart.sum() <= 12  # as many tables on their own as ``tables`` says: about 28
+    nodes, other = layout.nodes(many), layout.nodes(many ^ flips)
+    patterns, changed = layout.patterns(many), layout.patterns(many ^ flips)
+    met = (patterns == changed).reshape(len(many), layout.families, simhash.FAMILY).any(axis=2)
+    assert (nodes == other)[met].all()
+    with_large = simhash.Layout.of(10**9)
+    assert with_large.shared == with_large.bits - simhash.OWN_BITS and with_large.families < with_large.tables / 3
+
+
+def test_a_group_of_copies_gives_few_candidate_rows(spark):
+    """A text is named as often as families have it at most, not as often as tables."""
+    draw = random.Random(10)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        for at in draw.sample(range(150), draw.randrange(1, 12)):
+            copy[at] = f"x{i}"
+        texts.append((i, " ".join(copy)))
+    prints = simhash.copy_prints(spark.createDataFrame(texts, "doc_id long, text string")).select("key", *simhash._WORDS)
+    layout = simhash.Layout.of(400)
+    found = simhash._candidates(simhash._spread(prints, layout), layout)
+    assert 399 <= found.count() < 20 * 400
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """The whole rows meet the names of those that go only behind a filter."""
+    draw = random.Random(11)
+    texts = [(i, " ".join(f"w{draw.randrange(9_999)}" for _ in range(20))) for i in range(300)]
+    df = spark.createDataFrame(texts + [(300 + i, t) for i, t in texts[:30]], "doc_id long, text string")
+    kept = simhash.one_of_each(df)
+    assert sorted(map(tuple, kept.collect())) == texts
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "_set" in plan and plan.count("LeftAnti") == 1

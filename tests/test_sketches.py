@@ -124,6 +124,27 @@ def test_bloom_join_of_empty_sides(spark):
     assert joins.bloom_join(fact.limit(0), dim, "k", F.col("d") >= 0, 0).collect() == []
 
 
+@pytest.mark.parametrize("most_words", [joins.MOST_WORDS, 10])
+def test_bloom_split_parts_are_the_rows(spark, most_words):
+    fact = synth_range(spark, 20_000, "IF(id % 9 = 0, NULL, id % 5000) AS k", "id AS _at", "id AS `_set`", "id AS `a.b`")
+    keys = synth_range(spark, 1_000, "IF(id % 7 = 0, NULL, id * 3) AS k", "id AS d")
+    may, clear = joins.bloom_split(fact, keys, "k", most_words)
+    assert may.columns == clear.columns == fact.columns
+    assert rows(may.unionByName(clear)) == rows(fact)
+    assert clear.join(keys, "k", "left_semi").isEmpty()
+    assert rows(may.join(keys, "k", "left_semi")) == rows(fact.join(keys, "k", "left_semi"))
+    assert rows(clear.unionByName(may.join(keys, "k", "left_anti"))) == rows(fact.join(keys, "k", "left_anti"))
+    assert may.count() < 5_000 if most_words > 10 else clear.isEmpty()
+
+
+def test_bloom_split_of_empty_sides(spark):
+    fact = synth_range(spark, 10, "id AS k")
+    may, clear = joins.bloom_split(fact, fact.limit(0), "k")
+    assert may.isEmpty() and clear.count() == 10
+    may, clear = joins.bloom_split(fact.limit(0), fact, "k")
+    assert may.isEmpty() and clear.isEmpty()
+
+
 def test_subtotals_tell_totals_from_null(spark):
     events = day_events(spark, 600, 50).withColumn("amount", F.expr("IF(event_date = DATE'2026-01-02', NULL, 0.1)"))
     plain = events.collect()
