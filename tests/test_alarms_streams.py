@@ -234,6 +234,49 @@ def test_no_submission_time_means_no_deadline(spark, tmp_path):
     assert got["clock"][0] == "TIMEOUT"
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 1_000])
+def test_runs_share_state_rows(spark, tmp_path, buckets):
+    """State rows are bounded by the buckets; what a run reports doesn't depend on its neighbours."""
+    feed = Feed(spark, str(tmp_path), HISTORY)
+    day = 60 * 24
+    parts = [
+        [(f"r{i}", "emr_ec2", ("COMPLETED", "RUNNING", "FAILED")[i % 3], T0 if i % 4 else None, at(i % 20)) for i in range(60)]
+        + [(None, "emr_ec2", "FAILED", T0, at(1))],
+        [("r0", "emr_ec2", "FAILED", None, at(31)), ("r3", "emr_ec2", "FAILED", T0, at(32)), ("clock", "emr_ec2", "RUNNING", None, at(50))],
+        [("clock", "emr_ec2", "RUNNING", None, at(9 * day)), ("clock", "emr_ec2", "RUNNING", None, at(9 * day + 30))],
+        [("r3", "emr_ec2", "FAILED", None, at(9 * day + 31)), ("clock", "emr_ec2", "RUNNING", None, at(9 * day + 60))],
+        [("clock", "emr_ec2", "RUNNING", None, at(9 * day + 90))],
+    ]
+    held = []
+    for part in parts:
+        feed.add(part)
+        slots = run_slots(feed.stream(), watermark="0 seconds")
+        closed = stream_folder(spark, drain_to(slots, f"{tmp_path}/slots"), slots.schema)
+        states = terminal_states(closed, timeout_s=600, buckets=buckets)
+        query = start_files(states, f"{tmp_path}/out", f"{tmp_path}/c")
+        query.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(held) <= buckets
+    got = [(r["run_id"], r["final_state"]) for r in spark.read.schema(states.schema).parquet(f"{tmp_path}/out").collect()]
+    want = [(None, "FAILED"), ("r3", "FAILED")]  # r3 again, long after it was forgotten
+    for i in range(60):
+        ends, sent = i % 3 != 1, i % 4 > 0
+        name = ("COMPLETED", "", "FAILED")[i % 3]
+        if sent:
+            want.append((f"r{i}", name if ends and i % 20 < 10 else "TIMEOUT"))
+        elif ends:
+            want.append((f"r{i}", name))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_deadline_at_the_watermark_is_certain(spark, tmp_path):
+    feed = Feed(spark, str(tmp_path), HISTORY)
+    feed.add([("a", "emr_ec2", "RUNNING", T0, T0), ("clock", "emr_ec2", "RUNNING", at(90), at(10))])
+    track(spark, tmp_path, feed)
+    feed.add([("clock", "emr_ec2", "RUNNING", at(90), at(20))])
+    assert track(spark, tmp_path, feed) == {"a": "TIMEOUT"}
+
+
 def test_single_file_and_folder_tables_stream(spark):
     stream = stream_parquet(spark, "/root/testdata/sf0.001", "events")
     assert stream.isStreaming and "event_id" in stream.columns
